@@ -2,10 +2,29 @@
 
 from __future__ import annotations
 
-from . import mixing, sketch, topk
+from pyspark.sql import functions as F
+
+from . import langid, mixing, quality, sketch, topk, toxicity
 from .shared import Workspace, read_table
 
 
+def op1_language_id(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op4_toxicity(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = toxicity.score_documents(docs, read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "n_spans")
+
+
+def op9_quality(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = quality.score_documents(docs, read_table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op5_exact_top_k(spark, sf_dir):
     return topk.top_k(read_table(spark, sf_dir, "embeddings"))
 
@@ -21,6 +40,9 @@ def op8_mix_sources(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op4_toxicity": op4_toxicity,
+    "op9_quality": op9_quality,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_document_fingerprints": op6_document_fingerprints,
     "op8_mix_sources": op8_mix_sources,

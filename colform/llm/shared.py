@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from colform.session import ship_package
 
@@ -99,3 +100,41 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
 def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column over one buffer; offsets in bytes."""
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
+
+
+def append_columns(df: DataFrame, fn, fields: str, text: str = "text", max_bytes: int = 2 << 20) -> DataFrame:
+    """Every row of ``df`` with further columns that ``fn(batch)`` returns as a list of Arrow arrays.
+
+    Batches are cut by text bytes. Columns of ``df`` with the new names are replaced.
+    """
+    from pyspark.sql import functions as F
+
+    added = df.sparkSession.createDataFrame([], fields).schema
+    names = added.fieldNames()
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in names])
+    schema = StructType([*kept.schema.fields, *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text, max_bytes):
+            yield pa.RecordBatch.from_arrays([*batch.columns, *fn(batch)], names=[*batch.schema.names, *names])
+
+    return kept.mapInArrow(run, schema)
+
+
+def id_remainder(column: str, divisor: int):
+    """crc32 of the id as text modulo ``divisor``; a null id counts as the empty text."""
+    from pyspark.sql import functions as F
+
+    return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit(""))) % divisor
+
+
+def sample_rate(wanted: int, there: int) -> int:
+    """Share of rows to keep, in 2^-20, so that about ``wanted`` of ``there`` stay."""
+    return 1 << 20 if there <= wanted else max(1, (wanted << 20) // there)
+
+
+def hash_share(column: str, seed: int):
+    """A number below 2^20 drawn from a row's id: the same in every run and partitioning."""
+    from pyspark.sql import functions as F
+
+    return F.pmod(F.xxhash64(F.lit(seed), F.col(column)), F.lit(1 << 20))
