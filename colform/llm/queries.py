@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import langid, mixing, quality, sketch, topk, toxicity
+from . import idfile, langid, mixing, piece_bpe, quality, sketch, topk, toxicity
 from .shared import Workspace, read_table
 
 
+def tokenizer_file(name: str) -> str:
+    """Path of a public vocabulary file, installed on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_language_id(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
@@ -39,13 +46,27 @@ def op8_mix_sources(spark, sf_dir):
     return mixing.mix(Workspace(spark, "mix").put(docs, "sizes"))
 
 
+def op7_id_files(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents")
+    work = Workspace(spark, "idfile")
+    idfile.write(docs, tokenizer_file("byte_bpe_50k.json"), work.path("file"), work)
+    return idfile.digest(idfile.read(spark, work.path("file")))
+
+
+def op10_sentencepiece(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return piece_bpe.encode_documents(docs, tokenizer_file("piece_bpe_32k.model")).drop("text")
+
+
 QUERIES = {
     "op1_language_id": op1_language_id,
     "op4_toxicity": op4_toxicity,
     "op9_quality": op9_quality,
     "op5_exact_top_k": op5_exact_top_k,
     "op6_document_fingerprints": op6_document_fingerprints,
+    "op7_id_files": op7_id_files,
     "op8_mix_sources": op8_mix_sources,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES = {
