@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import idfile, langid, mixing, piece_bpe, quality, sketch, topk, toxicity
+from . import idfile, langid, mixing, piece_bpe, quality, sketch, suffix_dedup, topk, toxicity
 from .shared import Workspace, read_table
 
 
@@ -20,6 +20,11 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op3_suffix_dedup(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix_dedup.digest(suffix_dedup.dedup(docs))
+
+
 def op4_toxicity(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = toxicity.score_documents(docs, read_table(spark, sf_dir, "labels"))
@@ -60,6 +65,7 @@ def op10_sentencepiece(spark, sf_dir):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op9_quality": op9_quality,
     "op5_exact_top_k": op5_exact_top_k,
