@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import idfile, langid, mixing, piece_bpe, quality, sketch, suffix_dedup, topk, toxicity
+from . import idfile, langid, mixing, ngram_join, piece_bpe, quality, sketch, suffix_dedup, topk, toxicity
 from .shared import Workspace, read_table
 
 
@@ -20,6 +20,11 @@ def op1_language_id(spark, sf_dir):
     return langid.identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op2_ngram_jaccard_join(spark, sf_dir):
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return ngram_join.near_duplicates(docs, width=4, percent=85)
+
+
 def op3_suffix_dedup(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return suffix_dedup.digest(suffix_dedup.dedup(docs))
@@ -65,6 +70,7 @@ def op10_sentencepiece(spark, sf_dir):
 
 QUERIES = {
     "op1_language_id": op1_language_id,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_toxicity": op4_toxicity,
     "op9_quality": op9_quality,
