@@ -14,8 +14,18 @@ from pyspark.sql.types import StructType
 from colform.session import ship_package
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+#: Bytes of a batch between the JVM and a Python worker; both sides hold some at once.
+BATCH_BYTES = 4 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ships the package, and bounds Arrow batches by bytes: texts and packed rows vary too much for a row count."""
     ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -44,7 +54,7 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        ship_package(spark)
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
