@@ -26,8 +26,8 @@ from .shared import append_columns, id_remainder, text_buffers
 
 STEPS = 128
 BITS = 18
-PER_CLASS = 2000
-TRAIN_CHARS = 20_000
+PER_CLASS = 1500
+TRAIN_CHARS = 6000
 SPAN_AT = 0.5
 #: Bytes of a word's beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7)
@@ -55,7 +55,7 @@ def _features(data: np.ndarray, offsets: np.ndarray):
         behind[1:][same] = word[:-1][same]
         ahead[:-1][same] = word[1:][same]
     rows = np.stack([word, *beginnings, behind, ahead])
-    return starts, ends, before, (V.mix(rows ^ _SALT[:, None]) & _MASK).astype(np.int64)
+    return starts, ends, before, (V.mix(rows ^ _SALT[:, None]) & _MASK).astype(np.int32)
 
 
 class Tagger:
@@ -103,7 +103,7 @@ class Tagger:
         marked = np.zeros(features.shape[1], bool)
         least = max(3, SUPPORT * y.sum())
         for row in features[: 1 + len(BEGINNINGS)]:
-            seen = np.unique(text * np.int64(1 << BITS) + row)
+            seen = np.unique(text.astype(np.int64) * (1 << BITS) + row)
             inside, label = seen & ((1 << BITS) - 1), y[seen >> BITS]
             bad = np.bincount(inside, label, 1 << BITS)
             good = np.bincount(inside, 1 - label, 1 << BITS)
