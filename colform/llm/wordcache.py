@@ -10,46 +10,74 @@ from . import vectortext as V
 class WordCache:
     """``encode(data, starts, ends)`` gives (flat ids, ids a word) for some words; it is called once for each new word.
 
-    Words are told apart by 64-bit hashes of their bytes and length. At ``limit`` words the cache starts anew, so
-    its memory is bounded.
+    Words are told apart by 64-bit hashes of their bytes and length, in an open-addressing table of arrays. At ``limit`` words
+    the cache starts anew, so its memory is bounded.
     """
 
-    def __init__(self, encode, limit: int = 300_000):
+    def __init__(self, encode, limit: int = 1 << 20):
         self.encode, self.limit = encode, limit
+        self.bits = int(limit).bit_length()
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
-        self.used = 0
+        self.keys, self.number = np.zeros(1 << self.bits, np.uint64), np.full(1 << self.bits, -1, np.int32)
+        self.ids, self.starts, self.lengths = np.zeros(1 << 16, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32)
+        self.words = self.used = 0
 
     @staticmethod
     def _room(a: np.ndarray, n: int) -> np.ndarray:
         if len(a) >= n:
             return a
-        return np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+        return np.concatenate([a, np.zeros(max(n, len(a) * 3 // 2) - len(a), a.dtype)])
+
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 for a new one."""
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        out = np.full(len(keys), -1, np.int32)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            number = self.number[at[open_]]
+            hit = (number >= 0) & (self.keys[at[open_]] == keys[open_])
+            out[open_[hit]] = number[hit]
+            open_ = open_[(number >= 0) & ~hit]
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def _insert(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """New distinct words; of several that want a free slot one gets it and the others go on."""
+        at = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
+        open_ = np.arange(len(keys))
+        while len(open_):
+            free = open_[self.number[at[open_]] < 0]
+            self.number[at[free]], self.keys[at[free]] = numbers[free], keys[free]
+            open_ = open_[self.number[at[open_]] != numbers[open_]]
+            at[open_] = (at[open_] + 1) & ((1 << self.bits) - 1)
 
     def ids_of(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all words in order, and the number of ids of each word."""
         if not len(keys):
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        if len(self.index) + len(distinct) > self.limit:
-            self._clear()
-        known = distinct.tolist()
-        place = np.array([self.index.get(k, -1) for k in known], np.int64)
+        place = self._find(keys)
         new = np.flatnonzero(place < 0)
         if len(new):
-            flat, lengths = self.encode(data, starts[first[new]], ends[first[new]])
-            n = len(self.index)
+            distinct, first = np.unique(keys[new], return_index=True)
+            if self.words + len(distinct) > self.limit and self.words:
+                self._clear()
+                return self.ids_of(data, starts, ends, keys)
+            if len(distinct) > self.limit:
+                self.bits = len(distinct).bit_length() + 1
+                self._clear()
+                distinct, first = np.unique(keys, return_index=True)
+                new = np.arange(len(keys))
+            flat, lengths = self.encode(data, starts[new[first]], ends[new[first]])
+            n = self.words
             self.ids = self._room(self.ids, self.used + len(flat))
             self.ids[self.used : self.used + len(flat)] = flat
-            self.starts, self.lengths = self._room(self.starts, n + len(new)), self._room(self.lengths, n + len(new))
-            self.starts[n : n + len(new)] = self.used + V.offsets_of(lengths)[:-1]
-            self.lengths[n : n + len(new)] = lengths
-            self.used += len(flat)
-            place[new] = np.arange(n, n + len(new))
-            self.index.update((known[i], n + j) for j, i in enumerate(new.tolist()))
-        place = place[inverse]
-        counts = self.lengths[place]
-        return self.ids[V.ragged_take(self.starts[place], counts)], counts
+            self.starts, self.lengths = self._room(self.starts, n + len(distinct)), self._room(self.lengths, n + len(distinct))
+            self.starts[n : n + len(distinct)] = self.used + V.offsets_of(lengths)[:-1]
+            self.lengths[n : n + len(distinct)] = lengths
+            self._insert(distinct, np.arange(n, n + len(distinct), dtype=np.int32))
+            self.used, self.words = self.used + len(flat), n + len(distinct)
+            place[new] = self._find(keys[new])
+        counts = self.lengths[place].astype(np.int64)
+        return self.ids[V.ragged_take(self.starts[place].astype(np.int64), counts)], counts
