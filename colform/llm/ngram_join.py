@@ -19,7 +19,7 @@ link when 100 * intersection >= percent * union.
 
 Defined results: null, empty and wordless texts have an empty set, 0 shingles and link with nothing; a document without links is its own
 component; rows of equal doc_id are rows of their own; a component whose rows all lack doc_id has a null one; an empty table gives no
-rows; extra columns pass through, and n_shingles and component_id replace columns of that name.
+rows. The result has one row a document with doc_id, n_shingles and component_id; other columns are not read.
 """
 
 from __future__ import annotations
@@ -304,7 +304,7 @@ def _units(open_: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, work: Workspace | None = None) -> DataFrame:
-    """Adds n_shingles and component_id (the smallest doc_id that links reach) to every row."""
+    """(doc_id, n_shingles, component_id) of every row; component_id is the smallest doc_id that links reach."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "ngram")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+import corpus_pipeline
+
 from . import idfile, langid, mixing, ngram_join, piece_bpe, quality, sketch, suffix_dedup, topk, toxicity
 from .shared import Workspace, read_table
 
@@ -79,6 +81,7 @@ QUERIES = {
     "op7_id_files": op7_id_files,
     "op8_mix_sources": op8_mix_sources,
     "op10_sentencepiece": op10_sentencepiece,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

@@ -348,11 +348,14 @@ def _marked(docs: DataFrame, work: Workspace) -> DataFrame:
     return keyed.join(marks, ["doc", *prints], "left").withColumns({"tie": F.coalesce("tie", F.lit(0)), "copy": F.coalesce("copy", F.lit(False))}).drop(*prints)
 
 
-def dedup(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
-    """Adds n_bytes, n_removed, n_spans and kept (the remaining bytes) to every document."""
+def dedup(docs: DataFrame, work: Workspace | None = None, as_text: bool = False) -> DataFrame:
+    """Adds n_bytes, n_removed, n_spans and kept (the remaining bytes) to every document.
+
+    ``as_text`` adds kept_text in place of kept: the remaining bytes without the rests of characters that a cut split.
+    """
     spark = docs.sparkSession
     work = work or Workspace(spark, "suffix")
-    own = ("n_bytes", "n_removed", "n_spans", "kept", "doc", "tie", "copy", "print1", "print2", "spans")
+    own = ("n_bytes", "n_removed", "n_spans", "kept_text" if as_text else "kept")
     kept_columns = [c for c in docs.columns if c not in ("doc_id", "text")]
     # Columns beside id and text travel in one struct, so that their names cannot clash with those used here.
     rest = F.struct(*[F.col(f"`{c}`") for c in kept_columns]) if kept_columns else F.lit(None).cast("string")
@@ -372,9 +375,15 @@ def dedup(docs: DataFrame, work: Workspace | None = None) -> DataFrame:
 
     lost = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = texts.join(lost, ["doc", "tie"], "left")
-    found = append_columns(joined, _cut, "n_bytes bigint, n_removed bigint, n_spans bigint, kept binary")
+    last = "kept_text" if as_text else "kept"
+    found = append_columns(joined, _cut_text if as_text else _cut, f"n_bytes bigint, n_removed bigint, n_spans bigint, {last} {'string' if as_text else 'binary'}")
     names = [c for c in docs.columns if c not in own]
-    return found.select(*[F.col(f"rest.`{c}`").alias(c) if c in kept_columns else F.col(c) for c in names], "n_bytes", "n_removed", "n_spans", "kept")
+    return found.select(*[F.col(f"rest.`{c}`").alias(c) if c in kept_columns else F.col(c) for c in names], "n_bytes", "n_removed", "n_spans", last)
+
+
+def _cut_text(batch: pa.RecordBatch) -> list[pa.Array]:
+    *counts, kept = _cut(batch)
+    return [*counts, pa.array([k.decode("utf-8", "ignore") for k in kept.to_pylist()], pa.string())]
 
 
 def _cut(batch: pa.RecordBatch) -> list[pa.Array]:
