@@ -64,8 +64,14 @@ def shingle_sets(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
         value[more] = V.mix(value[more]) + word[first[more] + k]
     value = V.mix(value)
     text = V.row_of(shingles)
-    order = np.lexsort((value, text))
-    value, text = value[order], text[order]
+    # Sorted within each text: by text number and high bits at once, which is faster than by two keys.
+    lift = max(len(n_words), 1).bit_length()
+    order = np.argsort((text.astype(np.uint64) << np.uint64(64 - lift)) | (value >> np.uint64(lift)))
+    value = value[order]
+    low_bits = np.flatnonzero((value[1:] < value[:-1]) & (text[1:] == text[:-1])) if len(value) else order
+    if len(low_bits):  # equal high bits: order those texts exactly
+        order = np.lexsort((value, text))
+        value = value[order]
     new = np.ones(len(value), bool)
     new[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
     return value[new], np.bincount(text[new], minlength=len(n_words))
@@ -240,31 +246,107 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, linked boolean")
 
 
+class ShingleFilter:
+    """A Bloom filter of fixed size over shingles: 8 MB, however many there are."""
+
+    SLICES, BITS = 64, 20
+
+    def __init__(self, bits: np.ndarray):
+        self.bits = bits
+
+    @classmethod
+    def places(cls, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        h = V.mix(values.view(np.uint64) ^ np.uint64(0x5BD1E995))
+        base = (h >> np.uint64(58)) << np.uint64(cls.BITS)
+        low = np.uint64((1 << cls.BITS) - 1)
+        return (base | (h & low)).astype(np.int64), (base | ((h >> np.uint64(cls.BITS)) & low)).astype(np.int64)
+
+    def has(self, values: np.ndarray) -> np.ndarray:
+        a, b = self.places(values)
+        return ((self.bits[a >> 3] >> (a & 7).astype(np.uint8)) & (self.bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
+
+    @classmethod
+    def build(cls, shingles: DataFrame):
+        """From a one-column table; returns a broadcast variable. The driver gets one row of 128 KB a slice."""
+
+        def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bits = np.unique(np.concatenate(cls.places(batch.column(0).to_numpy())))
+                cuts = np.searchsorted(bits, np.arange(cls.SLICES + 1) << cls.BITS)
+                rows = [(i, (bits[cuts[i] : cuts[i + 1]] & ((1 << cls.BITS) - 1)).astype(np.int32).tobytes()) for i in range(cls.SLICES) if cuts[i + 1] > cuts[i]]
+                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "bits"])
+
+        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, np.ndarray] = {}
+            for batch in batches:
+                for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    held.setdefault(i, np.zeros(1 << cls.BITS, bool))[np.frombuffer(raw.as_buffer(), np.int32)] = True
+            packed = [np.packbits(x, bitorder="little").tobytes() for x in held.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packed, pa.binary())], ["slice", "bits"])
+
+        found = shingles.mapInArrow(scatter, "slice int, bits binary").repartition(cls.SLICES, "slice").mapInArrow(gather, "slice int, bits binary").toArrow()
+        bits = np.zeros(cls.SLICES << (cls.BITS - 3), np.uint8)
+        size = 1 << (cls.BITS - 3)
+        for i, raw in zip(found["slice"].to_pylist(), found["bits"].to_pylist()):
+            bits[i * size : (i + 1) * size] = np.frombuffer(raw, np.uint8)
+        return shingles.sparkSession.sparkContext.broadcast(bits)
+
+
+def _chosen(batch: pa.RecordBatch, frequent: ShingleFilter, percent: int):
+    """Bucket shingles of the classes of a batch: per head entry its class, place and p, and whether kind 0 or kind 1 takes it."""
+    col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    values, counts = col["head"].flatten().to_numpy(), np.diff(col["head"].offsets.to_numpy())
+    row, place = V.row_of(counts), V.ragged_arange(counts)
+    p = col["p"].to_numpy()
+    rare = ~frequent.has(values)
+    running = np.concatenate([[0], np.cumsum(rare)])
+    first = V.offsets_of(counts)
+    rank = running[1:] - np.repeat(running[first[:-1]], counts)
+    n_rare = running[first[1:]] - running[first[:-1]]
+    further = np.full(len(p), np.iinfo(np.int64).max)
+    last = np.flatnonzero(rare & (rank == p[row]))
+    further[row[last]] = place[last] + 1 - p[row[last]]
+    # The p-th infrequent shingle must lie within about p further places, which the other side's head has too.
+    enough = (n_rare >= p) & (further <= np.floor(p * (0.9 * percent / 100)) + 4)
+    zero = rare & ((rank <= p[row]) | ~enough[row])
+    one = ~enough[row] & (place < p[row])
+    return values, row, place, p, zero, one
+
+
 def _buckets(classes: DataFrame, percent: int, work: Workspace) -> DataFrame:
-    """(kind, shingle, set, n): members of all buckets with more than one; kind 1 are the sets of frequent shingles among themselves."""
-    plain = classes.select("set", "n", F.explode(F.slice("head", F.lit(1), F.col("p").cast("int"))).alias("shingle"))
+    """(kind, shingle, set, n, members, hub, hub_n): all buckets with more than one member; kind 1 are the sets of frequent shingles among themselves.
+
+    Which shingles are put last, and which can be left out as nobody shares them, is asked of filters of fixed size. A false
+    answer puts a shingle last for all sets alike, or keeps one too many; neither loses a link.
+    """
+    plain = classes.select(F.explode(F.slice("head", F.lit(1), F.col("p").cast("int"))).alias("shingle"))
     counts = work.put(plain.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "counts")
-    shared = work.put(plain.join(counts, "shingle"), "shared")
-    frequent = work.put(counts.where(F.col("times") > FREQUENT).select("shingle"), "frequent")
+    shared = ShingleFilter.build(counts.select("shingle"))
+    frequent = ShingleFilter.build(counts.where(F.col("times") > FREQUENT).select("shingle"))
     work.drop("counts")
-    moved = work.put(shared.where(F.col("times") > FREQUENT).select("set").distinct(), "moved")
-    # Longer heads of the sets that have frequent shingles in their first places.
-    listed = classes.join(moved, "set").select("set", "n", "p", F.posexplode("head").alias("place", "shingle"))
-    listed = listed.join(frequent.withColumn("often", F.lit(True)), "shingle", "left")
-    # The p-th infrequent shingle must lie within about p further places, which the other side's head has too.
-    rare = F.expr("filter(h, x -> not x.often)")
-    heads = listed.groupBy("set", "n", "p").agg(F.array_sort(F.collect_list(F.struct("place", "shingle", F.coalesce("often", F.lit(False)).alias("often")))).alias("h")).withColumn("rare", rare)
-    enough = F.expr(f"size(rare) >= p and element_at(rare, cast(p as int)).place + 1 - p <= floor(p * {percent / 100 * 0.9}) + 4 or size(h) = n and size(rare) = n")
-    heads = work.put(heads.withColumn("enough", F.coalesce(F.when(F.expr("size(rare) >= p"), enough), F.lit(False))), "heads")
-    few = heads.where("enough").select(F.lit(0).alias("kind"), F.expr("explode(slice(rare, 1, cast(p as int)))").alias("x"), "set", "n")
-    most = heads.where("not enough").select(F.lit(0).alias("kind"), F.explode("rare").alias("x"), "set", "n")
-    own = heads.where("not enough").select(F.lit(1).alias("kind"), F.expr("explode(filter(h, x -> x.place < p))").alias("x"), "set", "n")
-    longer = few.unionByName(most).unionByName(own).select("kind", F.col("x.shingle").alias("shingle"), "set", "n")
-    rest = shared.where(F.col("times") <= FREQUENT).join(moved, "set", "left_anti").select(F.lit(0).alias("kind"), "shingle", "set", "n")
-    members = work.put(rest.unionByName(longer), "members")
-    alone = members.groupBy("kind", "shingle").agg(F.count(F.lit(1)).alias("members"), F.min("set").alias("hub"), F.min_by("n", "set").alias("hub_n")).where("members > 1")
+
+    def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, row, place, p, zero, _ = _chosen(batch, ShingleFilter(frequent.value), percent)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(values[zero & (place >= p[row])]))], ["shingle"])
+
+    beyond = ShingleFilter.build(classes.select("p", "head").mapInArrow(further, "shingle long"))
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values, row, _, _, zero, one = _chosen(batch, ShingleFilter(frequent.value), percent)
+            met = ShingleFilter(shared.value).has(values)
+            parts = (np.flatnonzero(zero & (met | ShingleFilter(beyond.value).has(values))), np.flatnonzero(one & met))
+            at = np.concatenate(parts)
+            kind = np.repeat(np.array([0, 1], np.int32), [len(x) for x in parts])
+            sets, n = batch.column(0).to_numpy()[row[at]], batch.column(1).to_numpy()[row[at]]
+            yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(values[at]), pa.array(sets), pa.array(n)], ["kind", "shingle", "set", "n"])
+
+    members = work.put(classes.select("set", "n", "p", "head").mapInArrow(choose, "kind int, shingle long, set long, n long"), "members")
+    alone = members.groupBy("kind", "shingle").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("set", "n")).alias("h")).where("members > 1")
+    alone = alone.select("kind", "shingle", "members", F.col("h.set").alias("hub"), F.col("h.n").alias("hub_n"))
     out = work.put(members.join(work.put(alone, "sizes"), ["kind", "shingle"]), "buckets")
-    work.drop("shared", "frequent", "moved", "heads", "members", "sizes")
+    work.drop("members", "sizes")
     return out
 
 
