@@ -170,6 +170,16 @@ class TextEncoder:
         return out, inner + 1
 
 
+_ENCODERS: dict[str, TextEncoder] = {}
+
+
+def encoder_of(path: str) -> TextEncoder:
+    """The encoder of this worker process: its known pieces serve all tasks that run there."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path)
+    return _ENCODERS[path]
+
+
 # --- Codes ----------------------------------------------------------------------------------------------------
 
 
@@ -263,7 +273,7 @@ _NULL_ID = -(2**63)
 
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = TextEncoder(path)
+        encoder = encoder_of(path)
         narrow = np.uint16 if encoder.vocabulary <= 1 << 16 else np.uint32
         part, block, before = TaskContext.get().partitionId(), 0, 0
         counts = np.zeros(encoder.vocabulary, np.int64)

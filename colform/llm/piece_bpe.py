@@ -251,18 +251,25 @@ class PieceEncoder:
         return out, inner + 2
 
 
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder_of(path: str) -> PieceEncoder:
+    """The encoder of this worker process: its known words serve all tasks that run there."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(PieceModel(path))
+    return _ENCODERS[path]
+
+
 def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
     """Adds n_tokens, ids_sha256 and decoded_sha256 of every text."""
-    model = PieceModel(model_path)
-    state: dict = {}
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
-        if "encoder" not in state:
-            state["encoder"] = PieceEncoder(model)
-        ids, counts = state["encoder"].encode(batch.column(batch.schema.get_field_index("text")))
+        encoder = encoder_of(model_path)
+        ids, counts = encoder.encode(batch.column(batch.schema.get_field_index("text")))
         raw, ends = ids.astype("<u4").tobytes(), np.concatenate([[0], np.cumsum(counts)]) * 4
         digests = [hashlib.sha256(raw[a:b]).hexdigest() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
-        texts = [hashlib.sha256(t).hexdigest() for t in model.decode(ids, counts)]
+        texts = [hashlib.sha256(t).hexdigest() for t in encoder.model.decode(ids, counts)]
         return [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
 
     return append_columns(docs, run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", max_bytes=1 << 20)
