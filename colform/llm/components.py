@@ -15,14 +15,14 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     written tables; a node with very many links is combined before the shuffle.
     """
     both = work.put(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
-    labels = work.put(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), f"{name}-labels0")
+    labels = work.put(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), f"{name}-labels0", small=True)
     round_ = 0
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         moved = labels.join(near.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        moved = work.put(moved, f"{name}-moved{round_}")
+        moved = work.put(moved, f"{name}-moved{round_}", small=True)
         jump = moved.select(F.col("node").alias("label"), F.col("label").alias("far"))
-        new = work.put(moved.join(jump, "label").select("node", "old", F.col("far").alias("label")), f"{name}-labels{round_ + 1}")
+        new = work.put(moved.join(jump, "label").select("node", "old", F.col("far").alias("label")), f"{name}-labels{round_ + 1}", small=True)
         changed = new.where("label <> old").limit(1).count()
         work.drop(f"{name}-moved{round_}", f"{name}-labels{round_}")
         labels, round_ = new.select("node", "label"), round_ + 1

@@ -321,6 +321,7 @@ def write(docs: DataFrame, tokenizer_path: str, folder: str, work: Workspace) ->
                 own = np.flatnonzero(counts)
                 yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(counts[own])], ["id", "n"])
 
+    work.release()
     found = ids.where("kind = 1").select("ids").mapInArrow(total, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(max(found["id"].to_pylist(), default=0) + 1, np.int64)
     counts[found["id"].to_numpy()] = found["n"].to_numpy()

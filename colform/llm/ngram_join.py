@@ -345,8 +345,8 @@ def _buckets(classes: DataFrame, percent: int, work: Workspace) -> DataFrame:
     members = work.put(classes.select("set", "n", "p", "head").mapInArrow(choose, "kind int, shingle long, set long, n long"), "members")
     alone = members.groupBy("kind", "shingle").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct("set", "n")).alias("h")).where("members > 1")
     alone = alone.select("kind", "shingle", "members", F.col("h.set").alias("hub"), F.col("h.n").alias("hub_n"))
-    out = work.put(members.join(work.put(alone, "sizes"), ["kind", "shingle"]), "buckets")
-    work.drop("members", "sizes")
+    out = work.put(members.join(work.put(alone, "sizes", small=True), ["kind", "shingle"]), "buckets")
+    work.drop("members", "sizes", small=True)
     return out
 
 
@@ -409,16 +409,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     while True:
         labels = components(tested.where("linked"), work, f"c{round_}")
         labelled = buckets.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-        labelled = work.put(labelled.select("kind", "shingle", "members", "set", "n", "label"), f"labelled{round_}")
+        labelled = work.put(labelled.select("kind", "shingle", "members", "set", "n", "label"), f"labelled{round_}", small=True)
         open_ = labelled.groupBy("kind", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("kind", "shingle")
-        open_ = labelled.join(work.put(open_, f"open{round_}"), ["kind", "shingle"])
+        open_ = labelled.join(work.put(open_, f"open{round_}", small=True), ["kind", "shingle"])
         failed = tested.where("not linked")
         failed = failed.groupBy(F.col("a").alias("set")).agg(F.collect_list("b").alias("failed"))
         info = bodies.select("set", "n", "bitmap").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")).join(failed, "set", "left")
         units = work.put(_units(open_, percent), f"units{round_}")
         found = units.join(info, "set").groupBy("unit").applyInArrow(_search_unit(percent, each), "a long, b long").distinct()
         found = work.put(_verified(found, bodies, percent), f"found{round_}")
-        work.drop(f"units{round_}", f"labelled{round_}", f"open{round_}")
+        work.drop(f"units{round_}", f"labelled{round_}", f"open{round_}", small=True)
         if not found.limit(1).count():
             break
         round_, each = round_ + 1, each * 2
@@ -426,7 +426,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     whole = firsts.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     smallest = whole.groupBy("label").agg(F.min("first").alias("component"))
-    resolved = work.put(whole.join(work.put(smallest, "smallest"), "label").select("set", "component"), "resolved")
+    resolved = work.put(whole.join(work.put(smallest, "smallest", small=True), "label").select("set", "component"), "resolved")
+    work.release()
     found = rows.select("doc_id", "set", "n").join(resolved, "set", "left")
     return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
 

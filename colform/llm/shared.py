@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -61,12 +62,17 @@ class Workspace:
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        schema = df.schema
+    def put(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
+        """``small`` says that the step before shuffled little, so nothing is worth cleaning up."""
+        if not small:
+            self.release()
         df.write.mode("overwrite").parquet(self.path(name))
-        del df
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of finished steps
-        return self.spark.read.schema(schema).parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def release(self) -> None:
+        """Lets Spark delete the shuffle files of finished steps: it does so when the driver's garbage is collected."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm

@@ -340,11 +340,11 @@ def _marked(docs: DataFrame, work: Workspace) -> DataFrame:
     narrow = work.put(keyed.select("doc", "print1", "print2", F.octet_length("text").alias("size")).distinct(), "prints")
     prints = ["print1", "print2"]
     firsts = narrow.where(F.col("size") >= LENGTH).groupBy(*prints).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = narrow.join(work.put(firsts, "firsts"), prints).where("doc > first").select("doc", *prints, F.lit(0).alias("tie"), F.lit(True).alias("copy"))
+    copies = narrow.join(work.put(firsts, "firsts", small=True), prints).where("doc > first").select("doc", *prints, F.lit(0).alias("tie"), F.lit(True).alias("copy"))
     shared = narrow.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
-    ties = narrow.join(work.put(shared, "shared"), "doc").withColumn("tie", F.row_number().over(Window.partitionBy("doc").orderBy(*prints)) - 1).where("tie > 0")
+    ties = narrow.join(work.put(shared, "shared", small=True), "doc").withColumn("tie", F.row_number().over(Window.partitionBy("doc").orderBy(*prints)) - 1).where("tie > 0")
     marks = copies.unionByName(ties.select("doc", *prints, "tie", F.lit(False).alias("copy"))).groupBy("doc", *prints).agg(F.max("tie").alias("tie"), F.max("copy").alias("copy"))
-    marks = work.put(marks, "marks")
+    marks = work.put(marks, "marks", small=True)
     return keyed.join(marks, ["doc", *prints], "left").withColumns({"tie": F.coalesce("tie", F.lit(0)), "copy": F.coalesce("copy", F.lit(False))}).drop(*prints)
 
 
@@ -375,6 +375,7 @@ def dedup(docs: DataFrame, work: Workspace | None = None, as_text: bool = False)
 
     lost = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     joined = texts.join(lost, ["doc", "tie"], "left")
+    work.release()
     last = "kept_text" if as_text else "kept"
     found = append_columns(joined, _cut_text if as_text else _cut, f"n_bytes bigint, n_removed bigint, n_spans bigint, {last} {'string' if as_text else 'binary'}")
     names = [c for c in docs.columns if c not in own]
