@@ -28,6 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,7 +96,7 @@ def _heads(width: int, percent: int):
     """First 2 p + 16 shingles of every set; only the first row of a set within a batch carries them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, max_bytes=1 << 20):
+        for batch in slices(batches, max_bytes=1 << 19):
             values, counts = shingle_sets(batch.column(1), width)
             p = counts - needed(counts, percent) + 1
             take = np.minimum(counts, 2 * p + 16)
@@ -115,7 +116,7 @@ def _bodies(width: int):
     """set, n, bitmap and all shingles of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, max_bytes=1 << 20):
+        for batch in slices(batches, max_bytes=1 << 19):
             values, counts = shingle_sets(batch.column(1), width)
             bits = _bits_for(counts)
             bytes_ = V.offsets_of(bits // 8)
@@ -134,7 +135,7 @@ def _bodies(width: int):
 
 def _folded(bitmap: bytes, size: int) -> np.ndarray:
     """A bitmap of 2^k bytes OR-folded to ``size`` bytes, as 64-bit words."""
-    raw = np.frombuffer(bitmap, np.uint8)
+    raw = np.frombuffer(bitmap, np.uint8)  # bytes or an Arrow buffer
     return np.bitwise_or.reduce(raw.reshape(-1, size), axis=0).view(np.uint64)
 
 
@@ -193,33 +194,114 @@ def dual_traversal(a: SignatureTree, b: SignatureTree, percent: int, same: bool)
             x, y = x[keep], y[keep]
 
 
-def _search_unit(percent: int, each: int):
-    """Candidate pairs of one unit: rows (side, set, n, label, bitmap, failed)."""
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = {(r["side"], r["set"]): r for r in table.to_pylist()}
-        sides = [sorted((r for r in rows.values() if r["side"] == s), key=lambda r: (r["n"], r["set"])) for s in (0, 1)]
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        if not sides[0]:
-            return none
-        size = min(len(r["bitmap"]) for r in rows.values())
-        trees = [SignatureTree(np.stack([_folded(r["bitmap"], size) for r in s]), np.array([r["n"] for r in s], np.int64), np.array([r["label"] for r in s], np.int64)) if s else None for s in sides]
-        same = trees[1] is None
-        x, y, most = dual_traversal(trees[0], trees[0] if same else trees[1], percent, same)
-        left, right = sides[0], sides[0] if same else sides[1]
-        failed = {(r["set"], f) for r in rows.values() for f in r["failed"] or ()}
-        given: dict[tuple[int, int], int] = {}
-        a, b = [], []
-        for k in np.argsort(-most, kind="stable").tolist():
-            r, s = left[x[k]], right[y[k]]
-            pair = (min(r["set"], s["set"]), max(r["set"], s["set"]))
-            if pair in failed or pair[0] == pair[1]:
-                continue
-            groups = (min(r["label"], s["label"]), max(r["label"], s["label"]))
-            if given.get(groups, 0) < each:
-                given[groups] = given.get(groups, 0) + 1
-                a.append(pair[0]), b.append(pair[1])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+def _tree_order(n: np.ndarray, label: np.ndarray, large: int = FANOUT) -> np.ndarray:
+    """Leaves of large components side by side, so that nodes are pure; the others by size."""
+    _, inverse, times = np.unique(label, return_inverse=True, return_counts=True)
+    group = np.where(times[inverse] >= large, inverse + 1, 0)
+    return np.lexsort((n, group))
+
+
+def _limited(unit, a, b, la, lb, most, each: int) -> np.ndarray:
+    """Of the pairs of a unit and two components the ``each`` that may share most."""
+    order = np.lexsort((b, a, -most, lb, la, unit))
+    opens = np.ones(len(order), bool)
+    x, y = order[1:], order[:-1]
+    opens[1:] = (la[x] != la[y]) | (lb[x] != lb[y]) | (unit[x] != unit[y])
+    place = np.arange(len(order)) - np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))
+    return order[place < each]
+
+
+def _pair_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return V.mix(V.mix(np.ascontiguousarray(a).view(np.uint64)) + np.ascontiguousarray(b).view(np.uint64))
+
+
+class _Members:
+    """Rows of some whole units as arrays."""
+
+    def __init__(self, table: pa.Table):
+        self.unit = table["unit"].to_numpy()
+        self.side, self.sets, self.n, self.label = (table[c].to_numpy() for c in ("side", "set", "n", "label"))
+        self.bitmaps = table["bitmap"].combine_chunks()
+        self.bytes = np.array(pc.binary_length(self.bitmaps).to_numpy(), np.int64)
+        failed = table.select(["set", "failed"]).filter(pc.is_valid(table["failed"])).to_pylist()
+        tested = np.array(sorted({(r["set"], f) for r in failed for f in r["failed"]}), np.int64).reshape(-1, 2)
+        self.tested = np.unique(_pair_names(tested[:, 0], tested[:, 1]))
+
+    def folded(self, rows: np.ndarray, size: int) -> np.ndarray:
+        return np.stack([_folded(self.bitmaps[i].as_buffer(), size) for i in rows.tolist()])
+
+    def candidates(self, x: np.ndarray, y: np.ndarray, most: np.ndarray, each: int):
+        """(unit, a, b) of row pairs, without tested ones and beyond the limit."""
+        p, q, lp, lq = self.sets[x], self.sets[y], self.label[x], self.label[y]
+        a, b, la, lb = np.minimum(p, q), np.maximum(p, q), np.minimum(lp, lq), np.maximum(lp, lq)
+        keep = np.flatnonzero((a != b) & (la != lb) & ~np.isin(_pair_names(a, b), self.tested))
+        unit = self.unit[x][keep]
+        few = _limited(unit, a[keep], b[keep], la[keep], lb[keep], most[keep], each)
+        return unit[few], a[keep][few], b[keep][few]
+
+    def small_units(self, rows: np.ndarray, percent: int, each: int):
+        """Units of one node: its leaves meet each other, those of all such units at once."""
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(self.unit[rows]) != 0])), len(rows))
+        rest = np.repeat(cuts[1:], np.diff(cuts)) - np.arange(len(rows)) - 1
+        x, y = rows[np.repeat(np.arange(len(rows)), rest)], rows[V.ragged_take(np.arange(len(rows)) + 1, rest)]
+        low, high = np.minimum(self.n[x], self.n[y]), np.maximum(self.n[x], self.n[y])
+        keep = (self.label[x] != self.label[y]) & (100 * low >= percent * high)
+        x, y = x[keep], y[keep]
+        size = np.minimum(self.bytes[x], self.bytes[y])
+        most = np.zeros(len(x), np.int64)
+        for s in np.unique(size).tolist():
+            own = np.flatnonzero(size == s)
+            used, place = np.unique(np.concatenate([x[own], y[own]]), return_inverse=True)
+            maps = self.folded(used, s)
+            slack = self.n[used] - np.bitwise_count(maps).sum(axis=1).astype(np.int64)
+            i, j = place[: len(own)], place[len(own) :]
+            for at in range(0, len(own), 8192):
+                part = slice(at, at + 8192)
+                most[own[part]] = np.bitwise_count(maps[i[part]] & maps[j[part]]).sum(axis=1) + np.minimum(slack[i[part]], slack[j[part]])
+        keep = (100 + percent) * most >= percent * (self.n[x] + self.n[y])
+        return self.candidates(x[keep], y[keep], most[keep], each)
+
+    def large_unit(self, rows: np.ndarray, percent: int, each: int):
+        """One unit by its trees."""
+        size = int(self.bytes[rows].min())
+        trees, members = [], []
+        for s in (0, 1):
+            own = rows[self.side[rows] == s]
+            if len(own):
+                own = own[np.unique(self.sets[own], return_index=True)[1]]
+                own = own[_tree_order(self.n[own], self.label[own])]
+                trees.append(SignatureTree(self.folded(own, size), self.n[own], self.label[own]))
+                members.append(own)
+        if (self.side[rows] == 1).any() and len(trees) < 2:
+            return self.unit[:0], self.sets[:0], self.sets[:0]
+        x, y, most = dual_traversal(trees[0], trees[-1], percent, len(trees) == 1)
+        return self.candidates(members[0][x], members[-1][y], most, each)
+
+
+def _search(percent: int, each: int):
+    """Candidate pairs (unit, a, b) of rows (unit, side, set, n, label, bitmap, failed) that come unit by unit."""
+
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        m = _Members(table)
+        cuts = np.append(np.flatnonzero(np.concatenate([[True], np.diff(m.unit) != 0])), len(m.unit))
+        sizes = np.diff(cuts)
+        two = np.maximum.reduceat(m.side, cuts[:-1]) > 0
+        small = (sizes <= FANOUT * FANOUT) & ~two
+        out = [m.small_units(np.flatnonzero(np.repeat(small, sizes)), percent, each)] if small.any() else []
+        out += [m.large_unit(np.arange(cuts[i], cuts[i + 1]), percent, each) for i in np.flatnonzero(~small)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([o[k] for o in out]).astype(np.int64)) for k in range(3)], ["unit", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
+            units = table["unit"].to_numpy()
+            cut = int(np.searchsorted(units, units[-1])) if len(units) else 0
+            if cut:
+                yield whole(table.slice(0, cut))
+            waiting = table.slice(cut)
+        if waiting is not None and waiting.num_rows:
+            yield whole(waiting)
 
     return run
 
@@ -368,7 +450,7 @@ def _units(open_: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([list(x) for x in out], pa.list_(pa.int64()))], ["sets"])
 
     small_units = small.select("m").mapInArrow(lists, "sets array<long>").distinct()
-    small_units = small_units.select(F.hex(F.xxhash64("sets")).alias("unit"), F.lit(0).alias("side"), F.explode("sets").alias("set"))
+    small_units = small_units.select(F.xxhash64("sets").alias("unit"), F.lit(0).alias("side"), F.explode("sets").alias("set"))
 
     large = open_.where(F.col("members") > BLOCK)
     by_label = large.groupBy("kind", "shingle", "label").agg(F.count(F.lit(1)).alias("k"))
@@ -378,7 +460,7 @@ def _units(open_: DataFrame, percent: int) -> DataFrame:
     odd = large.where("label <> main")
     odd_blocks = odd.groupBy("kind", "shingle").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("odd_blocks"))
     large = large.join(odd_blocks, ["kind", "shingle"])
-    name = lambda i, j: F.concat_ws("/", "kind", "shingle", i.cast("string"), j.cast("string"))
+    name = lambda i, j: F.xxhash64("kind", "shingle", i, j)
     all_sides = large.withColumn("j", F.explode(F.expr("sequence(0, odd_blocks - 1)"))).select(name(block, F.col("j")).alias("unit"), F.lit(0).alias("side"), "set")
     odd = odd.join(odd_blocks, ["kind", "shingle"]).withColumn("j", F.pmod(F.xxhash64(F.lit(5), "set"), F.col("odd_blocks")).cast("int"))
     odd_sides = odd.withColumn("i", F.explode(F.expr("sequence(0, blocks - 1)"))).select(name(F.col("i"), F.col("j")).alias("unit"), F.lit(1).alias("side"), "set")
@@ -405,24 +487,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     stars = buckets.where("set <> hub").where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").groupBy("set", "hub").agg(F.count(F.lit(1)).alias("k"))
     stars = stars.groupBy("set").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
     tested = work.put(_verified(stars.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct(), bodies, percent), "tested0")
+    labels = components(tested.where("linked"), work, "c0")
+    labelled = buckets.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    labelled = work.put(labelled.select("kind", "shingle", "members", "set", "n", "label"), "labelled", small=True)
+    open_ = labelled.groupBy("kind", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("kind", "shingle")
+    units = work.put(_units(labelled.join(work.put(open_, "open", small=True), ["kind", "shingle"]), percent), "units")
+    work.drop("labelled", "open", "buckets")
     round_, each = 0, 2
     while True:
-        labels = components(tested.where("linked"), work, f"c{round_}")
-        labelled = buckets.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-        labelled = work.put(labelled.select("kind", "shingle", "members", "set", "n", "label"), f"labelled{round_}", small=True)
-        open_ = labelled.groupBy("kind", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("kind", "shingle")
-        open_ = labelled.join(work.put(open_, f"open{round_}", small=True), ["kind", "shingle"])
-        failed = tested.where("not linked")
-        failed = failed.groupBy(F.col("a").alias("set")).agg(F.collect_list("b").alias("failed"))
+        failed = tested.where("not linked").groupBy(F.col("a").alias("set")).agg(F.collect_list("b").alias("failed"))
         info = bodies.select("set", "n", "bitmap").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")).join(failed, "set", "left")
-        units = work.put(_units(open_, percent), f"units{round_}")
-        found = units.join(info, "set").groupBy("unit").applyInArrow(_search_unit(percent, each), "a long, b long").distinct()
-        found = work.put(_verified(found, bodies, percent), f"found{round_}")
-        work.drop(f"units{round_}", f"labelled{round_}", f"open{round_}")
+        searched = units.join(info, "set").select("unit", "side", "set", "n", "label", "bitmap", "failed").repartition("unit").sortWithinPartitions("unit")
+        emitted = work.put(searched.mapInArrow(_search(percent, each), "unit long, a long, b long"), f"emitted{round_}")
+        found = work.put(_verified(emitted.select("a", "b").distinct(), bodies, percent), f"found{round_}", small=True)
         if not found.limit(1).count():
             break
+        # Only units that gave pairs can give more.
+        units = work.put(units.join(emitted.select("unit").distinct(), "unit", "left_semi"), f"units{round_}", small=True)
         round_, each = round_ + 1, each * 2
-        tested = work.put(tested.unionByName(found), f"tested{round_}")
+        tested = work.put(tested.unionByName(found), f"tested{round_}", small=True)
+        labels = components(tested.where("linked"), work, f"c{round_}")
 
     whole = firsts.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     smallest = whole.groupBy("label").agg(F.min("first").alias("component"))

@@ -79,7 +79,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, max_bytes=1 << 20):
+    for batch in slices(batches, max_bytes=1 << 19):
         data, offsets = text_buffers(batch.column(batch.schema.get_field_index("text")))
         place, gram = anchors(data, offsets)
         counts = np.diff(np.searchsorted(place, offsets))
@@ -261,7 +261,7 @@ def _route(parts: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         suffixes, windows, spans, held = [], [], [], 0
-        for batch in slices(batches, max_bytes=1 << 20):
+        for batch in slices(batches, max_bytes=1 << 19):
             col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
             data, offsets = text_buffers(col["text"])
             counts = np.diff(col["places"].offsets.to_numpy())
