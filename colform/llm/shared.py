@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -70,9 +71,14 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def release(self) -> None:
-        """Lets Spark delete the shuffle files of finished steps: it does so when the driver's garbage is collected."""
+        """Lets Spark delete the shuffle files of finished steps.
+
+        It does so behind the driver's garbage collection, on a thread of its own that needs a moment.
+        """
         gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm
