@@ -210,7 +210,7 @@ def predict(docs: DataFrame, languages: list[str], net: ByteNet | None) -> DataF
         names = np.array([*languages, UNDETERMINED], object)
         return [pa.array(names[best], pa.string()), pa.array(score, pa.float64())]
 
-    return append_columns(docs, run, "lang_pred string, score double", max_bytes=1 << 20)
+    return append_columns(docs, run, "lang_pred string, score double", max_bytes=1 << 19)
 
 
 def identify(docs: DataFrame, folds: int = 5) -> DataFrame:

@@ -272,4 +272,4 @@ def encode_documents(docs: DataFrame, model_path: str) -> DataFrame:
         texts = [hashlib.sha256(t).hexdigest() for t in encoder.model.decode(ids, counts)]
         return [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())]
 
-    return append_columns(docs, run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", max_bytes=1 << 20)
+    return append_columns(docs, run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", max_bytes=1 << 19)

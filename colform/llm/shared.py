@@ -124,7 +124,7 @@ def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(np.ascontiguousarray(data).tobytes())])
 
 
-def append_columns(df: DataFrame, fn, fields: str, text: str = "text", max_bytes: int = 2 << 20) -> DataFrame:
+def append_columns(df: DataFrame, fn, fields: str, text: str = "text", max_bytes: int = 1 << 19) -> DataFrame:
     """Every row of ``df`` with further columns that ``fn(batch)`` returns as a list of Arrow arrays.
 
     Batches are cut by text bytes. Columns of ``df`` with the new names are replaced.
