@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import vectortext as V
 from .components import components
-from .shared import Workspace, append_columns, slices, text_buffers
+from .shared import Workspace, append_columns, slices, text_buffers, trim
 
 WIDTH = 5
 PERCENT = 80
@@ -302,6 +302,7 @@ def _search(percent: int, each: int):
             waiting = table.slice(cut)
         if waiting is not None and waiting.num_rows:
             yield whole(waiting)
+        trim()
 
     return run
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
@@ -104,8 +105,22 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+try:
+    _RELEASE = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _RELEASE = None
+
+
+def trim() -> None:
+    """Gives freed memory of a Python worker back: workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _RELEASE is not None:
+        _RELEASE(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int = 2 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cuts incoming batches so that each holds about ``max_bytes`` of text, or one longer row: bounded memory."""
+    count = 0
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -117,6 +132,10 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", max_bytes: int
             end = min(max(end, at + 1), at + max_rows, batch.num_rows)
             yield batch.slice(at, end - at)
             at = end
+            count += 1
+            if count % 32 == 0:
+                trim()
+    trim()
 
 
 def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:

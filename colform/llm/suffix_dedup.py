@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectortext as V
-from .shared import Workspace, append_columns, slices, text_buffers
+from .shared import Workspace, append_columns, slices, text_buffers, trim
 
 LENGTH = 100
 GRAM = 32
@@ -41,7 +41,7 @@ REACH = LENGTH - GRAM
 SPAN = 2 * REACH + GRAM
 #: Occurrences of a task's index and bytes that a task holds before it sends them on.
 OCCURRENCES_A_TASK = 60_000
-HELD_BYTES = 8 << 20
+HELD_BYTES = 4 << 20
 _PLACE_BITS = np.uint64(30)
 _FIRST_ID = -(2**63)
 
@@ -232,8 +232,11 @@ def _route(parts: int):
             gram, s = np.concatenate([g for g, _ in suffixes]), Suffixes.joined([s for _, s in suffixes])
             # Of equal surroundings the first goes on; the others lose all that their windows cover.
             row = np.concatenate([s.text, s.fields["left"][:, None], s.fields["right"][:, None]], axis=1)
-            width = row.shape[1]
-            number = V.span_hash(V.rolling_sums(row.ravel()), np.arange(len(row)) * width, np.arange(1, len(row) + 1) * width)
+            padded = np.zeros((len(row), -(-row.shape[1] // 8) * 8), np.uint8)
+            padded[:, : row.shape[1]] = row
+            number = np.zeros(len(row), np.uint64)
+            for word in padded.view(np.uint64).T:
+                number = V.mix(number ^ word)
             order = np.lexsort((s.fields["place"], s.fields["tie"], s.fields["doc"], number))
             repeat = np.zeros(len(order), bool)
             a, b = order[1:], order[:-1]
@@ -298,6 +301,7 @@ def _route(parts: int):
                 yield from flush(suffixes, windows, spans)
                 suffixes, windows, spans, held = [], [], [], 0
         yield from flush(suffixes, windows, spans)
+        trim()
 
     return run
 
@@ -331,6 +335,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for at in range(0, len(doc), 1 << 16):
         part = slice(at, at + (1 << 16))
         yield pa.RecordBatch.from_arrays([pa.array(doc[part]), pa.array(tie[part].astype(np.int32)), pa.array(start[part].astype(np.int32)), pa.array(end[part].astype(np.int32))], ["doc", "tie", "start", "end"])
+    del family, windows, spans
+    trim()
 
 
 def _marked(docs: DataFrame, work: Workspace) -> DataFrame:
