@@ -90,8 +90,10 @@ def dequantize(q: Column, step: float) -> Column:
     return q * F.lit(step)
 
 
-def field_changed(a: Column, b: Column) -> Column:
-    """Null-safe inequality that tells 0 from -0 and takes NaN as equal to itself."""
+def field_changed(a: Column, b: Column, fractional: bool = True) -> Column:
+    """Null-safe inequality; of fractional numbers it tells 0 from -0 and takes NaN as equal to itself."""
+    if not fractional:
+        return ~a.eqNullSafe(b)
     sign = (a == 0) & (b == 0) & (a.cast("string") != b.cast("string"))
     return ~a.eqNullSafe(b) | F.coalesce(sign, F.lit(False))
 

@@ -31,7 +31,9 @@ def diff(base: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     fields = [c for c in base.columns if c not in keys]
     b = base.select(*keys, F.lit(True).alias("_b"), *[F.col(c).alias(f"b_{c}") for c in fields])
     n = current.select(*keys, F.lit(True).alias("_n"), *[F.col(c).alias(f"n_{c}") for c in fields])
-    mask = sum((F.when(C.field_changed(F.col(f"b_{c}"), F.col(f"n_{c}")), F.lit(1 << i)).otherwise(0) for i, c in enumerate(fields)), F.lit(0)).cast("long")
+    kinds = dict(base.dtypes)
+    changed = lambda c: C.field_changed(F.col(f"b_{c}"), F.col(f"n_{c}"), kinds[c] in ("float", "double"))
+    mask = sum((F.when(changed(c), F.lit(1 << i)).otherwise(0) for i, c in enumerate(fields)), F.lit(0)).cast("long")
     joined = b.join(n, keys, "full")
     op = F.when(F.col("_b").isNull(), SET).when(F.col("_n").isNull(), REMOVE).otherwise(ROW)
     out = joined.withColumn("op", op).withColumn("mask", F.when(F.col("op") == ROW, mask).otherwise(F.lit(0)).cast("long"))

@@ -1 +1 @@
-
+"""Change capture on streams."""
