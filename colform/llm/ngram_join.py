@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from . import vectortext as V
 from .components import components
+from .filters import NumberFilter
 from .shared import Workspace, append_columns, slices, text_buffers, trim
 
 WIDTH = 5
@@ -44,6 +45,7 @@ FREQUENT = 64
 BLOCK = 512
 #: Children of a tree node.
 FANOUT = 8
+_NULL_ID = -(2**63)
 
 
 # --- Sets -----------------------------------------------------------------------------------------------------
@@ -112,11 +114,14 @@ def _bits_for(n: np.ndarray) -> np.ndarray:
     return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64))
 
 
-def _bodies(width: int):
-    """set, n, bitmap and all shingles of every row."""
+def _bodies(width: int, meeting):
+    """set, n, bitmap and all shingles of the rows whose ids the filter ``meeting`` holds; a few others may come too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=1 << 19):
+            batch = batch.filter(pa.array(NumberFilter(meeting.value).has(batch.column(0).fill_null(_NULL_ID).to_numpy())))
+            if not batch.num_rows:
+                continue
             values, counts = shingle_sets(batch.column(1), width)
             bits = _bits_for(counts)
             bytes_ = V.offsets_of(bits // 8)
@@ -329,53 +334,7 @@ def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, linked boolean")
 
 
-class ShingleFilter:
-    """A Bloom filter of fixed size over shingles: 8 MB, however many there are."""
-
-    SLICES, BITS = 64, 20
-
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
-
-    @classmethod
-    def places(cls, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        h = V.mix(values.view(np.uint64) ^ np.uint64(0x5BD1E995))
-        base = (h >> np.uint64(58)) << np.uint64(cls.BITS)
-        low = np.uint64((1 << cls.BITS) - 1)
-        return (base | (h & low)).astype(np.int64), (base | ((h >> np.uint64(cls.BITS)) & low)).astype(np.int64)
-
-    def has(self, values: np.ndarray) -> np.ndarray:
-        a, b = self.places(values)
-        return ((self.bits[a >> 3] >> (a & 7).astype(np.uint8)) & (self.bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1).astype(bool)
-
-    @classmethod
-    def build(cls, shingles: DataFrame):
-        """From a one-column table; returns a broadcast variable. The driver gets one row of 128 KB a slice."""
-
-        def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                bits = np.unique(np.concatenate(cls.places(batch.column(0).to_numpy())))
-                cuts = np.searchsorted(bits, np.arange(cls.SLICES + 1) << cls.BITS)
-                rows = [(i, (bits[cuts[i] : cuts[i + 1]] & ((1 << cls.BITS) - 1)).astype(np.int32).tobytes()) for i in range(cls.SLICES) if cuts[i + 1] > cuts[i]]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["slice", "bits"])
-
-        def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held: dict[int, np.ndarray] = {}
-            for batch in batches:
-                for i, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    held.setdefault(i, np.zeros(1 << cls.BITS, bool))[np.frombuffer(raw.as_buffer(), np.int32)] = True
-            packed = [np.packbits(x, bitorder="little").tobytes() for x in held.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array(packed, pa.binary())], ["slice", "bits"])
-
-        found = shingles.mapInArrow(scatter, "slice int, bits binary").repartition(cls.SLICES, "slice").mapInArrow(gather, "slice int, bits binary").toArrow()
-        bits = np.zeros(cls.SLICES << (cls.BITS - 3), np.uint8)
-        size = 1 << (cls.BITS - 3)
-        for i, raw in zip(found["slice"].to_pylist(), found["bits"].to_pylist()):
-            bits[i * size : (i + 1) * size] = np.frombuffer(raw, np.uint8)
-        return shingles.sparkSession.sparkContext.broadcast(bits)
-
-
-def _chosen(batch: pa.RecordBatch, frequent: ShingleFilter, percent: int):
+def _chosen(batch: pa.RecordBatch, frequent: NumberFilter, percent: int):
     """Bucket shingles of the classes of a batch: per head entry its class, place and p, and whether kind 0 or kind 1 takes it."""
     col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
     values, counts = col["head"].flatten().to_numpy(), np.diff(col["head"].offsets.to_numpy())
@@ -404,22 +363,22 @@ def _buckets(classes: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """
     plain = classes.select(F.explode(F.slice("head", F.lit(1), F.col("p").cast("int"))).alias("shingle"))
     counts = work.put(plain.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1"), "counts")
-    shared = ShingleFilter.build(counts.select("shingle"))
-    frequent = ShingleFilter.build(counts.where(F.col("times") > FREQUENT).select("shingle"))
+    shared = NumberFilter.build(counts.select("shingle"))
+    frequent = NumberFilter.build(counts.where(F.col("times") > FREQUENT).select("shingle"))
     work.drop("counts")
 
     def further(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, row, place, p, zero, _ = _chosen(batch, ShingleFilter(frequent.value), percent)
+            values, row, place, p, zero, _ = _chosen(batch, NumberFilter(frequent.value), percent)
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(values[zero & (place >= p[row])]))], ["shingle"])
 
-    beyond = ShingleFilter.build(classes.select("p", "head").mapInArrow(further, "shingle long"))
+    beyond = NumberFilter.build(classes.select("p", "head").mapInArrow(further, "shingle long"))
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values, row, _, _, zero, one = _chosen(batch, ShingleFilter(frequent.value), percent)
-            met = ShingleFilter(shared.value).has(values)
-            parts = (np.flatnonzero(zero & (met | ShingleFilter(beyond.value).has(values))), np.flatnonzero(one & met))
+            values, row, _, _, zero, one = _chosen(batch, NumberFilter(frequent.value), percent)
+            met = NumberFilter(shared.value).has(values)
+            parts = (np.flatnonzero(zero & (met | NumberFilter(beyond.value).has(values))), np.flatnonzero(one & met))
             at = np.concatenate(parts)
             kind = np.repeat(np.array([0, 1], np.int32), [len(x) for x in parts])
             sets, n = batch.column(0).to_numpy()[row[at]], batch.column(1).to_numpy()[row[at]]
@@ -481,9 +440,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     work.drop("classes")
 
     # The sets themselves are made anew for the classes in buckets only.
-    meeting = work.put(buckets.select("set").distinct().join(firsts, "set").select(F.col("first").alias("doc_id")).distinct(), "meeting")
-    bodies = texts.join(meeting, texts["doc_id"].eqNullSafe(meeting["doc_id"]), "left_semi").mapInArrow(_bodies(width), "set long, n long, bitmap binary, body binary")
-    bodies = work.put(bodies, "bodies")
+    meeting = NumberFilter.build(buckets.select("set").distinct().join(firsts, "set").select(F.coalesce("first", F.lit(_NULL_ID)).alias("doc_id")))
+    bodies = work.put(texts.mapInArrow(_bodies(width, meeting), "set long, n long, bitmap binary, body binary"), "bodies")
 
     stars = buckets.where("set <> hub").where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").groupBy("set", "hub").agg(F.count(F.lit(1)).alias("k"))
     stars = stars.groupBy("set").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))

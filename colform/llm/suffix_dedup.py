@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectortext as V
+from .filters import NumberFilter
 from .shared import Workspace, append_columns, slices, text_buffers, trim
 
 LENGTH = 100
@@ -78,19 +79,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return place, gram[place]
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, max_bytes=1 << 19):
-        data, offsets = text_buffers(batch.column(batch.schema.get_field_index("text")))
-        place, gram = anchors(data, offsets)
-        counts = np.diff(np.searchsorted(place, offsets))
-        at = pa.array(V.offsets_of(counts), pa.int32())
-        local = place - np.repeat(offsets[:-1], counts)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(batch.schema.get_field_index("doc")), batch.column(batch.schema.get_field_index("tie")), pa.ListArray.from_arrays(at, pa.array(gram.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(local.astype(np.int32)))],
-            ["doc", "tie", "grams", "places"],
-        )
-
-
 # --- The index family -----------------------------------------------------------------------------------------
 
 
@@ -339,25 +327,50 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     trim()
 
 
-def _marked(docs: DataFrame, work: Workspace) -> DataFrame:
-    """``docs`` with doc (the id, or the smallest number), tie (0, or the place among equal ids) and copy (repeats an earlier whole text)."""
-    one, two = F.xxhash64("text"), F.xxhash64(F.lit("2"), F.col("text"))
-    keyed = docs.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)), "print1": one, "print2": two})
-    narrow = work.put(keyed.select("doc", "print1", "print2", F.octet_length("text").alias("size")).distinct(), "prints")
-    prints = ["print1", "print2"]
+def _anchor_rows(odd, invert: bool):
+    """Anchors of the documents that the filter ``odd`` lacks; with ``invert`` the documents that it holds, as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, max_bytes=1 << 19):
+            held = NumberFilter(odd.value).has(batch.column(batch.schema.get_field_index("mark")).to_numpy())
+            if invert:
+                yield batch.filter(pa.array(held))
+            else:
+                yield _anchors_of(batch.filter(pa.array(~held)))
+
+    return run
+
+
+def _anchors_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+    data, offsets = text_buffers(col["text"])
+    place, gram = anchors(data, offsets)
+    counts = np.diff(np.searchsorted(place, offsets))
+    at = pa.array(V.offsets_of(counts), pa.int32())
+    local = place - np.repeat(offsets[:-1], counts)
+    lists = [pa.ListArray.from_arrays(at, pa.array(gram.view(np.int64))), pa.ListArray.from_arrays(at, pa.array(local.astype(np.int32)))]
+    return pa.RecordBatch.from_arrays([col["doc"], col["print"], col["tie"], *lists], ["doc", "print", "tie", "grams", "places"])
+
+
+def _odd_ones(keyed: DataFrame, work: Workspace) -> DataFrame:
+    """(doc, print, mark, tie, copy) of the documents that repeat an earlier one's whole text, or share their doc_id with other texts."""
+    narrow = work.put(keyed.select("doc", "print", "print2", "mark", F.octet_length("text").alias("size")).distinct(), "prints")
+    prints = ["print", "print2"]
     firsts = narrow.where(F.col("size") >= LENGTH).groupBy(*prints).agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    copies = narrow.join(work.put(firsts, "firsts", small=True), prints).where("doc > first").select("doc", *prints, F.lit(0).alias("tie"), F.lit(True).alias("copy"))
+    copies = narrow.join(work.put(firsts, "firsts", small=True), prints).where("doc > first").select("doc", "print", "mark", F.lit(0).alias("tie"), F.lit(True).alias("copy"))
     shared = narrow.groupBy("doc").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc")
     ties = narrow.join(work.put(shared, "shared", small=True), "doc").withColumn("tie", F.row_number().over(Window.partitionBy("doc").orderBy(*prints)) - 1).where("tie > 0")
-    marks = copies.unionByName(ties.select("doc", *prints, "tie", F.lit(False).alias("copy"))).groupBy("doc", *prints).agg(F.max("tie").alias("tie"), F.max("copy").alias("copy"))
-    marks = work.put(marks, "marks", small=True)
-    return keyed.join(marks, ["doc", *prints], "left").withColumns({"tie": F.coalesce("tie", F.lit(0)), "copy": F.coalesce("copy", F.lit(False))}).drop(*prints)
+    odd = copies.unionByName(ties.select("doc", "print", "mark", "tie", F.lit(False).alias("copy"))).groupBy("doc", "print", "mark").agg(F.max("tie").alias("tie"), F.max("copy").alias("copy"))
+    return work.put(odd, "odd", small=True)
 
 
 def dedup(docs: DataFrame, work: Workspace | None = None, as_text: bool = False) -> DataFrame:
     """Adds n_bytes, n_removed, n_spans and kept (the remaining bytes) to every document.
 
     ``as_text`` adds kept_text in place of kept: the remaining bytes without the rests of characters that a cut split.
+
+    A document is known by doc (its id) and print (a hash of its text). The texts move twice: to their repeated anchors and to their
+    spans. Whole copies, which the first search leaves out, are told by a filter of fixed size; the few rows that it holds are checked by a join.
     """
     spark = docs.sparkSession
     work = work or Workspace(spark, "suffix")
@@ -365,23 +378,35 @@ def dedup(docs: DataFrame, work: Workspace | None = None, as_text: bool = False)
     kept_columns = [c for c in docs.columns if c not in ("doc_id", "text")]
     # Columns beside id and text travel in one struct, so that their names cannot clash with those used here.
     rest = F.struct(*[F.col(f"`{c}`") for c in kept_columns]) if kept_columns else F.lit(None).cast("string")
-    texts = _marked(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest")), work)
-    live = texts.where(~F.col("copy") & (F.octet_length("text") >= LENGTH)).select("doc", "tie", "text")
-
-    listed = work.put(live.mapInArrow(_anchor_rows, "doc long, tie int, grams array<long>, places array<int>"), "anchors")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), rest.alias("rest"))
+    texts = texts.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)), "print": F.xxhash64("text"), "print2": F.xxhash64(F.lit("2"), F.col("text"))})
+    texts = texts.withColumn("mark", F.xxhash64("doc", "print", "print2"))
+    odd = _odd_ones(texts, work)
+    held = NumberFilter.build(odd.select("mark"))
+
+    long_ones = texts.where(F.octet_length("text") >= LENGTH).select("doc", "print", "mark", F.lit(0).alias("tie"), "text")
+    listing = "doc long, print long, tie int, grams array<long>, places array<int>"
+    plain = long_ones.mapInArrow(_anchor_rows(held, False), listing)
+    doubtful = long_ones.mapInArrow(_anchor_rows(held, True), long_ones.schema).drop("tie").join(odd.select("mark", F.col("tie").alias("known"), "copy"), "mark", "left")
+    doubtful = doubtful.where("copy is null or not copy").select("doc", "print", F.coalesce("known", F.lit(0)).alias("tie"), "text")
+    rest_of = doubtful.mapInArrow(lambda batches: (_anchors_of(b) for b in slices(batches, max_bytes=1 << 19)), listing)
+    listed = work.put(plain.unionByName(rest_of), "anchors")
     counts = work.put(listed.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "counts")
-    each = listed.select("doc", "tie", F.inline(F.arrays_zip("grams", "places")).alias("gram", "place"))
-    repeated = each.join(counts, "gram").groupBy("doc", "tie").agg(F.array_sort(F.collect_list(F.struct("place", "gram", (F.col("n") > FREQUENT).alias("frequent")))).alias("a"))
-    repeated = work.put(repeated.select("doc", "tie", F.col("a.place").alias("places"), F.col("a.gram").alias("grams"), F.col("a.frequent").alias("frequent")), "repeated")
+    each = listed.select("doc", "print", "tie", F.inline(F.arrays_zip("grams", "places")).alias("gram", "place"))
+    repeated = each.join(counts, "gram").groupBy("doc", "print", "tie").agg(F.array_sort(F.collect_list(F.struct("place", "gram", (F.col("n") > FREQUENT).alias("frequent")))).alias("a"))
+    repeated = work.put(repeated.select("doc", "print", "tie", F.col("a.place").alias("places"), F.col("a.gram").alias("grams"), F.col("a.frequent").alias("frequent")), "repeated")
     work.drop("anchors", "counts")
     total = repeated.agg(F.sum(F.size("places")).alias("n")).first()["n"] or 0
     parts = max(1, -(-total // OCCURRENCES_A_TASK), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    routed = live.join(repeated, ["doc", "tie"]).select("doc", "tie", "text", "places", "grams", "frequent").mapInArrow(_route(4 * parts), _ROUTED)
+    routed = long_ones.drop("tie", "mark").join(repeated, ["doc", "print"]).select("doc", "tie", "text", "places", "grams", "frequent").mapInArrow(_route(4 * parts), _ROUTED)
     spans = work.put(routed.repartition(parts, "p").mapInArrow(_search, _SPANS), "spans")
 
-    lost = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
-    joined = texts.join(lost, ["doc", "tie"], "left")
+    lost = spans.groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "end")).alias("spans")).join(repeated.select("doc", "tie", "print"), ["doc", "tie"])
+    verdicts = lost.select("doc", "print", "spans", F.lit(False).alias("copy")).unionByName(odd.where("copy").select("doc", "print", F.lit(None).cast("array<struct<start:int,end:int>>").alias("spans"), "copy"))
+    verdicts = work.put(verdicts, "verdicts")
+    work.drop("repeated", "spans")
     work.release()
+    joined = texts.select("doc_id", "text", "rest", "doc", "print").join(verdicts, ["doc", "print"], "left").withColumn("copy", F.coalesce("copy", F.lit(False)))
     last = "kept_text" if as_text else "kept"
     found = append_columns(joined, _cut_text if as_text else _cut, f"n_bytes bigint, n_removed bigint, n_spans bigint, {last} {'string' if as_text else 'binary'}")
     names = [c for c in docs.columns if c not in own]
