@@ -114,23 +114,26 @@ def _bits_for(n: np.ndarray) -> np.ndarray:
     return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64))
 
 
-def _bodies(width: int, meeting):
-    """set, n, bitmap and all shingles of the rows whose ids the filter ``meeting`` holds; a few others may come too."""
+def _again(width: int, wanted, bitmaps: bool):
+    """set, n and bitmap, or set and all shingles, of the rows whose ids the filter ``wanted`` holds; a few others may come too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, max_bytes=1 << 19):
-            batch = batch.filter(pa.array(NumberFilter(meeting.value).has(batch.column(0).fill_null(_NULL_ID).to_numpy())))
+            batch = batch.filter(pa.array(NumberFilter(wanted.value).has(batch.column(0).fill_null(_NULL_ID).to_numpy())))
             if not batch.num_rows:
                 continue
             values, counts = shingle_sets(batch.column(1), width)
+            binary = lambda o, d: pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(o.astype(np.int32).tobytes()), pa.py_buffer(d.tobytes())])
+            sets = pa.array(_fingerprints(values, counts))
+            if not bitmaps:
+                yield pa.RecordBatch.from_arrays([sets, binary(V.offsets_of(counts) * 8, values)], ["set", "body"])
+                continue
             bits = _bits_for(counts)
             bytes_ = V.offsets_of(bits // 8)
             bitmap = np.zeros(int(bytes_[-1]), np.uint8)
             at = (values & (np.repeat(bits, counts) - 1).astype(np.uint64)).astype(np.int64)
             np.bitwise_or.at(bitmap, np.repeat(bytes_[:-1], counts) + (at >> 3), np.uint8(1) << (at & 7).astype(np.uint8))
-            offsets = V.offsets_of(counts) * 8
-            binary = lambda o, d: pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(o.astype(np.int32).tobytes()), pa.py_buffer(d.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(_fingerprints(values, counts)), pa.array(counts, pa.int64()), binary(bytes_, bitmap), binary(offsets, values)], ["set", "n", "bitmap", "body"])
+            yield pa.RecordBatch.from_arrays([sets, pa.array(counts, pa.int64()), binary(bytes_, bitmap)], ["set", "n", "bitmap"])
 
     return run
 
@@ -315,23 +318,58 @@ def _search(percent: int, each: int):
 # --- The join -------------------------------------------------------------------------------------------------
 
 
-def _verified(pairs: DataFrame, bodies: DataFrame, percent: int) -> DataFrame:
-    """(a, b, linked) of (a, b), by exact intersection."""
-    side = lambda c: bodies.select(F.col("set").alias(c), F.col("body").alias(f"{c}_body"))
-    joined = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
-            linked = []
-            for p, q in zip(col["a_body"], col["b_body"]):
-                p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                at = np.searchsorted(q, p)
-                common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
-                linked.append(100 * common >= percent * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([col["a"], col["b"], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
-
-    return joined.mapInArrow(run, "a long, b long, linked boolean")
+class _Texts:
+    """The documents, from which sets are made again where they are needed, rather than kept or moved."""
+
+    def __init__(self, texts: DataFrame, firsts: DataFrame, width: int, percent: int, work: Workspace):
+        self.texts, self.firsts, self.width, self.percent, self.work = texts, firsts, width, percent, work
+
+    def of(self, sets: DataFrame, bitmaps: bool) -> DataFrame:
+        """(set, n, bitmap) or (set, body) of at least the classes in ``sets``; the documents are scanned, not shuffled."""
+        wanted = NumberFilter.build(sets.join(self.firsts, "set").select(F.coalesce("first", F.lit(_NULL_ID)).alias("doc_id")))
+        return self.texts.mapInArrow(_again(self.width, wanted, bitmaps), "set long, n long, bitmap binary" if bitmaps else "set long, body binary")
+
+    def possible(self, pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+        """The pairs (a, b) whose bitmaps allow a link."""
+        side = lambda c: bitmaps.select(F.col("set").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bitmap_{c}"))
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+                n_a, n_b = col["n_a"].to_numpy(), col["n_b"].to_numpy()
+                keep = np.zeros(batch.num_rows, bool)
+                for i, (p, q) in enumerate(zip(col["bitmap_a"], col["bitmap_b"])):
+                    size = min(len(p.as_buffer()), len(q.as_buffer()))
+                    p, q = _folded(p.as_buffer(), size), _folded(q.as_buffer(), size)
+                    slack = min(n_a[i] - int(np.bitwise_count(p).sum()), n_b[i] - int(np.bitwise_count(q).sum()))
+                    keep[i] = (100 + percent) * (int(np.bitwise_count(p & q).sum()) + slack) >= percent * (n_a[i] + n_b[i])
+                yield pa.RecordBatch.from_arrays([col["a"], col["b"]], ["a", "b"]).filter(pa.array(keep))
+
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long")
+
+    def verified(self, pairs: DataFrame, name: str) -> DataFrame:
+        """(a, b, linked) of (a, b), by exact intersection."""
+        pairs = self.work.put(pairs, f"{name}-pairs")
+        sets = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
+        bodies = self.work.put(self.of(sets, False), f"{name}-bodies")
+        side = lambda c: bodies.select(F.col("set").alias(c), F.col("body").alias(f"{c}_body"))
+        percent = self.percent
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                col = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+                linked = []
+                for p, q in zip(col["a_body"], col["b_body"]):
+                    p, q = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
+                    at = np.searchsorted(q, p)
+                    common = int((q[np.minimum(at, len(q) - 1)] == p).sum())
+                    linked.append(100 * common >= percent * (len(p) + len(q) - common))
+                yield pa.RecordBatch.from_arrays([col["a"], col["b"], pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+
+        out = self.work.put(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(run, "a long, b long, linked boolean").distinct(), name)
+        self.work.drop(f"{name}-pairs", f"{name}-bodies")
+        return out
 
 
 def _chosen(batch: pa.RecordBatch, frequent: NumberFilter, percent: int):
@@ -440,12 +478,16 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     work.drop("classes")
 
     # The sets themselves are made anew for the classes in buckets only.
-    meeting = NumberFilter.build(buckets.select("set").distinct().join(firsts, "set").select(F.coalesce("first", F.lit(_NULL_ID)).alias("doc_id")))
-    bodies = work.put(texts.mapInArrow(_bodies(width, meeting), "set long, n long, bitmap binary, body binary"), "bodies")
+    rows = work.put(rows.select("doc_id", "set", "n"), "narrow", small=True)
+    work.drop("rows")
 
+    # Sets are made anew for the classes that need them: bitmaps for all in buckets, shingles for those in pairs that bitmaps allow.
+    again = _Texts(texts, firsts, width, percent, work)
+    bitmaps = work.put(again.of(buckets.select("set").distinct(), True), "bitmaps")
     stars = buckets.where("set <> hub").where(f"100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").groupBy("set", "hub").agg(F.count(F.lit(1)).alias("k"))
     stars = stars.groupBy("set").agg(F.max_by("hub", F.struct("k", "hub")).alias("hub"))
-    tested = work.put(_verified(stars.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct(), bodies, percent), "tested0")
+    stars = stars.select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
+    tested = again.verified(again.possible(stars, bitmaps).distinct(), "tested0")
     labels = components(tested.where("linked"), work, "c0")
     labelled = buckets.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
     labelled = work.put(labelled.select("kind", "shingle", "members", "set", "n", "label"), "labelled", small=True)
@@ -455,12 +497,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     round_, each = 0, 2
     while True:
         failed = tested.where("not linked").groupBy(F.col("a").alias("set")).agg(F.collect_list("b").alias("failed"))
-        info = bodies.select("set", "n", "bitmap").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")).join(failed, "set", "left")
+        info = bitmaps.dropDuplicates(["set"]).join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")).join(failed, "set", "left")
         searched = units.join(info, "set").select("unit", "side", "set", "n", "label", "bitmap", "failed").repartition("unit").sortWithinPartitions("unit")
         emitted = work.put(searched.mapInArrow(_search(percent, each), "unit long, a long, b long"), f"emitted{round_}")
-        found = work.put(_verified(emitted.select("a", "b").distinct(), bodies, percent), f"found{round_}", small=True)
-        if not found.limit(1).count():
+        if not emitted.limit(1).count():
             break
+        found = again.verified(emitted.select("a", "b").distinct(), f"found{round_}")
         # Only units that gave pairs can give more.
         units = work.put(units.join(emitted.select("unit").distinct(), "unit", "left_semi"), f"units{round_}", small=True)
         round_, each = round_ + 1, each * 2
