@@ -631,9 +631,9 @@ _DIFF = (
 )
 
 
-@query(_DIFF + " SELECT o_orderkey, CAST(op AS INTEGER) AS op, CAST(mask AS BIGINT) AS mask, n_cents FROM d")
+@query(_DIFF + " SELECT o_orderkey, CAST(op AS INTEGER) AS op, CAST(mask AS BIGINT) AS mask, coalesce(n_cents, 0) AS n_cents FROM d")
 def diff_orders(spark, sf_dir):
-    return D.diff(*_orders(spark, sf_dir), ["o_orderkey"]).select("o_orderkey", "op", "mask", "n_cents")
+    return D.diff(*_orders(spark, sf_dir), ["o_orderkey"]).select("o_orderkey", "op", "mask", "n_cents").fillna({"n_cents": 0})
 
 
 @query("WITH " + _CURRENT + " SELECT * FROM c")
