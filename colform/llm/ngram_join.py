@@ -14,8 +14,8 @@ link when 100 * intersection >= percent * union.
    bitmaps, collision counts and sizes are the leaves of a tree whose nodes hold OR-combined bitmaps, the largest collision count, the size
    range and the component if it is one; a dual traversal prunes node pairs by component, by size range and by the maximum possible
    overlap. Large buckets are searched in blocks: each against the members outside the bucket's largest component.
-   Only some pairs of two components are verified at first; where they fail, the next round takes twice as many others, until no
-   pair is left. No link between different sets is lost, and no bucket is expanded into all its pairs.
+   Only a spanning forest of these pairs over a bucket's components is verified at first; where pairs fail, the next round takes twice as
+   many forests of the others, until no pair is left. No link between different sets is lost, and no bucket is expanded into all its pairs.
 
 Defined results: null, empty and wordless texts have an empty set, 0 shingles and link with nothing; a document without links is its own
 component; rows of equal doc_id are rows of their own; a component whose rows all lack doc_id has a null one; an empty table gives no
@@ -209,14 +209,42 @@ def _tree_order(n: np.ndarray, label: np.ndarray, large: int = FANOUT) -> np.nda
     return np.lexsort((n, group))
 
 
-def _limited(unit, a, b, la, lb, most, each: int) -> np.ndarray:
-    """Of the pairs of a unit and two components the ``each`` that may share most."""
-    order = np.lexsort((b, a, -most, lb, la, unit))
-    opens = np.ones(len(order), bool)
-    x, y = order[1:], order[:-1]
-    opens[1:] = (la[x] != la[y]) | (lb[x] != lb[y]) | (unit[x] != unit[y])
-    place = np.arange(len(order)) - np.maximum.accumulate(np.where(opens, np.arange(len(order)), 0))
-    return order[place < each]
+def _forests(unit, la, lb, most, a, b, each: int) -> np.ndarray:
+    """Of the candidate pairs ``each`` edge-disjoint spanning forests of every unit's components, likeliest pairs first.
+
+    Boruvka's rounds over all units at once: every component takes its best pair, components merge, until none is left. So a unit
+    gives at most ``each`` pairs for each of its components, however many pairs could link.
+    """
+    order = np.lexsort((b, a, -most))
+    name = np.concatenate([_pair_names(unit, la), _pair_names(unit, lb)])
+    _, node = np.unique(name, return_inverse=True)
+    u, v = node[: len(unit)], node[len(unit) :]
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    left, chosen = np.ones(len(order), bool), []
+    for _ in range(each):
+        root = np.arange(node.max(initial=-1) + 1)
+        open_ = np.flatnonzero(left)
+        while len(open_):
+            x, y = root[u[open_]], root[v[open_]]
+            open_, x, y = open_[x != y], x[x != y], y[x != y]
+            if not len(open_):
+                break
+            best = np.full(len(root), len(order), np.int64)
+            np.minimum.at(best, x, rank[open_])
+            np.minimum.at(best, y, rank[open_])
+            taken = order[np.unique(best[best < len(order)])]
+            chosen.append(taken)
+            left[taken] = False
+            # Merge: the smaller root wins, until the taken pairs agree.
+            while True:
+                x, y = root[u[taken]], root[v[taken]]
+                if (x == y).all():
+                    break
+                np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+                while (root[root] != root).any():
+                    root = root[root]
+    return np.concatenate(chosen) if chosen else np.zeros(0, np.int64)
 
 
 def _pair_names(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -244,7 +272,7 @@ class _Members:
         a, b, la, lb = np.minimum(p, q), np.maximum(p, q), np.minimum(lp, lq), np.maximum(lp, lq)
         keep = np.flatnonzero((a != b) & (la != lb) & ~np.isin(_pair_names(a, b), self.tested))
         unit = self.unit[x][keep]
-        few = _limited(unit, a[keep], b[keep], la[keep], lb[keep], most[keep], each)
+        few = _forests(unit, la[keep], lb[keep], most[keep], a[keep], b[keep], each)
         return unit[few], a[keep][few], b[keep][few]
 
     def small_units(self, rows: np.ndarray, percent: int, each: int):
@@ -494,7 +522,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     open_ = labelled.groupBy("kind", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("kind", "shingle")
     units = work.put(_units(labelled.join(work.put(open_, "open", small=True), ["kind", "shingle"]), percent), "units")
     work.drop("labelled", "open", "buckets")
-    round_, each = 0, 2
+    round_, each = 0, 1
     while True:
         failed = tested.where("not linked").groupBy(F.col("a").alias("set")).agg(F.collect_list("b").alias("failed"))
         info = bitmaps.dropDuplicates(["set"]).join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")).join(failed, "set", "left")
