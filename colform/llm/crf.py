@@ -65,14 +65,14 @@ def observed(labels: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.bincount((2 * labels[:-1] + labels[1:])[inside], minlength=4).reshape(2, 2).astype(float)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
-    """Newton's method for a logistic regression; x without the constant, whose weight comes last."""
+def fit_logistic(x: np.ndarray, y: np.ndarray, rows: np.ndarray, ridge: float = 1e-2, rounds: int = 30) -> np.ndarray:
+    """Newton's method for a logistic regression; x without the constant, whose weight comes last. ``rows`` weighs the rows."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        curve = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
-        w += np.linalg.solve(curve, x.T @ (y - p) - ridge * w)
+        curve = (x * (rows * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w))
+        w += np.linalg.solve(curve, x.T @ (rows * (y - p)) - ridge * w)
     return w
 
 
@@ -84,7 +84,7 @@ def logistic(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 
 def labelled_sample(docs, labels, label: str, keep, per_class: int, seed: int, max_chars: int):
-    """(text, label) of a bounded sample of labelled rows, drawn by a hash of the id.
+    """(texts, labels, weights) of a bounded sample of labelled rows, drawn by a hash of the id.
 
     ``keep`` is the condition on doc_id that leaves the held-out rows out. About ``per_class`` rows of each label, of which
     at most the first ``max_chars`` characters are learned from; scoring has no such bound.
@@ -96,10 +96,13 @@ def labelled_sample(docs, labels, label: str, keep, per_class: int, seed: int, m
     usable = labels.where(keep).where(F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y"))
     counts = {r["y"]: r["count"] for r in usable.groupBy("y").count().collect()}
     if not counts:
-        return [], np.zeros(0)
+        return [], np.zeros(0), np.zeros(0)
     rates = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, sample_rate(per_class, n))])
     drawn = usable.where(hash_share("doc_id", seed) < F.element_at(rates, F.col("y"))).distinct()
     # The sample's ids, bounded by per_class, go to the texts; the texts stay where they are.
     drawn = F.broadcast(drawn.limit(4 * per_class))
     rows = docs.where(keep).select("doc_id", F.substring("text", 1, max_chars).alias("text")).join(drawn, "doc_id").orderBy("doc_id", "y", "text").toArrow()
-    return [x or "" for x in rows["text"].to_pylist()], np.array(rows["y"].to_pylist(), float)
+    y = np.array(rows["y"].to_pylist(), float)
+    # A row stands for as many as its class was thinned by, so that scores are probabilities among all rows.
+    weights = np.array([(1 << 20) / sample_rate(per_class, counts[int(v)]) for v in y])
+    return [x or "" for x in rows["text"].to_pylist()], y, weights / max(weights.mean(), 1e-9) if len(weights) else weights

@@ -127,8 +127,8 @@ class LineLabeller:
         p = mean.clip(1e-4, 1 - 1e-4)
         return np.column_stack([np.log(p / (1 - p)), mean])
 
-    def fit(self, texts: list[str], y: np.ndarray, epochs: int = 12, rate: float = 0.05, seed: int = 3) -> None:
-        self.constant = float(y.mean()) if len(y) else 0.0
+    def fit(self, texts: list[str], y: np.ndarray, rows: np.ndarray, epochs: int = 12, rate: float = 0.05, seed: int = 3) -> None:
+        self.constant = float((y * rows).sum() / rows.sum()) if len(y) else 0.0
         if len(set(y.tolist())) < 2:
             return
         counts, line_lengths, own = _line_features(*text_buffers(pa.array(texts, pa.large_string())))
@@ -161,7 +161,7 @@ class LineLabeller:
                 w += move[:-4]
                 self.transition = self.transition + move[-4:].reshape(2, 2)
         self.weights, self.bias = w[:-1], float(w[-1])
-        self.calibration = crf.fit_logistic(self.evidence(self.line_probabilities(x, counts), counts, line_lengths), y)
+        self.calibration = crf.fit_logistic(self.evidence(self.line_probabilities(x, counts), counts, line_lengths), y, rows)
         self.constant = None
 
     def score(self, column: pa.Array) -> np.ndarray:

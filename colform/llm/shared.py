@@ -74,12 +74,14 @@ class Workspace:
     def release(self) -> None:
         """Lets Spark delete the shuffle files of finished steps.
 
-        It does so behind the driver's garbage collection, on a thread of its own that needs a moment.
+        It does so behind the driver's garbage collection, on a thread of its own that needs a moment. In a local session
+        the files are not worth the wait.
         """
         gc.collect()
-        for _ in range(2):
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
+        if not self.spark.sparkContext.master.startswith("local["):
+            for _ in range(2):
+                self.spark.sparkContext._jvm.System.gc()
+                time.sleep(0.5)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm

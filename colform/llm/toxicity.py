@@ -2,9 +2,10 @@
 
 Words are runs of ASCII letters, digits and bytes beyond ASCII, with A-Z lower-cased. Labels come for documents; words
 are labelled from them: a word counts as toxic if it stands in a toxic document and it, or its first 4 to 7 bytes, occur
-often in toxic documents of the sample and mostly in them. The field then learns hashed features (the word, its beginnings and its neighbours)
+in many different surroundings in toxic documents of the sample and in few others. The field then learns features (the word, its beginnings and its neighbours)
 and the transitions. Chains are runs of at most ``STEPS`` words; forward-backward gives each word's
-probability. A document's score is a logistic function of the log of the expected number of toxic words.
+probability. A document's score is a logistic function of the log of the sum of their cubes,
+so that the many small ones of a long text do not add up to a toxic word.
 
 Training is bounded: about ``PER_CLASS`` labelled documents of each class, and ``TRAIN_CHARS`` characters of each.
 
@@ -25,16 +26,19 @@ from . import vectortext as V
 from .shared import append_columns, id_remainder, text_buffers
 
 STEPS = 128
-BITS = 18
+BITS = 16
 PER_CLASS = 1500
 TRAIN_CHARS = 6000
 SPAN_AT = 0.5
 #: Bytes of a word's beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7)
-#: A word or beginning marks toxic words if it stands in this share of the toxic documents (3 at least) ...
+#: A word or beginning marks toxic words if it has at least this many distinct surroundings in toxic documents only, for each
+#: of them (4 at least) ...
 SUPPORT = 0.02
-#: ... and at least this share of the documents that it stands in are toxic.
-PRECISION = 0.5
+#: ... and so many times as many, for each toxic document, as it has in others for each of those.
+LIFT = 6
+#: Features that stand in at least this share of the sample (3 documents at least) have a weight.
+LEARNED = 0.002
 _NOT_WORD = np.ones(256, bool)
 _NOT_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 _SALT = V.mix(np.arange(1, len(BEGINNINGS) + 4, dtype=np.uint64))
@@ -42,7 +46,7 @@ _MASK = np.uint64((1 << BITS) - 1)
 
 
 def _features(data: np.ndarray, offsets: np.ndarray):
-    """Word starts, ends, words before each text, and hashed feature rows (features, words): the word, its beginnings, its neighbours."""
+    """Word starts, ends, words before each text, and 64-bit feature rows (features, words): the word, its beginnings, its neighbours."""
     low = V.LOWER[data]
     starts, ends, before = V.words(low, offsets, _NOT_WORD)
     sums = V.rolling_sums(low)
@@ -55,11 +59,13 @@ def _features(data: np.ndarray, offsets: np.ndarray):
         behind[1:][same] = word[:-1][same]
         ahead[:-1][same] = word[1:][same]
     rows = np.stack([word, *beginnings, behind, ahead])
-    return starts, ends, before, (V.mix(rows ^ _SALT[:, None]) & _MASK).astype(np.int32)
+    return starts, ends, before, V.mix(rows ^ _SALT[:, None])
 
 
 class Tagger:
     def __init__(self) -> None:
+        #: One feature a cell, known by its whole hash: features that were too rare to learn have no weight.
+        self.keys = np.zeros((len(_SALT), 1 << BITS), np.uint64)
         self.weights = np.zeros((len(_SALT), 1 << BITS), np.float32)
         self.bias = 0.0
         self.transition = np.zeros((2, 2))
@@ -68,8 +74,9 @@ class Tagger:
 
     def odds(self, features: np.ndarray) -> np.ndarray:
         total = np.full(features.shape[1], self.bias)
-        for table, index in zip(self.weights, features):
-            total += table[index]
+        for keys, table, row in zip(self.keys, self.weights, features):
+            cell = (row & _MASK).astype(np.int64)
+            total += np.where(keys[cell] == row, table[cell], 0)
         return total
 
     def word_probabilities(self, features: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -90,10 +97,10 @@ class Tagger:
         return out
 
     def evidence(self, probabilities: np.ndarray, before: np.ndarray) -> np.ndarray:
-        return np.log(np.diff(np.concatenate([[0.0], np.cumsum(probabilities)])[before]).clip(0) + 1e-2)[:, None]
+        return np.log(np.diff(np.concatenate([[0.0], np.cumsum(probabilities**3)])[before]).clip(0) + 1e-2)[:, None]
 
-    def fit(self, texts: list[str], y: np.ndarray, epochs: int = 4, rate: float = 0.3, seed: int = 5) -> None:
-        self.constant = float(y.mean()) if len(y) else 0.0
+    def fit(self, texts: list[str], y: np.ndarray, rows: np.ndarray, epochs: int = 4, rate: float = 0.3, seed: int = 5) -> None:
+        self.constant = float((y * rows).sum() / rows.sum()) if len(y) else 0.0
         if len(set(y.tolist())) < 2:
             return
         data, offsets = text_buffers(pa.array(texts, pa.large_string()))
@@ -101,13 +108,22 @@ class Tagger:
         counts = np.diff(before)
         text = V.row_of(counts)
         marked = np.zeros(features.shape[1], bool)
-        least = max(3, SUPPORT * y.sum())
-        for row in features[: 1 + len(BEGINNINGS)]:
-            seen = np.unique(text.astype(np.int64) * (1 << BITS) + row)
-            inside, label = seen & ((1 << BITS) - 1), y[seen >> BITS]
-            bad = np.bincount(inside, label, 1 << BITS)
-            good = np.bincount(inside, 1 - label, 1 << BITS)
-            marked |= ((bad >= least) & (bad >= PRECISION * (bad + good)))[row]
+        for i, row in enumerate(features):
+            known, number = np.unique(row, return_inverse=True)
+            seen = np.unique(text.astype(np.int64) * len(known) + number)
+            inside, label = seen % len(known), y[seen // len(known)]
+            bad = np.bincount(inside, label, len(known))
+            good = np.bincount(inside, 1 - label, len(known))
+            if i <= len(BEGINNINGS):
+                # Counted by distinct surroundings: a line or a document that is repeated counts once.
+                _, first, place = np.unique(V.mix(row + V.mix(features[-2] * np.uint64(3) + features[-1])), return_index=True, return_inverse=True)
+                clean = np.bincount(place, 1 - y[text]) > 0
+                marks = np.bincount(number[first], ~clean, len(known))
+                others = np.bincount(number[first], clean, len(known))
+                marked |= ((marks >= max(4, SUPPORT * y.sum())) & (marks * (len(y) - y.sum()) >= LIFT * others * y.sum()))[number]
+            often = np.flatnonzero(bad + good >= max(3, LEARNED * len(y)))
+            often = often[np.argsort((bad + good)[often], kind="stable")]
+            self.keys[i][(known[often] & _MASK).astype(np.int64)] = known[often]
         marked &= y[text] > 0
         if not marked.any():
             return
@@ -127,9 +143,11 @@ class Tagger:
                 matrix[at], truth[at] = self.odds(features[:, own]), marked[own]
                 p, pairs = crf.marginals(matrix, lengths[part], self.transition, pairs=True)
                 error = (truth[at] - p[at]).astype(np.float64)
-                for table, square, index in zip(self.weights, squares, features[:, own]):
-                    cells, inverse = np.unique(index, return_inverse=True)
-                    gradient = np.bincount(inverse, error)
+                for keys, table, square, row in zip(self.keys, self.weights, squares, features[:, own]):
+                    index = (row & _MASK).astype(np.int64)
+                    hit = keys[index] == row
+                    cells, inverse = np.unique(index[hit], return_inverse=True)
+                    gradient = np.bincount(inverse, error[hit], len(cells))
                     square[cells] += (gradient * gradient).astype(np.float32)
                     table[cells] += (rate * gradient / np.sqrt(square[cells])).astype(np.float32)
                 bias_square += error.sum() ** 2
@@ -137,7 +155,7 @@ class Tagger:
                 gradient = crf.observed(truth, lengths[part]) - pairs
                 transition_square += gradient**2
                 self.transition = self.transition + rate * gradient / np.sqrt(transition_square)
-        self.calibration = crf.fit_logistic(self.evidence(self.word_probabilities(features, counts), before), y)
+        self.calibration = crf.fit_logistic(self.evidence(self.word_probabilities(features, counts), before), y, rows)
         self.constant = None
 
     def score(self, column: pa.Array):
