@@ -14,7 +14,7 @@ def components(links: DataFrame, work: Workspace, name: str) -> DataFrame:
     Each round takes the smallest label among the neighbours and then that label's own label, so paths halve. Rounds are
     written tables; a node with very many links is combined before the shuffle.
     """
-    both = work.put(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links")
+    both = work.put(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), f"{name}-links", small=True)
     labels = work.put(both.groupBy("a").agg(F.least("a", F.min("b")).alias("label")).withColumnRenamed("a", "node"), f"{name}-labels0", small=True)
     round_ = 0
     while True:

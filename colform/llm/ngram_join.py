@@ -378,7 +378,7 @@ class _Texts:
 
     def verified(self, pairs: DataFrame, name: str) -> DataFrame:
         """(a, b, linked) of (a, b), by exact intersection."""
-        pairs = self.work.put(pairs, f"{name}-pairs")
+        pairs = self.work.put(pairs, f"{name}-pairs", small=True)
         sets = pairs.select(F.col("a").alias("set")).unionByName(pairs.select(F.col("b").alias("set"))).distinct()
         bodies = self.work.put(self.of(sets, False), f"{name}-bodies")
         side = lambda c: bodies.select(F.col("set").alias(c), F.col("body").alias(f"{c}_body"))
@@ -499,7 +499,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     work = work or Workspace(spark, "ngram")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     rows = work.put(texts.mapInArrow(_heads(width, percent), "doc_id long, set long, n long, p long, head array<long>"), "rows")
-    firsts = work.put(rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first")), "firsts")
+    firsts = work.put(rows.where("n > 0").groupBy("set").agg(F.min("doc_id").alias("first")), "firsts", small=True)
     full = rows.where("n > 0").join(firsts, F.col("doc_id").eqNullSafe(F.col("first")) & (rows["set"] == firsts["set"]), "left_semi")
     classes = work.put(full.drop("doc_id"), "classes")
     buckets = _buckets(classes, percent, work)
