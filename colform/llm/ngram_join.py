@@ -14,7 +14,7 @@ link when 100 * intersection >= percent * union.
    bitmaps, collision counts and sizes are the leaves of a tree whose nodes hold OR-combined bitmaps, the largest collision count, the size
    range and the component if it is one; a dual traversal prunes node pairs by component, by size range and by the maximum possible
    overlap. Large buckets are searched in blocks: each against the members outside the bucket's largest component.
-   Only a spanning forest of these pairs over a bucket's components is verified at first; where pairs fail, the next round takes twice as
+   Only a spanning forest of these pairs over a bucket's components is verified at first; where pairs fail, the next round takes four times as
    many forests of the others, until no pair is left. No link between different sets is lost, and no bucket is expanded into all its pairs.
 
 Defined results: null, empty and wordless texts have an empty set, 0 shingles and link with nothing; a document without links is its own
@@ -110,8 +110,8 @@ def _heads(width: int, percent: int):
 
 
 def _bits_for(n: np.ndarray) -> np.ndarray:
-    """Bits of a signature: a power of two, at least four a shingle."""
-    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(4 * n, 1))).astype(np.int64))
+    """Bits of a signature: a power of two, at least eight a shingle, so that few pairs below the threshold pass."""
+    return 1 << np.maximum(6, np.ceil(np.log2(np.maximum(8 * n, 1))).astype(np.int64))
 
 
 def _again(width: int, wanted, bitmaps: bool):
@@ -522,7 +522,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     open_ = labelled.groupBy("kind", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("kind", "shingle")
     units = work.put(_units(labelled.join(work.put(open_, "open", small=True), ["kind", "shingle"]), percent), "units")
     work.drop("labelled", "open", "buckets")
-    round_, each = 0, 1
+    round_, each = 0, 2
     while True:
         failed = tested.where("not linked").groupBy(F.col("a").alias("set")).agg(F.collect_list("b").alias("failed"))
         info = bitmaps.dropDuplicates(["set"]).join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set")).join(failed, "set", "left")
@@ -533,7 +533,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         found = again.verified(emitted.select("a", "b").distinct(), f"found{round_}")
         # Only units that gave pairs can give more.
         units = work.put(units.join(emitted.select("unit").distinct(), "unit", "left_semi"), f"units{round_}", small=True)
-        round_, each = round_ + 1, each * 2
+        round_, each = round_ + 1, each * 4
         tested = work.put(tested.unionByName(found), f"tested{round_}", small=True)
         labels = components(tested.where("linked"), work, f"c{round_}")
 
