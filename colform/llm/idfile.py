@@ -13,7 +13,8 @@ A block needs only the codebook to be read, and each checkpoint of it can be dec
 takes one step of all checkpoints at a time, looking the next ``MAX_BITS`` bits up in a table of id and length.
 
 Encoding runs the tokenizers library once for each distinct piece of text between the cuts of its own splitting rule;
-the cuts are found on flat arrays, with the kind of each character asked of the library.
+the cuts are found on flat arrays, with the kind of each character asked of the library. Texts are cut at the file's
+added tokens first, as the library does, so that a literal ``<|endoftext|>`` gets its own id.
 
 Defined results: null is an empty text, which has only the end id; documents without doc_id come first; repeated ids are
 ordered by text; an empty table gives no rows; columns other than doc_id and text are not read.
@@ -22,6 +23,7 @@ ordered by text; an empty table gives no rows; columns other than doc_id and tex
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,15 +48,24 @@ _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 
 
 class TextEncoder:
-    """Ids of texts as the library's byte-level tokenizer gives them."""
+    """Ids of texts as the library's byte-level tokenizer gives them.
 
-    def __init__(self, path: str):
+    ``special_as_text`` is the library's switch ``encode_special_tokens``: special tokens in texts are then plain text.
+    """
+
+    def __init__(self, path: str, special_as_text: bool = True):
         # Tasks run side by side already.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        if any(t.single_word or t.lstrip or t.rstrip or (t.normalized and self.tokenizer.normalizer is not None) for t in added):
+            raise ValueError("added tokens that depend on the text around them are not supported")
+        # The leftmost and there the longest counts.
+        contents = sorted((t.content.encode() for t in added), key=len, reverse=True)
+        self.added = re.compile(b"|".join(map(re.escape, contents))) if contents else None
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         self.vocabulary = self.tokenizer.get_vocab_size()
         (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
@@ -146,18 +157,34 @@ class TextEncoder:
             start[more] = True
         return start
 
+    def _added(self, data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends, in bytes, of the added tokens inside the texts."""
+        if self.added is None:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        at = offsets.tolist()
+        found = np.array([m.span() for a, b in zip(at, at[1:]) for m in self.added.finditer(data, a, b)], np.int64).reshape(-1, 2)
+        return found[:, 0], found[:, 1]
+
     def encode(self, column: pa.Array, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with the end id behind it, and the number of each text's ids."""
         data, offsets = text_buffers(column)
         lengths = np.diff(offsets)
-        chars = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        raw = data.tobytes()
+        chars = np.frombuffer(raw.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
         leads = np.flatnonzero((data & 0xC0) != 0x80)
         if len(leads) != len(chars):
             raise ValueError("text is not valid UTF-8")
         opening = np.zeros(len(data) + 1, bool)
         opening[offsets[:-1]] = True
         if len(chars):
-            starts = leads[self._cuts(chars, opening[leads])]
+            # An added token is a piece, and what stands before and behind it is split like texts of their own.
+            tokens, behind = self._added(raw, offsets)
+            opening[tokens] = opening[behind] = True
+            cuts = self._cuts(chars, opening[leads])
+            size = behind - tokens - 1
+            covered = np.zeros(len(data), bool)
+            covered[np.repeat(tokens + 1, size) + V.ragged_arange(size)] = True
+            starts = leads[cuts & ~covered[leads]]
             ends = np.append(starts[1:], len(data))
             ids, counts = self.cache.ids_of(data, starts, ends, V.span_hash(V.rolling_sums(data), starts, ends))
             before = np.searchsorted(starts, offsets)
@@ -170,14 +197,15 @@ class TextEncoder:
         return out, inner + 1
 
 
-_ENCODERS: dict[str, TextEncoder] = {}
+_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
 
 
-def encoder_of(path: str) -> TextEncoder:
+def encoder_of(path: str, special_as_text: bool = True) -> TextEncoder:
     """The encoder of this worker process: its known pieces serve all tasks that run there."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = TextEncoder(path)
-    return _ENCODERS[path]
+    key = (path, special_as_text)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = TextEncoder(path, special_as_text)
+    return _ENCODERS[key]
 
 
 # --- Codes ----------------------------------------------------------------------------------------------------
@@ -271,9 +299,9 @@ _IDS_ARROW = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("part"
 _NULL_ID = -(2**63)
 
 
-def _tokenise(path: str):
+def _tokenise(path: str, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path)
+        encoder = encoder_of(path, special_as_text)
         narrow = np.uint16 if encoder.vocabulary <= 1 << 16 else np.uint32
         part, block, before = TaskContext.get().partitionId(), 0, 0
         counts = np.zeros(encoder.vocabulary, np.int64)
@@ -304,15 +332,15 @@ def _tokenise(path: str):
     return run
 
 
-def write(docs: DataFrame, tokenizer_path: str, folder: str, work: Workspace) -> None:
-    """Writes the ids of (doc_id, text) in ascending doc_id order into ``folder``.
+def write(docs: DataFrame, tokenizer_path: str, folder: str, work: Workspace, special_as_text: bool = True) -> None:
+    """Writes the ids of (doc_id, text) in ascending doc_id order into ``folder``; ``special_as_text`` as in ``TextEncoder``.
 
     The texts are ordered once and encoded once; their ids wait in ``work`` for the global counts. Counts, lengths and the
     codebook are as large as the vocabulary; the starts of the parts are one number a part.
     """
     spark = docs.sparkSession
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ids = work.put(ordered.mapInArrow(_tokenise(tokenizer_path), _IDS), "ids")
+    ids = work.put(ordered.mapInArrow(_tokenise(tokenizer_path, special_as_text), _IDS), "ids")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

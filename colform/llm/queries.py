@@ -61,7 +61,7 @@ def op8_mix_sources(spark, sf_dir):
 def op7_id_files(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     work = Workspace(spark, "idfile")
-    idfile.write(docs, tokenizer_file("byte_bpe_50k.json"), work.path("file"), work)
+    idfile.write(docs, tokenizer_file("byte_bpe_50k.json"), work.path("file"), work, special_as_text=False)
     return idfile.digest(idfile.read(spark, work.path("file")))
 
 

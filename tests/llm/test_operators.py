@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from colform.llm import crf, filters, idfile, langid, mixing, ngram_join, piece_bpe, quality, sketch, suffix_dedup, topk, toxicity
+from colform.llm import crf, filters, idfile, langid, mixing, ngram_join, piece_bpe, quality, queries, sketch, suffix_dedup, topk, toxicity
 from colform.llm import vectortext as V
 from colform.llm.queries import tokenizer_file
 from colform.llm.shared import Workspace
@@ -324,6 +324,23 @@ def test_id_files(spark, edges, empty):
     assert idfile.digest(idfile.read(spark, work.path("none"))).count() == 0
 
 
+def test_id_files_hold_the_ids_of_the_plain_library(spark, edges, tmp_path):
+    from tokenizers import Tokenizer
+
+    path, end = tokenizer_file("byte_bpe_50k.json"), "<|endoftext|>"
+    library = Tokenizer.from_file(path)
+    assert library.encode(f"hello {end} world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
+    texts = [f"hello {end} world", end, end + end, f"a  {end}  b", f"it's{end}'s we{end}'ll\n{end}\n", "cut <|endof", "text|> cut", f"é中{end}😀 '{end}s", None, ""]
+    rows = edges.select("doc_id", "text").where("doc_id IS NOT NULL").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    found = queries.op7_id_files(spark, str(tmp_path)).orderBy("start").collect()
+    before = 0
+    for r, (doc, text) in zip(found, sorted((r.doc_id, r.text or "") for r in rows.collect()), strict=True):
+        want = [*library.encode(text, add_special_tokens=False).ids, 0]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, before, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        before += len(want)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 300, 5000])
 def test_codes(n):
     rng = np.random.default_rng(n)
