@@ -2,7 +2,8 @@
 
 Words are runs of ASCII letters, digits and bytes beyond ASCII, with A-Z lower-cased. Labels come for documents; words
 are labelled from them: a word counts as toxic if it stands in a toxic document and it, or its first 4 to 7 bytes, occur
-in many different surroundings in toxic documents of the sample and in few others. The field then learns features (the word, its beginnings and its neighbours)
+in many different surroundings in toxic documents of the sample, or in more of these than chance explains, and in few others;
+copies and near copies of a document count once on both sides. If no word does, the words that lean to toxic documents are taken. The field then learns features (the word, its beginnings and its neighbours)
 and the transitions. Chains are runs of at most ``STEPS`` words; forward-backward gives each word's
 probability. A document's score is a logistic function of the log of the sum of their cubes,
 so that the many small ones of a long text do not add up to a toxic word.
@@ -33,10 +34,17 @@ SPAN_AT = 0.5
 #: Bytes of a word's beginnings that are features.
 BEGINNINGS = (4, 5, 6, 7)
 #: A word or beginning marks toxic words if it has at least this many distinct surroundings in toxic documents only, for each
-#: of them (4 at least) ...
+#: group of them (4 at least) ...
 SUPPORT = 0.02
-#: ... and so many times as many, for each toxic document, as it has in others for each of those.
+#: ... or if its share of toxic groups is beyond chance, where at most this share of such marks is expected to come by chance
+#: (Benjamini and Hochberg) ...
+CHANCE = 0.05
+#: ... and in both cases so many times as many, for each toxic group, as it has in others for each of those.
 LIFT = 6
+#: Where no word is beyond chance: the toxic documents that a word must stand in, tried in this order.
+WEAK = (4, 2, 1)
+#: Near copies agree on all minimum hashes of one of the bands.
+BANDS, BAND_ROWS = 8, 4
 #: Features that stand in at least this share of the sample (3 documents at least) have a weight.
 LEARNED = 0.002
 _NOT_WORD = np.ones(256, bool)
@@ -62,6 +70,47 @@ def _features(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, before, V.mix(rows ^ _SALT[:, None])
 
 
+def _groups(surroundings: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Group of each text: copies and near copies share one. ``counts`` are the words of each text."""
+    group = np.arange(len(counts))
+    texts = np.flatnonzero(counts)
+    if not len(texts):
+        return group
+    first = V.offsets_of(counts)[texts]
+    salts = V.mix(np.arange(101, 101 + BANDS * BAND_ROWS, dtype=np.uint64))
+    bands = []
+    for own in salts.reshape(BANDS, BAND_ROWS):
+        key = np.zeros(len(texts), np.uint64)
+        for salt in own:
+            key = V.mix(key + np.minimum.reduceat(V.mix(surroundings ^ salt), first))
+        bands.append(np.unique(key, return_inverse=True)[1])
+    while True:
+        before = group.copy()
+        for band in bands:
+            least = np.full(int(band.max()) + 1, len(counts))
+            np.minimum.at(least, band, group[texts])
+            group[texts] = least[band]
+        if (group == before).all():
+            return np.unique(group, return_inverse=True)[1]
+
+
+def _marks(bad: np.ndarray, good: np.ndarray, toxic: int, clean: int, support: int | None) -> np.ndarray:
+    """Features that mark toxic words, from the toxic and clean groups each stands in, of ``toxic`` and ``clean`` ones in all."""
+    lifted = (bad > 0) & (bad * clean >= LIFT * good * toxic)
+    if support is not None:
+        return lifted & (bad >= support)
+    n, rate = bad + good, toxic / (toxic + clean)
+    share = bad / n
+    # Chernoff's bound of the chance of so many toxic ones.
+    with np.errstate(divide="ignore", invalid="ignore"):
+        distance = np.where(bad > 0, share * np.log(share / rate), 0) + np.where(good > 0, (1 - share) * np.log((1 - share) / (1 - rate)), 0)
+    chance = np.where(share > rate, np.exp(-n * distance), 1.0)
+    tested = n >= WEAK[0]
+    ranked = np.sort(chance[tested])
+    passed = ranked[ranked <= CHANCE * np.arange(1, len(ranked) + 1) / max(len(ranked), 1)]
+    return lifted & tested & (chance <= (passed[-1] if len(passed) else -1.0))
+
+
 class Tagger:
     def __init__(self) -> None:
         #: One feature a cell, known by its whole hash: features that were too rare to learn have no weight.
@@ -99,6 +148,33 @@ class Tagger:
     def evidence(self, probabilities: np.ndarray, before: np.ndarray) -> np.ndarray:
         return np.log(np.diff(np.concatenate([[0.0], np.cumsum(probabilities**3)])[before]).clip(0) + 1e-2)[:, None]
 
+    def _learn_features(self, features: np.ndarray, text: np.ndarray, side: np.ndarray, toxic: int, clean: int, support: int | None) -> np.ndarray:
+        """Chooses the features that get weights; returns the words that marks make toxic. ``side``: twice a text's group, odd if toxic."""
+        marked = np.zeros(features.shape[1], bool)
+        for i, row in enumerate(features):
+            known, number = np.unique(row, return_inverse=True)
+            documents = np.bincount(np.unique(text.astype(np.int64) * len(known) + number) % len(known), minlength=len(known))
+            seen = np.unique(side[text].astype(np.int64) * len(known) + number)
+            inside, is_toxic = seen % len(known), (seen // len(known)) & 1
+            bad = np.bincount(inside, is_toxic, len(known))
+            good = np.bincount(inside, 1 - is_toxic, len(known))
+            learned = documents >= max(3, LEARNED * len(side))
+            if i <= len(BEGINNINGS):
+                marks = _marks(bad, good, toxic, clean, support)
+                if support is None:
+                    _, first, place = np.unique(V.mix(row + V.mix(features[-2] * np.uint64(3) + features[-1])), return_index=True, return_inverse=True)
+                    shared = np.bincount(place, side[text] % 2 == 0) > 0
+                    only = np.bincount(number[first], ~shared, len(known))
+                    others = np.bincount(number[first], shared, len(known))
+                    marks |= (only >= max(WEAK[0], SUPPORT * toxic)) & (only * clean >= LIFT * others * toxic)
+                marked |= marks[number]
+                learned |= marks
+            often = np.flatnonzero(learned)
+            often = often[np.argsort(documents[often], kind="stable")]
+            self.keys[i] = 0
+            self.keys[i][(known[often] & _MASK).astype(np.int64)] = known[often]
+        return marked
+
     def fit(self, texts: list[str], y: np.ndarray, rows: np.ndarray, epochs: int = 4, rate: float = 0.3, seed: int = 5) -> None:
         self.constant = float((y * rows).sum() / rows.sum()) if len(y) else 0.0
         if len(set(y.tolist())) < 2:
@@ -107,24 +183,17 @@ class Tagger:
         _, _, before, features = _features(data, offsets)
         counts = np.diff(before)
         text = V.row_of(counts)
-        marked = np.zeros(features.shape[1], bool)
-        for i, row in enumerate(features):
-            known, number = np.unique(row, return_inverse=True)
-            seen = np.unique(text.astype(np.int64) * len(known) + number)
-            inside, label = seen % len(known), y[seen // len(known)]
-            bad = np.bincount(inside, label, len(known))
-            good = np.bincount(inside, 1 - label, len(known))
-            if i <= len(BEGINNINGS):
-                # Counted by distinct surroundings: a line or a document that is repeated counts once.
-                _, first, place = np.unique(V.mix(row + V.mix(features[-2] * np.uint64(3) + features[-1])), return_index=True, return_inverse=True)
-                clean = np.bincount(place, 1 - y[text]) > 0
-                marks = np.bincount(number[first], ~clean, len(known))
-                others = np.bincount(number[first], clean, len(known))
-                marked |= ((marks >= max(4, SUPPORT * y.sum())) & (marks * (len(y) - y.sum()) >= LIFT * others * y.sum()))[number]
-            often = np.flatnonzero(bad + good >= max(3, LEARNED * len(y)))
-            often = often[np.argsort((bad + good)[often], kind="stable")]
-            self.keys[i][(known[often] & _MASK).astype(np.int64)] = known[often]
-        marked &= y[text] > 0
+        group = _groups(V.mix(features[0] + V.mix(features[-2] * np.uint64(3) + features[-1])), counts)
+        # Each side counts a group once, however many copies it has.
+        toxic, clean = len(np.unique(group[y > 0])), len(np.unique(group[y == 0]))
+        side = 2 * group + (y > 0)
+        for support in (None, *WEAK):
+            marked = self._learn_features(features, text, side, toxic, clean, support) & (y[text] > 0)
+            if marked.any():
+                break
+        else:
+            # No word leans to toxic documents: all their words are taken.
+            marked = y[text] > 0
         if not marked.any():
             return
         lengths, step, chain = crf.lay_out(counts, STEPS)

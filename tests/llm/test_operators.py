@@ -217,6 +217,39 @@ def test_toxicity(spark, edges, empty):
     assert {r.score for r in none} == {0.0}
 
 
+def toxic_by_copies_and_words(case: str) -> tuple[list[str], np.ndarray]:
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(5, 9))) for _ in range(30))
+    texts = [text() for _ in range(1000)]
+    if case == "copies":
+        # One toxic document copied, and 60 others with one of four words.
+        bad = [text()] * 900 + [f"{text()} {w} {text()}" for w in ("zork", "blarg", "frim", "quxo") for _ in range(15)]
+    elif case == "line":
+        bad = [f"{text()} end of page zork blarg frim quxo next page now {text()}" for _ in range(100)]
+        texts = [f"{t} end of page next page now" for t in texts]
+    else:
+        # No word stands in more than two toxic documents.
+        texts = texts[:40]
+        bad = [f"{text()} {chr(105 + i // 2 % 10)}{i // 2}zork {text()}" for i in range(40)]
+    return texts + bad, np.array([0.0] * len(texts) + [1.0] * len(bad))
+
+
+@pytest.mark.parametrize("case", ["copies", "line", "varied"])
+def test_toxic_words_are_found_among_copies_lines_and_rare_words(case):
+    texts, y = toxic_by_copies_and_words(case)
+    tagger = toxicity.Tagger()
+    tagger.fit(texts, y, np.ones(len(y)))
+    assert tagger.constant is None
+    clean = texts[0]
+    toxic = {"line": "end of page zork blarg frim quxo next page now", "copies": "blarg", "varied": "i0zork"}[case]
+    new = f"{clean} {toxic} {clean}"
+    score, (text, start, end) = tagger.score(pa.array([clean, new], pa.large_string()))
+    assert score[1] > score[0]
+    found = " ".join(new[a:b] for t, a, b in zip(text, start, end) if t == 1).split()
+    # So few texts as in the last case move the weights too little for spans.
+    assert set(found) >= {"line": {"zork", "blarg", "frim", "quxo"}, "copies": {"blarg"}, "varied": set()}[case]
+
+
 def test_quality(spark, edges, empty):
     docs, labels = labelled(spark, "quality")
     found = quality.score_documents(docs, labels).join(labels, "doc_id").collect()
