@@ -18,6 +18,8 @@ CYCLE_MIN_REPEATS = 4
 CYCLE_MIN_ROWS = 32
 CYCLE_PROBES = 16
 MAX_DECIMAL_EXPONENT = 18
+#: Exponents up to this one are tried in one pass.
+DECIMAL_FIRST = 4
 
 
 # --- Frame of reference and differences -----------------------------------------------------------------------
@@ -172,26 +174,48 @@ def optional_stats(df: DataFrame, column: str) -> DataFrame:
 # --- Decimals -------------------------------------------------------------------------------------------------
 
 
-def decimal_stats(df: DataFrame, columns: list[str], max_exponent: int = 4) -> DataFrame:
-    """Cheapest (exponent, factor) of each column with its low, bits, exceptions and total_bytes; one aggregate for all pairs.
+def _decimal(x, e: int, f: int) -> tuple:
+    """(digits as a whole double, whether they decode exactly) of a column at one exponent and factor."""
+    r = C.round_half_away(x * F.lit(10.0**e) / F.lit(10.0**f)).cast("double")
+    return r, ((r * F.lit(10.0**f) / F.lit(10.0**e)) == x) & (F.abs(r) <= float(1 << 53))
 
-    A pair holds if at most a tenth of the rows are exceptions; exponents beyond the first one without exceptions are not tried.
-    """
-    pairs = [(e, f) for e in range(max_exponent + 1) for f in range(e + 1)]
+
+def _decimal_pairs(df: DataFrame, columns: list[str], exponents: range) -> DataFrame:
+    """Fractional rows, exceptions and range of each column at all factors of some exponents; one aggregate."""
+    pairs = [(e, f) for e in exponents for f in range(e + 1)]
     aggs = [F.count(F.lit(1)).alias("n")]
     for i, c in enumerate(columns):
         aggs.append(F.sum((F.floor(c) != F.col(c)).cast("long")).alias(f"frac{i}"))
         for e, f in pairs:
-            r = C.round_half_away(F.col(c) * F.lit(10.0**e) / F.lit(10.0**f)).cast("double")
-            exact = (r * F.lit(10.0**f) / F.lit(10.0**e)) == F.col(c)
+            r, exact = _decimal(F.col(c), e, f)
             aggs += [F.sum((~exact).cast("long")).alias(f"x{i}_{e}_{f}"), F.min(F.when(exact, r)).alias(f"l{i}_{e}_{f}"), F.max(F.when(exact, r)).alias(f"h{i}_{e}_{f}")]
-    one = df.agg(*aggs)
     lines = [
         F.struct(F.lit(c).alias("column"), F.lit(e).cast("long").alias("exponent"), F.lit(f).cast("long").alias("factor"), F.col(f"frac{i}").alias("fractional"), F.col(f"x{i}_{e}_{f}").alias("exceptions"), F.col(f"l{i}_{e}_{f}").cast("long").alias("low"), F.col(f"h{i}_{e}_{f}").cast("long").alias("high"), "n")
         for i, c in enumerate(columns)
         for e, f in pairs
     ]
-    flat = one.select(F.inline(F.array(*lines))).where("exceptions * 10 <= n and exceptions < n and fractional > 0")
+    return df.agg(*aggs).select(F.inline(F.array(*lines)))
+
+
+def decimal_stats(df: DataFrame, columns: list[str], max_exponent: int = MAX_DECIMAL_EXPONENT) -> DataFrame:
+    """Cheapest (exponent, factor) of each column with its low, bits, exceptions and total_bytes.
+
+    A pair holds if at most a tenth of the rows are exceptions; exponents beyond the first one without exceptions are not tried.
+    One aggregate tries the first exponents of all columns; more follow only for columns that have exceptions at all of those.
+    """
+    flat = _decimal_pairs(df, columns, range(min(max_exponent, DECIMAL_FIRST) + 1))
+    if max_exponent > DECIMAL_FIRST:
+        schema, met = flat.schema, flat.collect()  # a row a column and pair
+        for e in range(DECIMAL_FIRST + 1, max_exponent + 1):
+            done = {r["column"] for r in met if r["exceptions"] == 0 or not r["fractional"]}
+            left = [c for c in columns if c not in done]
+            if not left:
+                break
+            # A column a pass: the pairs of one exponent are many.
+            for c in left:
+                met += _decimal_pairs(df, [c], range(e, e + 1)).collect()
+        flat = df.sparkSession.createDataFrame(met, schema)
+    flat = flat.where(f"exceptions * 10 <= n and exceptions < n and fractional > 0 and high - low < {1 << C.MAX_PACK_BITS}")
     flat = flat.withColumn("bits", C.bits_for(F.col("high") - F.col("low")))
     total = 3 + C.zigzag_width(F.col("low")) + C.packed_bytes(F.col("n"), F.col("bits")) + C.varint_width(F.col("exceptions")) + F.col("exceptions") * (C.varint_width(F.col("n")) + 9)
     flat = flat.withColumn("total_bytes", total.cast("long"))
@@ -201,8 +225,7 @@ def decimal_stats(df: DataFrame, columns: list[str], max_exponent: int = 4) -> D
 
 
 def encode_decimal(df: DataFrame, column: str, exponent: int, factor: int, low: int) -> DataFrame:
-    r = C.round_half_away(F.col(column) * F.lit(10.0**exponent) / F.lit(10.0**factor)).cast("double")
-    exact = (r * F.lit(10.0**factor) / F.lit(10.0**exponent)) == F.col(column)
+    r, exact = _decimal(F.col(column), exponent, factor)
     return df.withColumn("digits", F.when(exact, r - low).otherwise(0).cast("long")).withColumn("exception", F.when(~exact, F.col(column)))
 
 

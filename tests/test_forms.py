@@ -153,6 +153,12 @@ def test_plans(spark, tmp_path):
     assert [r.miss for r in planner.validate(df, {"x": (0, 4), "k": (0, 8)}).orderBy("column").collect()] == [False, True]
 
 
+def test_decimals_beyond_four_places(spark):
+    df = spark.createDataFrame([(i * 7 / 10**7, i / 100) for i in range(1, 200)], "x double, y double")
+    met = {r["column"]: (r["exponent"], r["exceptions"]) for r in forms.decimal_stats(df, ["x", "y"]).collect()}
+    assert met == {"x": (7, 0), "y": (2, 0)}
+
+
 def test_packets():
     values = [None, True, False, 0, 31, 32, -1, -129, 2**31, 2**40, -(2**40), 0.5, 0.1, float("inf"), "é", "é", b"\0\1", [1, [2, {"a": None}]], {"k": "é", "n": [1.5] * 9}]
     assert wire.deserialize(wire.serialize(values)) == values
