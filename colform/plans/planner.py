@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colform.functions import costs as C
+from colform.operators import forms
 from colform.operators.profile import kind_of
 from colform.sources.ordering import with_lags, with_order
 
@@ -69,42 +70,88 @@ class Plan:
         return Plan(out | {n: q for n, q in other.columns.items() if n not in out}, max(self.rows, other.rows))
 
 
-#: Figures of one column that the choice reads.
-_ZERO = {"present": 0, "nan": 0, "distinct": 0}
+_MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(`{}` as timestamp_ntz))"
+
+
+def _whole_doubles(df: DataFrame, columns: list[str]) -> set[str]:
+    """Double columns that hold integers only: they take integer forms. -0.0 takes none."""
+    if not columns:
+        return set()
+    fits = [F.min((F.floor(c) == F.col(c)) & (F.abs(c) <= float(1 << 52)) & (F.col(c).cast("string") != "-0.0")).alias(f"w{i}") for i, c in enumerate(columns)]
+    met = df.agg(*fits).first()
+    return {c for i, c in enumerate(columns) if met[f"w{i}"]}
 
 
 def column_figures(df: DataFrame, order_by: list[str]) -> tuple[int, dict[str, dict]]:
-    """(rows, figures by column): one ordering, and one wide aggregate over rows with their two predecessors."""
+    """(rows, figures by column): one ordering, one wide aggregate over rows with their two predecessors, and the form operators.
+
+    A column with missing values that an optional form may take also has the figures of its present values, as ``inner``.
+    """
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
-    usable = df
+    whole = _whole_doubles(df, [c for c, k in kinds.items() if k == "double"])
+    # The order is that of the columns as they came.
+    key_names = [f"_key{i}" for i in range(len(order_by))]
+    usable = df.withColumns({k: F.col(c) for k, c in zip(key_names, order_by)})
     for c, k in kinds.items():
         if k == "time":
-            usable = usable.withColumn(c, F.expr(f"timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(`{c}` as timestamp_ntz))"))
+            usable = usable.withColumn(c, F.expr(_MICROS.format(c)))
+        elif c in whole:
+            usable = usable.withColumn(c, F.col(c).cast("long"))
+            kinds[c] = "integer"
     columns = [c for c, k in kinds.items() if k in ("integer", "double", "string", "boolean", "time")]
-    ordered = with_order(usable, order_by)
+    ordered = with_order(usable, key_names)
     lagged = with_lags(ordered, columns, 2)
     aggs = [F.count(F.lit(1)).alias("rows")]
     for i, c in enumerate(columns):
         x, a, b = F.col(c), F.col(f"{c}_lag1"), F.col(f"{c}_lag2")
-        aggs += [F.count(x).alias(f"present{i}"), F.approx_count_distinct(x, 0.01).alias(f"distinct{i}"), F.sum((~x.eqNullSafe(a) | (F.col("_rn") == 0)).cast("long")).alias(f"runs{i}")]
+        aggs += [F.count(x).alias(f"present{i}"), F.sum((~x.eqNullSafe(a) | (F.col("_rn") == 0)).cast("long")).alias(f"runs{i}")]
         if kinds[c] in ("integer", "time"):
             aggs += [F.min(x).cast("long").alias(f"low{i}"), F.max(x).cast("long").alias(f"high{i}"), F.sum(C.integer_cost(x)).alias(f"plain{i}"), F.max(C.zigzag(x.cast("long") - a)).alias(f"wide1_{i}"), F.max(C.zigzag(x.cast("long") - 2 * a + b)).alias(f"wide2_{i}")]
         elif kinds[c] == "double":
-            cents = C.round_half_away(x * 100)
-            aggs += [F.sum((F.isnan(x) | (F.abs(x) == float("inf"))).cast("long")).alias(f"nan{i}"), F.sum((F.floor(x) != x).cast("long")).alias(f"frac{i}"), F.sum((cents / 100.0 != x).cast("long")).alias(f"odd{i}"), F.min(cents).cast("long").alias(f"low{i}"), F.max(cents).cast("long").alias(f"high{i}")]
+            aggs += [F.sum((F.isnan(x) | (F.abs(x) == float("inf"))).cast("long")).alias(f"nan{i}")]
         elif kinds[c] == "string":
-            aggs += [F.sum(F.octet_length(x) + 2).alias(f"bytes{i}"), F.max(F.octet_length(x)).alias(f"longest{i}"), F.sum(x.rlike(r"^\d{4}-\d{2}-\d{2}$").cast("long")).alias(f"dates{i}")]
+            aggs += [F.sum(F.octet_length(x) + 2).alias(f"bytes{i}"), F.max(F.octet_length(x)).alias(f"longest{i}"), F.sum(forms.date_days(x)[1].cast("long")).alias(f"dates{i}")]
     raw = lagged.agg(*aggs).first().asDict()
-    figures = {}
+    rows, figures = raw["rows"], {}
     for i, c in enumerate(columns):
-        names = ("present", "distinct", "runs", "low", "high", "plain", "wide1_", "wide2_", "nan", "frac", "odd", "bytes", "longest", "dates")
-        figures[c] = {"kind": kinds[c], **{n.strip("_"): raw[f"{n}{i}"] for n in names if f"{n}{i}" in raw}}
+        names = ("present", "runs", "low", "high", "plain", "wide1_", "wide2_", "nan", "bytes", "longest", "dates")
+        figures[c] = {"kind": kinds[c], "whole": c in whole, **{n.strip("_"): raw[f"{n}{i}"] for n in names if f"{n}{i}" in raw}}
+    full = [c for c in columns if figures[c]["present"] == rows >= 4]
+    for c in full:
+        f = figures[c]
+        if f["kind"] in ("integer", "time"):
+            f["cycle"] = _first(forms.cycle_stats(ordered, c))
+            f["frequency"] = _first(forms.frequency_stats(ordered, c).where("accepted"))
+        elif f["kind"] == "string":
+            f["prefix"] = _first(forms.prefix_stats(ordered, c).where("accepted"))
+    texts = [c for c in full if kinds[c] == "string"]
+    if texts:
+        for r in forms.dictionary_stats(ordered, texts).where("accepted").collect():
+            figures[r["column"]]["dictionary"] = r.asDict()
+    doubles = [c for c in full if kinds[c] == "double" and not figures[c]["nan"]]
+    if doubles and rows >= 8:
+        for r in forms.decimal_stats(ordered.select(*doubles), doubles).collect():
+            figures[r["column"]]["decimal"] = r.asDict()
     ordered.unpersist()
-    return raw["rows"], figures
+    for c in columns:
+        if 0 < figures[c]["present"] < rows and (rows + 7) // 8 < rows - figures[c]["present"]:
+            keys = {k: F.col(k) for k in order_by if k != c}
+            there = df.where(F.col(c).isNotNull()).select(c, *keys)
+            figures[c]["inner"] = column_figures(there, order_by)[1][c]
+    return rows, figures
+
+
+def _first(stats: DataFrame) -> dict | None:
+    row = stats.first()
+    return row.asDict() if row else None
 
 
 def choose(rows: int, f: dict) -> ColumnPlan:
-    """First form of the selection order that beats the rival's modelled cost by more than a plan definition."""
+    """First form of the selection order that beats the rival's modelled cost by more than a plan definition.
+
+    The order: optional, cyclic, runs (unless frequency costs less), booleans, frequency, decimal, differenced, date, prefixed
+    integer, dictionary, plain. The README names the forms that are not tried.
+    """
     present = f["present"] or 0
     extra = C.PLAN_DEFINITION_BYTES
     if not present or rows < 4:
@@ -112,13 +159,18 @@ def choose(rows: int, f: dict) -> ColumnPlan:
     if f["kind"] == "double" and (f["nan"] or 0):
         return ColumnPlan("plain", 9 * rows)
     if present < rows:
-        if (rows + 7) // 8 < rows - present:
-            inner = choose(present, f | {"present": present})
+        if "inner" in f:
+            inner = choose(present, f["inner"])
             return ColumnPlan("optional", (rows + 7) // 8 + inner.cost, {"inner": inner.form, **inner.parameters})
         return ColumnPlan("plain", 9 * rows)
+    runs = f["runs"] or rows
+    may_run = rows >= 8 and runs * 2 <= rows
+    run_cost = lambda value: C.py_varint_width(runs) + runs * (1 + value)
     if f["kind"] == "boolean":
-        return ColumnPlan("booleans", (rows + 7) // 8) if rows >= 8 else ColumnPlan("plain", rows)
+        plan = ColumnPlan("booleans", (rows + 7) // 8) if rows >= 8 else ColumnPlan("plain", rows)
+        return ColumnPlan("runs", run_cost(1), {"runs": runs}) if may_run and run_cost(1) + extra < plan.cost else plan
     if f["kind"] in ("integer", "time"):
+        typed = {"double": True} if f.get("whole") else {}
         span = f["high"] - f["low"]
         costs = [(2 + C.py_zigzag_width(f["low"]) + C.py_packed_bytes(rows, C.py_bits(span)), 0, C.py_bits(span))]
         for order in (1, 2):
@@ -126,27 +178,37 @@ def choose(rows: int, f: dict) -> ColumnPlan:
                 bits = C.py_bits(f[f"wide{order}"])
                 costs.append((2 + order * C.py_zigzag_width(f["low"]) + C.py_packed_bytes(rows - order, bits), order, bits))
         best, order, bits = min(costs)
-        runs = f["runs"] or rows
-        run_cost = C.py_varint_width(runs) + runs * (1 + max(C.py_integer_cost(f["low"]), C.py_integer_cost(f["high"])))
-        if rows >= 8 and runs * 2 <= rows and run_cost + extra < min(best, f["plain"]):
-            return ColumnPlan("runs", run_cost, {"runs": runs})
-        if best + extra < f["plain"] and bits <= C.MAX_PACK_BITS:
-            return ColumnPlan("differenced", best, {"order": order, "bits": bits, "low": f["low"]})
-        return ColumnPlan("plain", f["plain"])
+        plain = 9 * rows if typed else f["plain"]
+        rival = min(best if bits <= C.MAX_PACK_BITS else plain, plain)
+        cycle, often = f.get("cycle"), f.get("frequency")
+        if cycle and cycle["total_bytes"] + extra < rival:
+            return ColumnPlan("cyclic", cycle["total_bytes"], {"period": cycle["period"], "misfits": cycle["misfits"], "bits": cycle["bits"], **typed})
+        cost = run_cost(max(C.py_integer_cost(f["low"]), C.py_integer_cost(f["high"])))
+        if may_run and cost + extra < rival and not (often and often["total_bytes"] < cost):
+            return ColumnPlan("runs", cost, {"runs": runs, **typed})
+        if often and often["total_bytes"] + extra < rival:
+            return ColumnPlan("frequency", often["total_bytes"], {"top": often["top"], "exceptions": often["exceptions"], "bits": often["exception_bits"], "by_gaps": often["by_gaps"], **typed})
+        if best + extra < plain and bits <= C.MAX_PACK_BITS:
+            return ColumnPlan("differenced", best, {"order": order, "bits": bits, "low": f["low"], **typed})
+        return ColumnPlan("plain", plain)
     if f["kind"] == "double":
-        if f["frac"] and f["odd"] == 0 and f["low"] is not None:
-            bits = C.py_bits(f["high"] - f["low"])
-            cost = 4 + C.py_zigzag_width(f["low"]) + C.py_packed_bytes(rows, bits)
-            if cost + extra < 9 * rows:
-                return ColumnPlan("decimal", cost, {"exponent": 2, "factor": 0, "bits": bits, "low": f["low"]})
+        found = f.get("decimal")
+        if may_run and run_cost(9) + extra < min(9 * rows, found["total_bytes"] if found else 9 * rows):
+            return ColumnPlan("runs", run_cost(9), {"runs": runs})
+        if found and found["total_bytes"] + extra < 9 * rows:
+            return ColumnPlan("decimal", found["total_bytes"], {k: found[k] for k in ("exponent", "factor", "bits", "low", "exceptions")})
         return ColumnPlan("plain", 9 * rows)
+    book = f.get("dictionary")
+    rival = min(f["bytes"], book["dictionary_bytes"] if book else f["bytes"])
+    if may_run and run_cost(f["longest"] + 2) + extra < rival:
+        return ColumnPlan("runs", run_cost(f["longest"] + 2), {"runs": runs})
     if f["dates"] == rows:
         return ColumnPlan("date", 5 + 2 * rows)
-    entries = f["distinct"]
-    average = f["bytes"] / rows
-    dictionary = int(entries * average) + C.py_packed_bytes(rows, C.py_bits(max(entries - 1, 0)))
-    if entries <= 4095 and entries * 2 <= rows and dictionary + extra < int(entries * average) + 2 * (rows - entries):
-        return ColumnPlan("dictionary", dictionary, {"entries": entries})
+    head = f.get("prefix")
+    if head and head["total_bytes"] + extra < rival:
+        return ColumnPlan("prefixed", head["total_bytes"], {k: head[k] for k in ("prefix", "suffix", "width", "low", "bits")})
+    if book and book["dictionary_bytes"] + extra < book["plain_bytes"]:
+        return ColumnPlan("dictionary", book["dictionary_bytes"], {"entries": book["entries"]})
     return ColumnPlan("plain", f["bytes"])
 
 

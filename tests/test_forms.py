@@ -153,6 +153,16 @@ def test_plans(spark, tmp_path):
     assert [r.miss for r in planner.validate(df, {"x": (0, 4), "k": (0, 8)}).orderBy("column").collect()] == [False, True]
 
 
+def test_plans_try_the_whole_selection_order(spark):
+    rng = random.Random(3)
+    rows = [(i, int(rng.random() < 0.08) * rng.randint(1, 9**6), rng.randint(0, 1) if i % 3 else None, f"Customer#{i * i * 7:09d}", [3, 900, 17, 44, 5][i % 5], float(rng.randint(1, 50)), rng.randint(1, 10**6) / 1000 if i % 50 else 1 / 3, "aab"[i * 3 // 400] * 9, -0.0 if i == 7 else 2.0, "2024-02-30") for i in range(400)]
+    plan = planner.derive(spark.createDataFrame(rows, "k long, often long, opt long, name string, turn long, whole double, near double, run string, minus double, day string"), ["k"])
+    forms_ = {n: p.form for n, p in plan.columns.items()}
+    assert forms_ == {"k": "differenced", "often": "frequency", "opt": "optional", "name": "prefixed", "turn": "cyclic", "whole": "differenced", "near": "decimal", "run": "runs", "minus": "runs", "day": "runs"}
+    assert plan.columns["near"].parameters["exceptions"] == 8 and plan.columns["near"].parameters["exponent"] == 3
+    assert plan.columns["whole"].parameters == {"order": 0, "bits": 6, "low": plan.columns["whole"].parameters["low"], "double": True}
+
+
 def test_decimals_beyond_four_places(spark):
     df = spark.createDataFrame([(i * 7 / 10**7, i / 100) for i in range(1, 200)], "x double, y double")
     met = {r["column"]: (r["exponent"], r["exceptions"]) for r in forms.decimal_stats(df, ["x", "y"]).collect()}
