@@ -148,15 +148,71 @@ def assign(candidates: list[dict]) -> list[dict]:
     return sorted(chosen, key=lambda c: (depth(c["target"]), c["target"]))
 
 
+def _further_candidates(df: DataFrame, columns: list[str], rows: int, distinct: dict, alone: dict, entry: dict) -> list[dict]:
+    """Equal, multi-mapped, group-framed and linear links of all ordered pairs of columns without null or NaN."""
+    kinds = dict(df.dtypes)
+    gaps = df.agg(*[F.max(F.col(c).isNull() | (F.isnan(c) if kinds[c] in ("float", "double") else F.lit(False))).alias(c) for c in columns]).first()
+    usable = [c for c in columns if gaps[c] is False]
+    whole = {c for c in usable if kinds[c] in ("tinyint", "smallint", "int", "bigint")}
+    found = []
+
+    def add(a: str, b: str, form: str, cost: float, exceptions: int = 0) -> None:
+        found.append({"source": a, "target": b, "form": form, "saving": int(alone[b] - cost), "exceptions": exceptions})
+
+    together = set()
+    ordered = sorted(whole)
+    if len(ordered) > 1:
+        longs = df.select(*[F.col(c).cast("long") for c in ordered])
+        together = {frozenset((r["a"], r["b"])) for r in pair_stats(longs, ordered).where("passes").collect()}
+    for a in usable:
+        for b in usable:
+            if a == b:
+                continue
+            if kinds[a] == kinds[b] and a < b:
+                same = equality_stats(df, F.col(a), F.col(b)).first()
+                if same["accepted"]:
+                    odd = same["exceptions"]
+                    for x, y in ((a, b), (b, a)):
+                        add(x, y, "equal", 1 + C.py_varint_width(odd) + odd * (C.py_varint_width(rows) + entry[y]), odd)
+            if distinct[a] >= MIN_SOURCE_DISTINCT and distinct[a] * 2 <= rows:
+                many = multimap_stats(df, a, b).first()
+                if many["accepted"]:
+                    # Each source's list of the targets it admits, and a code a row.
+                    lists = df.select(a, b).distinct().count()
+                    add(a, b, "multi-mapped", C.py_varint_width(distinct[b]) + distinct[b] * entry[b] + distinct[a] * C.py_varint_width(many["widest"]) + C.py_packed_bytes(lists, many["alone_bits"]) + 1 + C.py_packed_bytes(rows, many["code_bits"]))
+                if b in whole:
+                    framed = group_frame_stats(df.select(F.col(a), F.col(b).cast("long").alias(b)), a, b).first()
+                    if framed["offset_bits"] < framed["whole_bits"]:
+                        add(a, b, "group-framed", framed["total_bytes"])
+            if a in whole and b in whole and frozenset((a, b)) in together:
+                line = linear_stats(df, F.col(a), F.col(b)).first()
+                if line and line["bits"] <= C.MAX_PACK_BITS:
+                    add(a, b, "linear", line["total_bytes"])
+    return found
+
+
 def correlation_assignment(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Links among categorical columns: one aggregate of pair counts gives the exceptions of every ordered pair."""
+    """Links among columns, chosen from the candidates of all forms.
+
+    One aggregate of pair counts gives the exceptions of every mapped pair; the other forms take their figures a pair.
+    """
     spark = df.sparkSession
     rows = df.count()
     cells = [F.col(c).cast("string") for c in columns]
     distinct = df.agg(*[F.countDistinct(c).alias(c) for c in columns]).first().asDict()
     widths = df.agg(*[F.sum(F.octet_length(c.cast("string")) if t == "string" else F.lit(4)).alias(n) for n, c, t in zip(columns, map(F.col, columns), [dict(df.dtypes)[c] for c in columns])]).first().asDict()
     pairs = [(a, b) for a in columns for b in columns if a != b and rows >= MIN_ROWS and MIN_SOURCE_DISTINCT <= distinct[a] and distinct[a] * 2 <= rows and distinct[b] * 2 <= rows and distinct[a] <= 4 * distinct[b]]
-    found = []
+    entry = {c: widths[c] / max(rows, 1) + 2 if widths[c] is not None else 2.0 for c in columns}
+    # What a column costs without a link: ids with their dictionary, or for integers a frame if that is less.
+    alone = {c: C.py_packed_bytes(rows, C.py_bits(max(distinct[c] - 1, 0))) + distinct[c] * entry[c] for c in columns}
+    whole = [c for c in columns if dict(df.dtypes)[c] in ("tinyint", "smallint", "int", "bigint")]
+    if whole and rows:
+        ends = df.agg(*[F.min(c).alias(f"l{i}") for i, c in enumerate(whole)], *[F.max(c).alias(f"h{i}") for i, c in enumerate(whole)]).first()
+        for i, c in enumerate(whole):
+            low, high = ends[f"l{i}"], ends[f"h{i}"]
+            if low is not None and C.py_bits(high - low) <= C.MAX_PACK_BITS:
+                alone[c] = min(alone[c], 2 + C.py_zigzag_width(low) + C.py_packed_bytes(rows, C.py_bits(high - low)))
+    found = _further_candidates(df, columns, rows, distinct, alone, entry) if rows >= MIN_ROWS else []
     if pairs:
         place = {c: i for i, c in enumerate(columns)}
         lines = [F.struct(F.lit(a).alias("source"), F.lit(b).alias("target"), cells[place[a]].alias("s"), cells[place[b]].alias("t")) for a, b in pairs]
@@ -165,8 +221,6 @@ def correlation_assignment(df: DataFrame, columns: list[str]) -> DataFrame:
         for r in kept.collect():  # one row a column pair
             if r["exceptions"] * 10 <= rows:
                 d_s, d_t = distinct[r["source"]], distinct[r["target"]]
-                entry = widths[r["target"]] / max(rows, 1) + 2
-                cost = C.py_varint_width(d_t) + d_t * entry + 1 + C.py_packed_bytes(d_s, C.py_bits(d_t)) + r["exceptions"] * (C.py_varint_width(rows) + 1)
-                alone = C.py_packed_bytes(rows, C.py_bits(max(d_t - 1, 0))) + d_t * entry
-                found.append({"source": r["source"], "target": r["target"], "form": "mapped", "saving": int(alone - cost), "exceptions": r["exceptions"]})
+                cost = C.py_varint_width(d_t) + d_t * entry[r["target"]] + 1 + C.py_packed_bytes(d_s, C.py_bits(d_t)) + r["exceptions"] * (C.py_varint_width(rows) + 1)
+                found.append({"source": r["source"], "target": r["target"], "form": "mapped", "saving": int(alone[r["target"]] - cost), "exceptions": r["exceptions"]})
     return spark.createDataFrame([(c["source"], c["target"], c["form"], c["saving"], c["exceptions"]) for c in assign(found)], "source string, target string, form string, saving long, exceptions long")

@@ -140,6 +140,21 @@ def test_diff_properties(spark):
         D.patch(c, changes, ["k"], D.fingerprint(b, ["k"]))
 
 
+def test_assignment_weighs_all_forms(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(400):
+        nation, group, x = rng.randint(0, 24), rng.randint(0, 4), rng.randint(0, 10**6)
+        rows.append((f"n{nation:02d}", f"r{nation % 5}", group, 100_000 * group * group + rng.randint(0, 15), x, 3 * x + rng.randint(0, 3), x if i % 50 else 7))
+    df = spark.createDataFrame(rows, "nation string, region string, grp long, slot long, x long, line long, same long")
+    got = {r.target: (r.source, r.form) for r in relate.correlation_assignment(df, ["nation", "region"]).collect()}
+    assert got == {"nation": ("region", "multi-mapped")}
+    got = {r.target: (r.source, r.form) for r in relate.correlation_assignment(df, ["grp", "slot"]).collect()}
+    assert got["slot"] == ("grp", "group-framed")
+    assert {r.form for r in relate.correlation_assignment(df, ["x", "line"]).collect()} == {"linear"}
+    assert {(r.form, r.exceptions) for r in relate.correlation_assignment(df, ["x", "same"]).collect()} == {("equal", 8)}
+
+
 def test_plans(spark, tmp_path):
     df = spark.createDataFrame([(i, i * 3, "ab"[i % 2], i / 4, None if i % 3 else i) for i in range(200)], "k long, x long, s string, d double, o long")
     plan = planner.derive(df, ["k"])
