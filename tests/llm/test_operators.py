@@ -229,7 +229,9 @@ def toxic_by_copies_and_words(case: str) -> tuple[list[str], np.ndarray]:
         texts = [f"{t} end of page next page now" for t in texts]
     else:
         # No word stands in more than two toxic documents.
-        texts = texts[:40]
+        usual = text().split()
+        text = lambda: " ".join(rng.choice(usual) for _ in range(30))
+        texts = [text() for _ in range(40)]
         bad = [f"{text()} {chr(105 + i // 2 % 10)}{i // 2}zork {text()}" for i in range(40)]
     return texts + bad, np.array([0.0] * len(texts) + [1.0] * len(bad))
 
