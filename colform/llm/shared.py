@@ -90,6 +90,17 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def side_by_side(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows of equal keys in one task, one behind the other, for a function that runs over whole partitions.
+
+    The rows are dealt by a hash of the keys, not by the keys: behind a join or an aggregate on the same keys Spark would leave
+    the shuffle out, and adaptive execution may then read that join's rows in another order of partitions.
+    """
+    from pyspark.sql import functions as F
+
+    return df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys)
+
+
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string column without copying; a null is an empty text."""
     if isinstance(column, pa.ChunkedArray):

@@ -382,7 +382,7 @@ def dedup(docs: DataFrame, work: Workspace | None = None, as_text: bool = False)
     texts = texts.withColumns({"doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(_FIRST_ID)), "print": F.xxhash64("text"), "print2": F.xxhash64(F.lit("2"), F.col("text"))})
     texts = texts.withColumn("mark", F.xxhash64("doc", "print", "print2"))
     odd = _odd_ones(texts, work)
-    held = NumberFilter.build(odd.select("mark"))
+    held = NumberFilter.build(odd.select("mark"), odd.count())
 
     long_ones = texts.where(F.octet_length("text") >= LENGTH).select("doc", "print", "mark", F.lit(0).alias("tie"), "text")
     listing = "doc long, print long, tie int, grams array<long>, places array<int>"

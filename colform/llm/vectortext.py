@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 #: Odd multipliers of the rolling hashes and of the final mixing.
@@ -64,6 +66,40 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+#: Masks of the first 0..8 bytes of a little-endian word.
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans longer than this are hashed one by one.
+_LONG = 512
+
+
+def eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on as a number; zeros follow the data."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0, view: np.ndarray | None = None) -> np.ndarray:
+    """Keyed 64-bit hashes of the spans [start, end), of their length and all their bytes.
+
+    Eight bytes at a time go through the keyed finaliser, which is not linear, so that no pair of strings collides whatever the key;
+    spans over 512 bytes are hashed by keyed BLAKE2b. With a key drawn for the run, equal hashes cannot be prepared.
+    """
+    view = eights(data) if view is None else view
+    size = ends - starts
+    salt = mix(np.array([key], np.uint64) ^ _BASE)
+    out = mix((view[starts] & _FIRST[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64) + salt))
+    open_, at = np.flatnonzero((size > 8) & (size <= _LONG)), 8
+    while len(open_):
+        left = size[open_] - at
+        out[open_] = mix((out[open_] + salt) ^ (view[starts[open_] + at] & _FIRST[np.minimum(left, 8)]))
+        open_, at = open_[left > 8], at + 8
+    for i in np.flatnonzero(size > _LONG).tolist():
+        digest = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=int(key).to_bytes(8, "little")).digest()
+        out[i] = int.from_bytes(digest, "little")
+    return out
+
+
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the maximal non-space runs of every text, and words before each text (length n + 1)."""
     inside = np.zeros(len(data) + 2, bool)
@@ -102,3 +138,14 @@ def offsets_of(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=out[1:])
     return out
+
+
+def numbered(*columns: np.ndarray) -> np.ndarray:
+    """Equal rows of the columns get equal numbers, in the order of the rows' values."""
+    order = np.lexsort(columns[::-1])
+    new = np.zeros(len(order), bool)
+    for c in columns:
+        new[1:] |= c[order[1:]] != c[order[:-1]]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out

@@ -57,12 +57,25 @@ def near_rows(found):
     return sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in found.collect())
 
 
-@pytest.mark.parametrize("width,percent,frequent,block", [(4, 85, 64, 512), (5, 80, 2, 4), (4, 85, 1, 3)])
-def test_near_duplicates_against_brute_force(spark, monkeypatch, width, percent, frequent, block):
+def thue_morse(log: int) -> tuple[str, str]:
+    """Two words of 2^log letters that polynomial hashes modulo 2^64 cannot tell apart."""
+    a, b = "a", "b"
+    for _ in range(log):
+        a, b = a + b, b + a
+    return a, b
+
+
+@pytest.mark.parametrize("width,percent,frequent,block,shingles", [(4, 85, 64, 512, 1 << 22), (5, 80, 2, 4, 400), (4, 85, 1, 3, 150)])
+def test_near_duplicates_against_brute_force(spark, monkeypatch, width, percent, frequent, block, shingles):
     monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_join, "BLOCK", block)
+    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", shingles)
+    if frequent < 64:  # without stars and with one forest a round the trees do all the work
+        monkeypatch.setattr(ngram_join, "FORESTS", 1)
+        monkeypatch.setattr(ngram_join, "HUBS", 1)
     rows = [r for r in edge_rows(3) if r[0] is not None and r[0] != 13]
     rows = list({r[0]: r for r in rows}.values())
+    rows += [(1000 + i, t, "en", "a", 1) for i, t in enumerate(t for log in (11, 12) for t in thue_morse(log))]
     found = ngram_join.near_duplicates(spark.createDataFrame(rows, SCHEMA), width, percent)
     want = ngram_join.brute_force({r[0]: r[1] for r in rows}, width, percent)
     assert near_rows(found) == sorted((str(k), n, str(c)) for k, (n, c) in want.items())
@@ -94,17 +107,24 @@ def test_signature_trees_lose_no_link():
         at = s & np.uint64(1023)
         np.bitwise_or.at(maps[i], (at >> np.uint64(6)).astype(int), np.uint64(1) << (at & np.uint64(63)))
     n, label = np.array([len(s) for s in sets]), np.arange(len(sets))
-    order = ngram_join._tree_order(n, label)
-    tree = ngram_join.SignatureTree(maps[order], n[order], label[order])
-    x, y, _ = ngram_join.dual_traversal(tree, tree, 85, True)
-    got = {tuple(sorted((int(order[a]), int(order[b])))) for a, b in zip(x, y)}
+    order = ngram_join._tree_order(np.zeros(len(n), np.int64), n, label)
+    trees = ngram_join.SignatureTrees(maps[order], n[order], label[order], np.array([len(n)]))
+    got = {tuple(sorted((int(order[a]), int(order[b])))) for x, y, _ in ngram_join.dual_traversal(trees, trees, 85, True) for a, b in zip(x, y)}
+    # Two forests of two trees each, of different depths: pairs of trees of one number only.
+    halves = [np.arange(70), np.arange(70, 120)]
+    one = ngram_join.SignatureTrees(maps, n, label, np.array([70, 50]))
+    few = np.concatenate([h[:5] for h in halves])
+    other = ngram_join.SignatureTrees(maps[few], n[few], label[few], np.array([5, 5]))
+    across = {(int(a), int(few[b])) for x, y, _ in ngram_join.dual_traversal(one, other, 85, False) for a, b in zip(x, y)}
     links = {(i, j) for i in range(len(sets)) for j in range(i) for k in [len(np.intersect1d(sets[i], sets[j]))] if 100 * k >= 85 * (n[i] + n[j] - k)}
     assert {tuple(sorted(p)) for p in links} <= got and len(got) < len(sets) ** 2 / 3
+    assert {(a, b) for p in links for a, b in (p, p[::-1]) if b in few and (a < 70) == (b < 70)} <= across
+    assert all((a < 70) == (b < 70) for a, b in across)
 
 
 def test_number_filter(spark):
     numbers = spark.range(5000).select((F.col("id") * 7919 - 10_000_000).alias("x"))
-    f = filters.NumberFilter(filters.NumberFilter.build(numbers).value)
+    f = filters.NumberFilter(filters.NumberFilter.build(numbers, 5000).value)
     assert f.has(np.arange(5000) * 7919 - 10_000_000).all()
     assert f.has(np.arange(10**6, 10**6 + 5000) * 7919).mean() < 0.01
 
