@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -16,6 +15,7 @@ from colform.operators import diff as D
 from colform.operators import forms, relate, sequential, shape, tree, wire
 from colform.operators.profile import profile
 from colform.plans import planner
+from colform.session import shared_root
 from colform.sources.ordering import running_sum, with_lags, with_order
 from colform.sources.tables import table
 from colform.streaming import delta
@@ -38,13 +38,8 @@ def query(oracle: str | None = None):
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share; a local one only for a local session without the setting."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="colform-")
-    return f"{root.rstrip('/')}/colform-{uuid.uuid4().hex}"
+    """A new folder that driver and executors share."""
+    return f"{shared_root(spark)}/colform-{uuid.uuid4().hex}"
 
 
 # --- SQL snippets of the oracles: the closed cost formulas --------------------------------------------------------
@@ -395,7 +390,10 @@ def form_cyclic_part_refused(spark, sf_dir):
 @query("SELECT doc_id, CAST(substring(source, 4) AS BIGINT) AS source_number FROM documents")
 def roundtrip_cyclic_documents(spark, sf_dir):
     docs = with_order(table(spark, sf_dir, "documents").select("doc_id", F.substring("source", 4, 10).cast("long").alias("x")), ["doc_id"])
-    period = forms.cycle_stats(docs, "x").first()["period"]
+    found = forms.cycle_stats(docs, "x").first()
+    if found is None:  # no cycle: the column stays as it is
+        return docs.select("doc_id", F.col("x").alias("source_number"))
+    period = found["period"]
     cycle = docs.where(F.col("_rn") < period).select(F.col("_rn").alias("place"), F.col("x").alias("expected"))
     placed = docs.withColumn("place", F.col("_rn") % period).join(F.broadcast(cycle), "place")
     odd = placed.where("x <> expected").select("_rn", F.col("x").alias("odd"))
@@ -721,16 +719,7 @@ def inspect_types_events(spark, sf_dir):
 @query("SELECT event_id, user_id, event_type, value FROM events")
 def wire_roundtrip_events(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    packed = wire.pack_rows(events, ["event_id", "user_id", "event_type", "value"]).select("packet")
-
-    def unpack(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            rows = [wire.deserialize(p.as_py()) for p in batch.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], t) for c, t in (("event_id", pa.int64()), ("user_id", pa.int64()), ("event_type", pa.string()))] + [pa.array([float(r["value"]) for r in rows], pa.float64())], ["event_id", "user_id", "event_type", "value"])
-
-    return packed.mapInArrow(unpack, "event_id long, user_id long, event_type string, value double")
+    return wire.unpack_rows(wire.pack_rows(events, events.columns), events.schema)
 
 
 _GEOGRAPHY = "n AS (SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent FROM region UNION ALL SELECT n_nationkey + 101, n_regionkey + 1 FROM nation UNION ALL SELECT s_suppkey + 1001, s_nationkey + 101 FROM supplier)"
@@ -743,12 +732,12 @@ def _geography(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH RECURSIVE {_GEOGRAPHY}, t AS (SELECT id, parent, 0 AS depth, lpad(CAST(id AS VARCHAR), 12, '0') AS path FROM n WHERE parent IS NULL UNION ALL SELECT n.id, n.parent, t.depth + 1, t.path || '/' || lpad(CAST(n.id AS VARCHAR), 12, '0') FROM n JOIN t ON n.parent = t.id), o AS (SELECT *, row_number() OVER (ORDER BY path) AS number FROM t) SELECT o.id, CAST(o.depth AS INTEGER) AS depth, o.number, coalesce(p.number, 0) AS parent_number FROM o LEFT JOIN o AS p ON o.parent = p.id")
 def tree_flatten_geography(spark, sf_dir):
-    return tree.number_tree(tree.flatten_tree(_geography(spark, sf_dir), 2))
+    return tree.number_tree(tree.flatten_tree(_geography(spark, sf_dir)))
 
 
 @query(f"WITH {_GEOGRAPHY} SELECT id, coalesce(parent, 0) AS parent FROM n")
 def tree_rebuild_geography(spark, sf_dir):
-    nodes, _ = tree.rebuild(tree.number_tree(tree.flatten_tree(_geography(spark, sf_dir), 2)))
+    nodes, _ = tree.rebuild(tree.number_tree(tree.flatten_tree(_geography(spark, sf_dir))))
     return nodes.fillna({"parent": 0})
 
 
@@ -764,7 +753,3 @@ def tree_capture_part(spark, sf_dir):
     rows = part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("class"), F.inline(F.array(F.struct(F.lit("p_size").alias("name"), F.col("p_size").cast("string").alias("value")), F.struct(F.lit("p_brand").alias("name"), F.col("p_brand").alias("value")))))
     defaults = part.select(F.col("p_type").alias("class")).distinct().select("class", F.lit("p_size").alias("name"), F.lit("1").alias("value"))
     return tree.capture(rows, defaults).select("id", "class", "name", "value")
-
-
-def plan_json(spark: SparkSession, df: DataFrame, keys: list[str]) -> dict:
-    return json.loads(planner.derive(df, keys).to_json())

@@ -14,11 +14,11 @@ VARINT_WIDEST = 9
 #: Fixed values of the format: (low, high, bytes) of a tagged whole number.
 INTEGER_COSTS = ((0, 31, 1), (-128, 255, 2), (-32768, 65535, 3), (-2147483648, 4294967295, 5))
 INTEGER_WIDEST = 10
-#: Widest packed integer, and bounds of the numbers that forms accept.
-MAX_PACK_BITS = 45
-MAX_DIFFERENCE_VALUE = 2**52
+#: Fixed values of the format: widest packed integer, bounds of the numbers that forms accept, bytes that name a form in a plan.
+WIDEST_PACKED = 45
+LARGEST_DIFFERENCED = 2**52
 SAFE_INTEGER = 2**53
-PLAN_DEFINITION_BYTES = 4
+DEFINITION_BYTES = 4
 #: Fixed values of the format: steps that have a one-byte code after the powers of ten.
 EXTRA_PRECISIONS = (0.5, 0.25, 0.2, 0.05, 0.025, 0.02, 0.005, 0.0025, 0.002)
 

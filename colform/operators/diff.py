@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from colform.functions import costs as C
 #: Fixed values of the format.
 SET, REMOVE, ROW = 1, 2, 4
 GUARD_FRACTION = 0.5
+#: Fields that a row's mask of changed fields, a long, has room for.
+MASK_BITS = 63
 
 
 class BaselineMismatch(ValueError):
@@ -17,10 +21,12 @@ class BaselineMismatch(ValueError):
 
 
 def fingerprint(df: DataFrame, keys: list[str]) -> int:
-    """Order-independent hash of a snapshot's rows: one aggregate."""
+    """Order-independent hash of a snapshot's rows, missing values apart from all texts: one aggregate that no number of rows overflows."""
     columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
-    row = F.xxhash64(*[F.coalesce(c.cast("string"), F.lit("\0")) for c in columns])
-    return df.agg(F.coalesce(F.sum(F.pmod(row, F.lit(1 << 40))), F.lit(0)).alias("f")).first()["f"]
+    row = F.xxhash64(*[x for c in columns for x in (c.isNull(), c.cast("string"))])
+    sums = df.agg(F.count(F.lit(1)).alias("n"), F.sum(row.cast("decimal(38,0)")).alias("s"), F.bit_xor(row).alias("x")).first()
+    digest = hashlib.sha256(f"{sorted(df.columns)} {sums['n']} {sums['s']} {sums['x']}".encode()).digest()
+    return int.from_bytes(digest[:8], "big") >> 1
 
 
 def diff(base: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
@@ -29,6 +35,8 @@ def diff(base: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
     One full outer join on the key; a field of both snapshots is compared as ``field_changed`` says.
     """
     fields = [c for c in base.columns if c not in keys]
+    if len(fields) > MASK_BITS:
+        raise ValueError(f"a change set has at most {MASK_BITS} fields beside the key")
     b = base.select(*keys, F.lit(True).alias("_b"), *[F.col(c).alias(f"b_{c}") for c in fields])
     n = current.select(*keys, F.lit(True).alias("_n"), *[F.col(c).alias(f"n_{c}") for c in fields])
     kinds = dict(base.dtypes)

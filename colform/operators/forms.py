@@ -10,14 +10,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from colform.functions import costs as C
-from colform.sources.ordering import running_sum, with_lags
+from colform.sources.ordering import last_before_each, running_sum, with_lags
 
+#: Fixed values of the format: most entries of a dictionary; longest cycle, fewest times that it must repeat and fewest rows
+#: of a column that is tried for one; largest power of ten of decimals.
 DICTIONARY_LIMIT = 4095
-CYCLE_MAX_PERIOD = 128
-CYCLE_MIN_REPEATS = 4
-CYCLE_MIN_ROWS = 32
-CYCLE_PROBES = 16
-MAX_DECIMAL_EXPONENT = 18
+LONGEST_CYCLE, LEAST_TURNS, LEAST_CYCLE_ROWS = 128, 4, 32
+LARGEST_EXPONENT = 18
+#: Rows that a cycle is looked for in before all rows are compared with it.
+CYCLE_SAMPLE = 2048
 #: Exponents up to this one are tried in one pass.
 DECIMAL_FIRST = 4
 
@@ -97,12 +98,12 @@ def decode_differences(encoded: DataFrame, order: int, name: str) -> DataFrame:
 
 
 def frequency_stats(ordered: DataFrame, column: str) -> DataFrame:
-    """The dominant value, its exceptions and both ways to give their positions."""
+    """The dominant value, its exceptions (missing values among them) and both ways to give their positions."""
     x = F.col(column)
     n = ordered.agg(F.count(F.lit(1)).alias("n"))
-    top = ordered.groupBy(x.alias("top")).agg(F.count(F.lit(1)).alias("top_count")).orderBy(F.col("top_count").desc(), "top").limit(1)
+    top = ordered.where(x.isNotNull()).groupBy(x.alias("top")).agg(F.count(F.lit(1)).alias("top_count")).orderBy(F.col("top_count").desc(), "top").limit(1)
     one = top.crossJoin(n)
-    odd = ordered.join(F.broadcast(one), x != F.col("top"))
+    odd = ordered.join(F.broadcast(one), ~x.eqNullSafe(F.col("top")))
     # Exceptions are numbered again, so their gaps are differences to the exception before, chunk by chunk.
     gaps = _gaps(odd.select("_rn", x.alias("v")))
     widest = gaps.agg(F.count(F.lit(1)).alias("exceptions"), F.max(C.zigzag(F.col("v"))).alias("widest"), F.max("gap").alias("widest_gap"))
@@ -120,19 +121,20 @@ def _gaps(positions: DataFrame) -> DataFrame:
     """Adds gap: distance of each _rn (counted from 1) to the one before, 0 before the first."""
     chunk = F.floor(F.col("_rn") / 65536)
     w = Window.partitionBy("_c").orderBy("_rn")
-    lasts = positions.groupBy(chunk.alias("_c")).agg(F.max("_rn").alias("_last"))
-    before = lasts.select("_c", F.lag("_last").over(Window.orderBy("_c")).alias("_before"))
-    return positions.withColumn("_c", chunk).join(F.broadcast(before), "_c").withColumn("gap", F.col("_rn") - F.coalesce(F.lag("_rn").over(w), F.col("_before"), F.lit(-1))).drop("_c", "_before")
+    before = last_before_each(positions.groupBy(chunk.cast("long").alias("_c")).agg(F.max("_rn").alias("_last")), "_c", "_last", "_before")
+    return positions.withColumn("_c", chunk.cast("long")).join(before, "_c").withColumn("gap", F.col("_rn") - F.coalesce(F.lag("_rn").over(w), F.col("_before"), F.lit(-1))).drop("_c", "_before")
 
 
 def encode_frequency(ordered: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """(one row with the dominant value, exceptions by position)."""
-    top = ordered.groupBy(F.col(column).alias("top")).count().orderBy(F.col("count").desc(), "top").limit(1).select("top")
-    return top, ordered.join(F.broadcast(top), F.col(column) != F.col("top")).select("_rn", F.col(column).alias("exception"))
+    """(one row with the dominant value, exceptions by position; a missing value is one); a column without any value has a null top."""
+    x = F.col(column)
+    top = ordered.where(x.isNotNull()).groupBy(x.alias("top")).count().orderBy(F.col("count").desc(), "top").limit(1).agg(F.first("top").alias("top"))
+    return top, ordered.join(F.broadcast(top), ~x.eqNullSafe(F.col("top"))).select("_rn", x.alias("exception"))
 
 
 def decode_frequency(positions: DataFrame, top: DataFrame, exceptions: DataFrame, name: str) -> DataFrame:
-    return positions.join(exceptions, "_rn", "left").crossJoin(F.broadcast(top)).withColumn(name, F.coalesce("exception", "top")).drop("top", "exception")
+    odd = exceptions.withColumn("_odd", F.lit(True))
+    return positions.join(odd, "_rn", "left").crossJoin(F.broadcast(top)).withColumn(name, F.when(F.col("_odd"), F.col("exception")).otherwise(F.col("top"))).drop("top", "exception", "_odd")
 
 
 def runs(ordered: DataFrame, column: str) -> DataFrame:
@@ -150,7 +152,10 @@ def run_stats(ordered: DataFrame, column: str) -> DataFrame:
 
 
 def decode_runs(found: DataFrame, name: str) -> DataFrame:
-    return found.withColumn("_i", F.explode(F.expr("sequence(0, cast(length as int) - 1)"))).select((F.col("start") + F.col("_i")).alias("_rn"), F.col("value").alias(name))
+    """Rows of the runs; a long run goes through pieces of 4096 rows, which are dealt out before they are unfolded."""
+    pieces = found.withColumn("_piece", F.explode(F.expr("sequence(0L, (length - 1) div 4096)"))).withColumn("_start", F.col("start") + F.col("_piece") * 4096)
+    pieces = pieces.withColumn("_rows", F.least(F.col("length") - F.col("_piece") * 4096, F.lit(4096))).repartition(F.xxhash64("_start"))
+    return pieces.withColumn("_i", F.explode(F.expr("sequence(0, cast(_rows as int) - 1)"))).select((F.col("_start") + F.col("_i")).alias("_rn"), F.col("value").alias(name))
 
 
 def pack_booleans(ordered: DataFrame, flag) -> DataFrame:
@@ -174,7 +179,7 @@ def optional_stats(df: DataFrame, column: str) -> DataFrame:
 # --- Decimals -------------------------------------------------------------------------------------------------
 
 
-def _decimal(x, e: int, f: int) -> tuple:
+def decimal_digits(x, e: int, f: int) -> tuple:
     """(digits as a whole double, whether they decode exactly) of a column at one exponent and factor."""
     r = C.round_half_away(x * F.lit(10.0**e) / F.lit(10.0**f)).cast("double")
     return r, ((r * F.lit(10.0**f) / F.lit(10.0**e)) == x) & (F.abs(r) <= float(1 << 53))
@@ -187,7 +192,7 @@ def _decimal_pairs(df: DataFrame, columns: list[str], exponents: range) -> DataF
     for i, c in enumerate(columns):
         aggs.append(F.sum((F.floor(c) != F.col(c)).cast("long")).alias(f"frac{i}"))
         for e, f in pairs:
-            r, exact = _decimal(F.col(c), e, f)
+            r, exact = decimal_digits(F.col(c), e, f)
             aggs += [F.sum((~exact).cast("long")).alias(f"x{i}_{e}_{f}"), F.min(F.when(exact, r)).alias(f"l{i}_{e}_{f}"), F.max(F.when(exact, r)).alias(f"h{i}_{e}_{f}")]
     lines = [
         F.struct(F.lit(c).alias("column"), F.lit(e).cast("long").alias("exponent"), F.lit(f).cast("long").alias("factor"), F.col(f"frac{i}").alias("fractional"), F.col(f"x{i}_{e}_{f}").alias("exceptions"), F.col(f"l{i}_{e}_{f}").cast("long").alias("low"), F.col(f"h{i}_{e}_{f}").cast("long").alias("high"), "n")
@@ -197,7 +202,7 @@ def _decimal_pairs(df: DataFrame, columns: list[str], exponents: range) -> DataF
     return df.agg(*aggs).select(F.inline(F.array(*lines)))
 
 
-def decimal_stats(df: DataFrame, columns: list[str], max_exponent: int = MAX_DECIMAL_EXPONENT) -> DataFrame:
+def decimal_stats(df: DataFrame, columns: list[str], max_exponent: int = LARGEST_EXPONENT) -> DataFrame:
     """Cheapest (exponent, factor) of each column with its low, bits, exceptions and total_bytes.
 
     A pair holds if at most a tenth of the rows are exceptions; exponents beyond the first one without exceptions are not tried.
@@ -215,7 +220,7 @@ def decimal_stats(df: DataFrame, columns: list[str], max_exponent: int = MAX_DEC
             for c in left:
                 met += _decimal_pairs(df, [c], range(e, e + 1)).collect()
         flat = df.sparkSession.createDataFrame(met, schema)
-    flat = flat.where(f"exceptions * 10 <= n and exceptions < n and fractional > 0 and high - low < {1 << C.MAX_PACK_BITS}")
+    flat = flat.where(f"exceptions * 10 <= n and exceptions < n and fractional > 0 and high - low < {1 << C.WIDEST_PACKED}")
     flat = flat.withColumn("bits", C.bits_for(F.col("high") - F.col("low")))
     total = 3 + C.zigzag_width(F.col("low")) + C.packed_bytes(F.col("n"), F.col("bits")) + C.varint_width(F.col("exceptions")) + F.col("exceptions") * (C.varint_width(F.col("n")) + 9)
     flat = flat.withColumn("total_bytes", total.cast("long"))
@@ -225,7 +230,7 @@ def decimal_stats(df: DataFrame, columns: list[str], max_exponent: int = MAX_DEC
 
 
 def encode_decimal(df: DataFrame, column: str, exponent: int, factor: int, low: int) -> DataFrame:
-    r, exact = _decimal(F.col(column), exponent, factor)
+    r, exact = decimal_digits(F.col(column), exponent, factor)
     return df.withColumn("digits", F.when(exact, r - low).otherwise(0).cast("long")).withColumn("exception", F.when(~exact, F.col(column)))
 
 
@@ -248,11 +253,11 @@ def first_appearance(ordered: DataFrame, column: str, limit: int | None = None)
 
 
 def dictionary_stats(ordered: DataFrame, columns: list[str]) -> DataFrame:
-    """column, rows, entries, id_bits, dictionary_bytes, plain_bytes, accepted."""
+    """column, rows, entries, id_bits, dictionary_bytes, plain_bytes, accepted; exact however many values there are."""
     out = None
     for c in columns:
-        entry = F.octet_length("value") + 2
-        one = first_appearance(ordered, c, DICTIONARY_LIMIT).agg(F.count(F.lit(1)).alias("entries"), F.sum("uses").alias("rows"), F.sum(entry).alias("entry_bytes"))
+        values = ordered.where(F.col(c).isNotNull()).groupBy(F.col(c).alias("value")).agg(F.count(F.lit(1)).alias("uses"))
+        one = values.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum("uses"), F.lit(0)).alias("rows"), F.coalesce(F.sum(F.octet_length("value") + 2), F.lit(0)).alias("entry_bytes"))
         one = one.select(F.lit(c).alias("column"), F.col("rows").cast("long"), "entries", C.bits_for_count(F.col("entries")).alias("id_bits"), F.col("entry_bytes").cast("long").alias("entry_bytes"))
         out = one if out is None else out.unionByName(one)
     out = out.withColumn("dictionary_bytes", F.col("entry_bytes") + C.packed_bytes(F.col("rows"), F.col("id_bits"))).withColumn("plain_bytes", F.col("entry_bytes") + (F.col("rows") - F.col("entries")) * 2)
@@ -261,12 +266,12 @@ def dictionary_stats(ordered: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def encode_dictionary(ordered: DataFrame, column: str, entries: DataFrame) -> DataFrame:
-    """Ids in place of values. A dictionary has at most 4,095 entries, so it can go to every task."""
-    return ordered.join(F.broadcast(entries.select("value", "id")), F.col(column) == F.col("value")).drop("value", column)
+    """Ids in place of values, null for a missing one. A dictionary has at most 4,095 entries, so it can go to every task."""
+    return ordered.join(F.broadcast(entries.select("value", "id")), F.col(column) == F.col("value"), "left").drop("value", column)
 
 
 def decode_dictionary(encoded: DataFrame, entries: DataFrame, name: str) -> DataFrame:
-    return encoded.join(F.broadcast(entries.select("id", F.col("value").alias(name))), "id").drop("id")
+    return encoded.join(F.broadcast(entries.select("id", F.col("value").alias(name))), "id", "left").drop("id")
 
 
 def date_days(text) -> tuple:
@@ -304,14 +309,16 @@ def prefix_stats(df: DataFrame, column: str) -> DataFrame:
 
 
 def cycle_candidates(ordered: DataFrame, column: str, n: int) -> list[int]:
-    """Periods that most of 16 spread probes agree with; a bounded number of cells comes to the driver."""
-    limit = min(CYCLE_MAX_PERIOD, n // CYCLE_MIN_REPEATS)
-    probes = {p: [((k * (n - p)) // CYCLE_PROBES, (k * (n - p)) // CYCLE_PROBES + p) for k in range(CYCLE_PROBES)] for p in range(2, limit + 1)}
-    wanted = sorted({i for pairs in probes.values() for pair in pairs for i in pair})
-    if n < CYCLE_MIN_ROWS or not wanted:
+    """Periods at which the first rows foretell at least three quarters of a sample of rows from all over the column."""
+    longest = min(LONGEST_CYCLE, n // LEAST_TURNS)
+    if n < LEAST_CYCLE_ROWS or longest < 2:
         return []
-    cells = {r["_rn"]: r["x"] for r in ordered.where(F.col("_rn").isin(wanted)).select("_rn", F.col(column).alias("x")).collect()}
-    return [p for p, pairs in probes.items() if 4 * sum(cells.get(a) == cells.get(b) for a, b in pairs) >= 3 * CYCLE_PROBES]
+    x = F.col(column)
+    head = ordered.where(F.col("_rn") < longest).agg(F.sort_array(F.collect_list(F.struct("_rn", x.alias("x")))).alias("head"))
+    sample = ordered.where(F.pmod(F.xxhash64("_rn"), F.lit(n)) < CYCLE_SAMPLE).select("_rn", x.alias("x"))
+    tried = sample.crossJoin(F.broadcast(head)).withColumn("period", F.explode(F.sequence(F.lit(2), F.lit(longest))))
+    met = tried.groupBy("period").agg(F.avg(F.expr("if(x <=> head[cast(_rn % period as int)].x, 1.0D, 0.0D)")).alias("share")).where("share >= 0.75")
+    return sorted(r["period"] for r in met.collect())
 
 
 def cycle_stats(ordered: DataFrame, column: str) -> DataFrame:
@@ -319,7 +326,7 @@ def cycle_stats(ordered: DataFrame, column: str) -> DataFrame:
     n = ordered.count()
     periods = cycle_candidates(ordered, column, n) or [-1]
     tried = ordered.select("_rn", F.col(column).cast("long").alias("x")).withColumn("period", F.explode(F.array(*[F.lit(p).cast("long") for p in periods])))
-    cycle = ordered.where(F.col("_rn") < CYCLE_MAX_PERIOD).select(F.col("_rn").alias("place"), F.col(column).cast("long").alias("expected"))
+    cycle = ordered.where(F.col("_rn") < LONGEST_CYCLE).select(F.col("_rn").alias("place"), F.col(column).cast("long").alias("expected"))
     met = tried.where("period > 0").withColumn("place", F.expr("_rn % if(period > 0, period, 1)")).join(F.broadcast(cycle), "place")
     odd = F.col("x") != F.col("expected")
     found = met.groupBy("period").agg(

@@ -36,13 +36,18 @@ def encode_mapping(df: DataFrame, source: str, target: str) -> tuple[DataFrame,
     """(source value -> target value, exceptions with all their columns)."""
     pairs = df.groupBy(source, target).count()
     best = pairs.withColumn("_r", F.row_number().over(Window.partitionBy(source).orderBy(F.col("count").desc(), target))).where("_r = 1").select(source, F.col(target).alias("_mapped"))
-    return best, df.join(best, source).where(~F.col(target).eqNullSafe(F.col("_mapped"))).drop("_mapped")
+    return best, _by_source(df, best, source).where(~F.col(target).eqNullSafe(F.col("_mapped"))).drop("_mapped")
+
+
+def _by_source(df: DataFrame, looked_up: DataFrame, source: str) -> DataFrame:
+    """Each row with what belongs to its source value; rows without one have a group of their own."""
+    return df.join(looked_up.withColumnRenamed(source, "_source"), F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
 
 
 def decode_mapping(df: DataFrame, source: str, mapping: DataFrame, exceptions: DataFrame, key: list[str], name: str) -> DataFrame:
     """``df`` lacks the target; ``exceptions`` has ``key`` and the target."""
     odd = exceptions.select(*key, F.col(name).alias("_odd"), F.lit(True).alias("_is_odd"))
-    return df.join(mapping, source).join(odd, key, "left").withColumn(name, F.when(F.col("_is_odd"), F.col("_odd")).otherwise(F.col("_mapped"))).drop("_odd", "_is_odd", "_mapped")
+    return _by_source(df, mapping, source).join(odd, key, "left").withColumn(name, F.when(F.col("_is_odd"), F.col("_odd")).otherwise(F.col("_mapped"))).drop("_odd", "_is_odd", "_mapped")
 
 
 def multimap_stats(df: DataFrame, source: str, target: str) -> DataFrame:
@@ -70,41 +75,48 @@ def group_frame_stats(df: DataFrame, source: str, target: str) -> DataFrame:
 
 def encode_group_frame(df: DataFrame, source: str, target: str) -> tuple[DataFrame, DataFrame]:
     references = df.groupBy(source).agg(F.min(target).alias("reference"))
-    return references, df.join(references, source).withColumn("offset", F.col(target) - F.col("reference")).drop("reference", target)
+    return references, _by_source(df, references, source).withColumn("offset", F.col(target) - F.col("reference")).drop("reference", target)
 
 
 def decode_group_frame(encoded: DataFrame, references: DataFrame, source: str, name: str) -> DataFrame:
-    return encoded.join(references, source).withColumn(name, F.col("offset") + F.col("reference")).drop("offset", "reference")
+    return _by_source(encoded, references, source).withColumn(name, F.col("offset") + F.col("reference")).drop("offset", "reference")
 
 
 def equality_stats(df: DataFrame, a, b) -> DataFrame:
     return df.agg(F.count(F.lit(1)).alias("rows"), F.sum((~a.eqNullSafe(b)).cast("long")).alias("exceptions")).withColumn("accepted", F.col("exceptions") * 10 <= F.col("rows"))
 
 
+#: A long as a decimal; the product of two has at most 38 digits.
+BIG = "decimal(19,0)"
+
+
+def _product(a, b):
+    """Sum of a product of longs, as a double where it has more than 38 digits."""
+    return F.coalesce(F.try_sum(a.cast(BIG) * b.cast(BIG)).cast("double"), F.sum(a.cast("double") * b.cast("double")))
+
+
 def exact_sums(df: DataFrame, columns: list[str], pairs: list[tuple[str, str]]) -> dict:
-    """n, sums, and sums of products of integer columns, exact in decimal, in one pass for each ``PAIRS_A_PASS`` pairs."""
-    big = lambda c: c.cast("decimal(38,0)")
+    """n, sums, and sums of products of integer columns, exact in decimal, in one pass for each ``PAIRS_A_PASS`` pairs.
+
+    Factors are decimals before they are multiplied, so no product of longs overflows; a sum beyond 38 digits falls back to a double.
+    """
     out: dict = {}
     for at in range(0, max(len(pairs), 1), PAIRS_A_PASS):
         part = pairs[at : at + PAIRS_A_PASS]
         aggs = [F.count(F.lit(1)).alias("n")]
         if not at:
-            aggs += [F.sum(big(F.col(c))).alias(f"s_{c}") for c in columns] + [F.sum(big(F.col(c) * F.col(c))).alias(f"q_{c}") for c in columns]
-        aggs += [F.sum(big(F.col(a) * F.col(b))).alias(f"p_{a}_{b}") for a, b in part]
+            aggs += [F.sum(F.col(c).cast(BIG)).alias(f"s_{c}") for c in columns] + [_product(F.col(c), F.col(c)).alias(f"q_{c}") for c in columns]
+        aggs += [_product(F.col(a), F.col(b)).alias(f"p_{a}_{b}") for a, b in part]
         out |= df.agg(*aggs).first().asDict()
     return out
 
 
 def pair_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(a, b, r_millionths, passes): Pearson r of all pairs of integer columns from exact sums."""
+    """(a, b, r_e4, passes): Pearson r, in ten-thousandths, of all pairs of integer columns from exact sums."""
     pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    big = lambda c: c.cast("decimal(38,0)")
-    aggs = [F.count(F.lit(1)).cast("double").alias("n")]
-    aggs += [F.sum(big(F.col(c))).cast("double").alias(f"s_{c}") for c in columns]
-    aggs += [F.sum(big(F.col(c) * F.col(c))).cast("double").alias(f"q_{c}") for c in columns]
-    aggs += [F.sum(big(F.col(a) * F.col(b))).cast("double").alias(f"p_{a}_{b}") for a, b in pairs]
-    lines = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), "n", F.col(f"s_{a}").alias("sa"), F.col(f"s_{b}").alias("sb"), F.col(f"q_{a}").alias("qa"), F.col(f"q_{b}").alias("qb"), F.col(f"p_{a}_{b}").alias("p")) for a, b in pairs]
-    flat = df.agg(*aggs).select(F.inline(F.array(*lines)))
+    s = exact_sums(df, columns, pairs)
+    lines = [(a, b, float(s["n"]), *(float(s[k] or 0) for k in (f"s_{a}", f"s_{b}", f"q_{a}", f"q_{b}", f"p_{a}_{b}"))) for a, b in pairs]
+    flat = df.sparkSession.createDataFrame(lines, "a string, b string, n double, sa double, sb double, qa double, qb double, p double")
     va, vb = F.col("qa") / F.col("n") - (F.col("sa") / F.col("n")) * (F.col("sa") / F.col("n")), F.col("qb") / F.col("n") - (F.col("sb") / F.col("n")) * (F.col("sb") / F.col("n"))
     r = F.when((va > 0) & (vb > 0), (F.col("p") / F.col("n") - (F.col("sa") / F.col("n")) * (F.col("sb") / F.col("n"))) / F.sqrt(va * vb)).otherwise(0.0)
     return flat.select("a", "b", F.floor(r * 10000 + 0.5).cast("long").alias("r_e4"), (F.abs(r) >= R_GATE).alias("passes"))
@@ -113,13 +125,16 @@ def pair_stats(df: DataFrame, columns: list[str]) -> DataFrame:
 def linear_stats(df: DataFrame, reference, column) -> DataFrame:
     """Integer least squares column ~ slope * reference + intercept, and the width of the residual; two passes."""
     xy = df.select(reference.cast("long").alias("a"), column.cast("long").alias("b"))
-    big = lambda c: c.cast("decimal(38,0)")
-    sums = xy.agg(F.count(F.lit(1)).cast("double").alias("n"), *[F.sum(big(e)).cast("double").alias(k) for k, e in (("sa", F.col("a")), ("sb", F.col("b")), ("saa", F.col("a") * F.col("a")), ("sab", F.col("a") * F.col("b")))])
+    a, b = F.col("a"), F.col("b")
+    sums = xy.agg(F.count(F.lit(1)).cast("double").alias("n"), F.sum(a.cast(BIG)).cast("double").alias("sa"), F.sum(b.cast(BIG)).cast("double").alias("sb"), _product(a, a).alias("saa"), _product(a, b).alias("sab"))
     variance = F.col("saa") - F.col("sa") * F.col("sa") / F.col("n")
-    fit = sums.where(variance > 0).withColumn("slope", C.round_half_away((F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / variance).cast("long"))
-    fit = fit.withColumn("intercept", C.round_half_away((F.col("sb") - F.col("slope") * F.col("sa")) / F.col("n")).cast("long")).select("slope", "intercept").where("slope <> 0")
-    residual = F.col("b") - (F.col("slope") * F.col("a") + F.col("intercept"))
-    met = xy.crossJoin(F.broadcast(fit)).groupBy("slope", "intercept").agg(F.count(F.lit(1)).alias("rows"), F.max(C.zigzag(residual)).alias("widest"))
+    whole = lambda x: F.when(F.abs(x) <= float(C.LARGEST_DIFFERENCED), C.round_half_away(x)).cast("long")
+    fit = sums.where(variance > 0).withColumn("slope", whole((F.col("sab") - F.col("sa") * F.col("sb") / F.col("n")) / variance))
+    fit = fit.withColumn("intercept", whole((F.col("sb") - F.col("slope") * F.col("sa")) / F.col("n"))).select("slope", "intercept").where("slope <> 0 and intercept is not null")
+    # A residual beyond what differences may hold leaves the column without this form.
+    residual = F.expr("try_subtract(b, try_add(try_multiply(slope, a), intercept))")
+    residual = F.when(residual.between(-C.LARGEST_DIFFERENCED, C.LARGEST_DIFFERENCED), residual)
+    met = xy.crossJoin(F.broadcast(fit)).groupBy("slope", "intercept").agg(F.count(F.lit(1)).alias("rows"), F.count(residual).alias("held"), F.max(C.zigzag(residual)).alias("widest")).where("held = rows")
     met = met.withColumn("bits", C.bits_for(F.col("widest")))
     return met.select("slope", "intercept", "widest", "bits", (2 + C.zigzag_width(F.col("slope")) + C.zigzag_width(F.col("intercept")) + C.packed_bytes(F.col("rows"), F.col("bits"))).cast("long").alias("total_bytes"))
 
@@ -186,7 +201,7 @@ def _further_candidates(df: DataFrame, columns: list[str], rows: int, distinct:
                         add(a, b, "group-framed", framed["total_bytes"])
             if a in whole and b in whole and frozenset((a, b)) in together:
                 line = linear_stats(df, F.col(a), F.col(b)).first()
-                if line and line["bits"] <= C.MAX_PACK_BITS:
+                if line and line["bits"] <= C.WIDEST_PACKED:
                     add(a, b, "linear", line["total_bytes"])
     return found
 
@@ -210,7 +225,7 @@ def correlation_assignment(df: DataFrame, columns: list[str]) -> DataFrame:
         ends = df.agg(*[F.min(c).alias(f"l{i}") for i, c in enumerate(whole)], *[F.max(c).alias(f"h{i}") for i, c in enumerate(whole)]).first()
         for i, c in enumerate(whole):
             low, high = ends[f"l{i}"], ends[f"h{i}"]
-            if low is not None and C.py_bits(high - low) <= C.MAX_PACK_BITS:
+            if low is not None and C.py_bits(high - low) <= C.WIDEST_PACKED:
                 alone[c] = min(alone[c], 2 + C.py_zigzag_width(low) + C.py_packed_bytes(rows, C.py_bits(high - low)))
     found = _further_candidates(df, columns, rows, distinct, alone, entry) if rows >= MIN_ROWS else []
     if pairs:

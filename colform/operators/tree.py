@@ -5,21 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colform.session import checkpointed
 from colform.sources.ordering import with_order
 
 
-def flatten_tree(nodes: DataFrame, max_depth: int = 16) -> DataFrame:
-    """(id, parent) -> (id, parent, depth, path): one join a level, not a loop over rows.
+def _resolved(nodes: DataFrame) -> DataFrame:
+    """(id, parent, up, path): the ids from the root, or from below ``up`` where the way to a root ends in a cycle or at no node.
 
-    ``path`` holds the ids from the root as fixed-width text, so its order is the pre-order.
+    Each round a node takes over the way of the node that its own way ends at, so ways double: a chain of a thousand nodes needs ten
+    rounds. A way whose upper end is no node ends there. Rounds are checkpointed tables.
     """
-    step = lambda c: F.lpad(c.cast("string"), 12, "0")
-    level = nodes.where("parent is null").select("id", "parent", F.lit(0).alias("depth"), step(F.col("id")).alias("path"))
-    out = level
-    for depth in range(1, max_depth + 1):
-        level = nodes.alias("n").join(level.alias("p"), F.col("n.parent") == F.col("p.id")).select("n.id", "n.parent", F.lit(depth).alias("depth"), F.concat_ws("/", F.col("p.path"), step(F.col("n.id"))).alias("path"))
-        out = out.unionByName(level)
-    return out
+    known = nodes.select(F.col("id").alias("up"), F.lit(True).alias("_known")).distinct()
+    start = nodes.select("id", "parent", F.col("parent").alias("up"), F.array("id").alias("path")).join(known, "up", "left")
+    state = checkpointed(start.select("id", "parent", "up", "path", (F.col("up").isNotNull() & F.col("_known").isNull()).alias("cut")))
+    left = None
+    while True:
+        going = state.where("up is not null and not cut")
+        if (now := going.count()) in (0, left):  # what no round shortens any more hangs on a cycle
+            return state
+        left = now
+        above = state.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("path").alias("_path"), F.col("cut").alias("_cut"))
+        moved = going.join(above, "up").select("id", "parent", F.col("_up").alias("up"), F.concat("_path", "path").alias("path"), F.col("_cut").alias("cut"))
+        state = checkpointed(moved.unionByName(state.where("up is null or cut")))
+
+
+def flatten_tree(nodes: DataFrame) -> DataFrame:
+    """(id, parent) -> (id, parent, depth, path) of the nodes that hang on a root, at any depth.
+
+    ``path`` holds the ids from the root, so its order is the pre-order. ``tree_problems`` names the other nodes.
+    """
+    return _resolved(nodes).where("up is null").select("id", "parent", (F.size("path") - 1).alias("depth"), "path")
+
+
+def tree_problems(nodes: DataFrame) -> DataFrame:
+    """(id, problem) of the nodes that hang on no root: an ancestor is missing, or they are in or below a cycle."""
+    return _resolved(nodes).where("up is not null").select("id", F.when(F.col("cut"), "an ancestor is missing").otherwise("in or below a cycle").alias("problem"))
 
 
 def number_tree(flat: DataFrame) -> DataFrame:

@@ -1,22 +1,29 @@
 """Self-describing packets for single values: tagged bytes with prefix varints and a bounds-checked reader.
 
 Layout: version byte, flag byte (bit 0: strings are interned, bit 2: fractional numbers are kept exact), then one tagged value. Whole numbers
-take their narrowest form; a string that came before is its number; arrays and maps are a count and their values; map keys
+take their narrowest form, integers from 2^53 on 64 bits; a string that came before is its number; arrays and maps are a count and their values; map keys
 are any values. Packets made elsewhere may be hostile: every count is held against the bytes that are left, and depth is limited.
 """
 
 from __future__ import annotations
 
+import base64
 import struct
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 VERSION = 1
 #: Fixed values of the format.
 NIL, TRUE, FALSE, NAN, INF, NEG_INF, NEG_ZERO = range(0x00, 0x07)
 SMALL = 0x10
-U8, U16, U32, I8, I16, I32, F32, F64, VARINT, NEG_VARINT = range(0x30, 0x3A)
+U8, U16, U32, I8, I16, I32, F32, F64, VARINT, NEG_VARINT, I64 = range(0x30, 0x3B)
 STRING, STRING_REF, BUFFER = 0x40, 0x41, 0x42
 ARRAY, MAP = 0x50, 0x51
-_FIXED = {U8: "<B", U16: "<H", U32: "<I", I8: "<b", I16: "<h", I32: "<i", F32: "<f", F64: "<d"}
+_FIXED = {U8: "<B", U16: "<H", U32: "<I", I8: "<b", I16: "<h", I32: "<i", F32: "<f", F64: "<d", I64: "<q"}
 
 
 class PacketError(ValueError):
@@ -64,6 +71,11 @@ class Writer:
                 self.out += struct.pack(_FIXED[tag], x)
             else:
                 self.varint(abs(x))
+        elif isinstance(x, int):
+            if not -(2**63) <= x < 2**63:
+                raise ValueError("whole numbers have at most 64 bits")
+            self.out.append(I64)
+            self.out += struct.pack("<q", x)
         else:
             try:
                 short = struct.unpack("<f", struct.pack("<f", x))[0] == x
@@ -200,16 +212,45 @@ def deserialize(packet: bytes, max_depth: int = 512):
     return value
 
 
-def pack_rows(df, columns: list[str], name: str = "packet"):
-    """A packet of the row's fields as a map, in Arrow batches."""
-    from pyspark.sql import functions as F
+def to_text(value, max_depth: int = 512) -> str:
+    """A packet as text."""
+    return base64.b64encode(serialize(value, max_depth)).decode()
+
+
+def from_text(text: str, max_depth: int = 512):
+    try:
+        packet = base64.b64decode(text, validate=True)
+    except ValueError as bad:
+        raise PacketError("text is not base64") from bad
+    return deserialize(packet, max_depth)
+
+
+def pack_rows(df: DataFrame, columns: list[str], name: str = "packet") -> DataFrame:
+    """Adds a packet of the row's fields as a map. Fields come through Arrow, so that missing values, NaN and 64-bit numbers stay what they are."""
+    schema = StructType([*df.schema.fields, StructField(name, BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packets = pa.array(map(serialize, batch.select(columns).to_pylist()), pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns, packets], names=[*batch.schema.names, name])
+
+    return df.mapInArrow(run, schema)
+
+
+def unpack_rows(df: DataFrame, fields: StructType | str, name: str = "packet") -> DataFrame:
+    """The fields of ``pack_rows`` packets; a whole number of a fractional column becomes one again."""
+    schema = df.sparkSession.createDataFrame([], fields).schema if isinstance(fields, str) else fields
+    types = to_arrow_schema(schema)
 
-    @F.pandas_udf("binary")
-    def run(rows):
-        import pandas as pd
+    def column(rows: list[dict], field: pa.Field) -> pa.Array:
+        values = [r.get(field.name) for r in rows]
+        if pa.types.is_floating(field.type):
+            values = [None if v is None else float(v) for v in values]
+        return pa.array(values, field.type, from_pandas=False)
 
-        clean = rows.astype(object).where(rows.notna(), None)
-        return pd.Series([serialize({c: (v.item() if hasattr(v, "item") else v) for c, v in zip(rows.columns, r)}) for r in clean.itertuples(index=False)])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [deserialize(p.as_py()) for p in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([column(rows, f) for f in types], names=types.names)
 
-    run.func.__annotations__ = {}
-    return df.withColumn(name, run(F.struct(*columns)))
+    return df.select(name).mapInArrow(run, schema)

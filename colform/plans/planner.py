@@ -59,18 +59,19 @@ class Plan:
         return cls.from_json(spark.read.text(path).first()["value"])
 
     def merged(self, other: Plan) -> Plan:
-        """Widened by another plan: same form takes the wider parameters, another form keeps the first."""
+        """Widened by another plan: a form of the same kind (and order of differences, exponent, ...) takes the wider parameters, another keeps the first."""
         out = {}
         for n, p in self.columns.items():
             q = other.columns.get(n)
-            if q and q.form == p.form:
+            fixed = ("order", "exponent", "factor", "period", "prefix", "suffix", "width", "inner", "double")
+            if q and q.form == p.form and all(p.parameters.get(k) == q.parameters.get(k) for k in fixed):
                 both = {k: max(v, q.parameters[k]) if k == "bits" else min(v, q.parameters[k]) if k == "low" else v for k, v in p.parameters.items() if k in q.parameters}
                 p = ColumnPlan(p.form, max(p.cost, q.cost), p.parameters | both)
             out[n] = p
         return Plan(out | {n: q for n, q in other.columns.items() if n not in out}, max(self.rows, other.rows))
 
 
-_MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(`{}` as timestamp_ntz))"
+MICROS = "timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', cast(`{}` as timestamp_ntz))"
 
 
 def _whole_doubles(df: DataFrame, columns: list[str]) -> set[str]:
@@ -94,7 +95,7 @@ def column_figures(df: DataFrame, order_by: list[str]) -> tuple[int, dict[str, d
     usable = df.withColumns({k: F.col(c) for k, c in zip(key_names, order_by)})
     for c, k in kinds.items():
         if k == "time":
-            usable = usable.withColumn(c, F.expr(_MICROS.format(c)))
+            usable = usable.withColumn(c, F.expr(MICROS.format(c)))
         elif c in whole:
             usable = usable.withColumn(c, F.col(c).cast("long"))
             kinds[c] = "integer"
@@ -132,7 +133,6 @@ def column_figures(df: DataFrame, order_by: list[str]) -> tuple[int, dict[str, d
     if doubles and rows >= 8:
         for r in forms.decimal_stats(ordered.select(*doubles), doubles).collect():
             figures[r["column"]]["decimal"] = r.asDict()
-    ordered.unpersist()
     for c in columns:
         if 0 < figures[c]["present"] < rows and (rows + 7) // 8 < rows - figures[c]["present"]:
             keys = {k: F.col(k) for k in order_by if k != c}
@@ -153,7 +153,7 @@ def choose(rows: int, f: dict) -> ColumnPlan:
     integer, dictionary, plain. The README names the forms that are not tried.
     """
     present = f["present"] or 0
-    extra = C.PLAN_DEFINITION_BYTES
+    extra = C.DEFINITION_BYTES
     if not present or rows < 4:
         return ColumnPlan("plain", 0)
     if f["kind"] == "double" and (f["nan"] or 0):
@@ -179,7 +179,7 @@ def choose(rows: int, f: dict) -> ColumnPlan:
                 costs.append((2 + order * C.py_zigzag_width(f["low"]) + C.py_packed_bytes(rows - order, bits), order, bits))
         best, order, bits = min(costs)
         plain = 9 * rows if typed else f["plain"]
-        rival = min(best if bits <= C.MAX_PACK_BITS else plain, plain)
+        rival = min(best if bits <= C.WIDEST_PACKED else plain, plain)
         cycle, often = f.get("cycle"), f.get("frequency")
         if cycle and cycle["total_bytes"] + extra < rival:
             return ColumnPlan("cyclic", cycle["total_bytes"], {"period": cycle["period"], "misfits": cycle["misfits"], "bits": cycle["bits"], **typed})
@@ -188,7 +188,7 @@ def choose(rows: int, f: dict) -> ColumnPlan:
             return ColumnPlan("runs", cost, {"runs": runs, **typed})
         if often and often["total_bytes"] + extra < rival:
             return ColumnPlan("frequency", often["total_bytes"], {"top": often["top"], "exceptions": often["exceptions"], "bits": often["exception_bits"], "by_gaps": often["by_gaps"], **typed})
-        if best + extra < plain and bits <= C.MAX_PACK_BITS:
+        if best + extra < plain and bits <= C.WIDEST_PACKED:
             return ColumnPlan("differenced", best, {"order": order, "bits": bits, "low": f["low"], **typed})
         return ColumnPlan("plain", plain)
     if f["kind"] == "double":

@@ -1,4 +1,4 @@
-"""Makes this package importable on executors."""
+"""What the package needs of a session: its modules on executors, and the folder that all share."""
 
 from __future__ import annotations
 
@@ -6,7 +6,33 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
+
+    A temporary folder of this machine stands in only where the setting is unset and the session is local; on a cluster
+    without the setting this raises.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    own = getattr(shared_root, "own", None)
+    if own is None:
+        own = shared_root.own = tempfile.mkdtemp(prefix="colform-")
+    return own
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same rows, written once into the shared folder, so that what is computed of them never sees other ones."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_root(df.sparkSession))
+    return df.checkpoint(eager=True)
 
 
 def ship_package(spark: SparkSession) -> None:

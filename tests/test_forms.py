@@ -210,7 +210,7 @@ def test_packets():
 
 def test_trees_and_kernels(spark):
     nodes = spark.createDataFrame([(1, None), (2, 1), (3, 1), (4, 2), (9, None)], "id long, parent long")
-    numbered = tree.number_tree(tree.flatten_tree(nodes, 3))
+    numbered = tree.number_tree(tree.flatten_tree(nodes))
     assert [(r.id, r.number, r.parent_number) for r in numbered.orderBy("number").collect()] == [(1, 1, 0), (2, 2, 1), (4, 3, 2), (3, 4, 1), (9, 5, 0)]
     back, problems = tree.rebuild(numbered)
     assert back.exceptAll(nodes).count() == 0 and problems.count() == 0
@@ -219,6 +219,83 @@ def test_trees_and_kernels(spark):
     assert sequential.greedy_runs([1, 1, 1, 1, 3, 3]) == [(0, 4, 1), (4, 2, 3)]
 
 
+def test_deep_trees_and_their_problems(spark):
+    big = 10**13
+    chain = [(big + i, big + i - 1 if i else None) for i in range(40)]
+    odd = [(1, 2), (2, 1), (3, 1), (5, 4), (6, 5)]
+    nodes = spark.createDataFrame(chain + odd, "id long, parent long").repartition(3)
+    flat = tree.flatten_tree(nodes).orderBy("path").collect()
+    assert [(r.id, r.depth) for r in flat] == [(big + i, i) for i in range(40)] and flat[-1].path == [i for i, _ in chain]
+    cyclic, missing = "in or below a cycle", "an ancestor is missing"
+    assert {r.id: r.problem for r in tree.tree_problems(nodes).collect()} == {1: cyclic, 2: cyclic, 3: cyclic, 5: missing, 6: missing}
+    assert tree.flatten_tree(nodes.limit(0)).count() == 0
+
+
+def test_packets_keep_rows_exact(spark):
+    schema = "k long, x double, s string"
+    rows = [(2**60 + 1, float("nan"), None), (2**53 + 1, None, ""), (None, -0.0, "a"), (-(2**63), 1e300, "a"), (5, 3.0, "\0")]
+    df = spark.createDataFrame(rows, schema)
+    back = wire.unpack_rows(wire.pack_rows(df, df.columns), df.schema)
+    assert sorted(map(repr, back.collect())) == sorted(map(repr, df.collect()))
+    assert wire.from_text(wire.to_text({"a": [1, 2**62]})) == {"a": [1, 2**62]}
+    with pytest.raises(wire.PacketError):
+        wire.from_text("no base64!")
+    with pytest.raises(ValueError):
+        wire.serialize(2**64)
+
+
+def test_fingerprints_of_many_and_of_missing(spark):
+    many = spark.range(40_000_000).select(F.col("id").alias("k"))
+    assert D.fingerprint(many, ["k"]) == D.fingerprint(many.repartition(3), ["k"])
+    one = lambda rows: D.fingerprint(spark.createDataFrame(rows, "k long, s string, t string"), ["k"])
+    assert len({one([(1, None, "\0")]), one([(1, "\0", None)]), one([(1, None, None)]), one([(1, "", None)]), one([(1, None, None)] * 2), one([])}) == 6
+    with pytest.raises(ValueError):
+        wide = spark.range(1).select("id", *[F.lit(1).alias(f"c{i}") for i in range(64)])
+        D.diff(wide, wide, ["id"])
+
+
+def test_missing_values_come_back(spark):
+    values = [7] * 20 + [None, 3, None]
+    top, odd = forms.encode_frequency(ordered(spark, values), "x")
+    assert [r.x for r in forms.decode_frequency(ordered(spark, values).select("_rn"), top, odd, "x").orderBy("_rn").collect()] == values
+    assert forms.frequency_stats(ordered(spark, values), "x").first().exceptions == 3
+    texts = ["a", None, "b", "a"]
+    rows = ordered(spark, texts, "string")
+    entries = forms.first_appearance(rows, "x")
+    back = forms.decode_dictionary(forms.encode_dictionary(rows, "x", entries), entries, "x")
+    assert [r.x for r in back.orderBy("_rn").collect()] == texts
+    df = spark.createDataFrame([(1, None, "u"), (2, None, "u"), (3, "s", None), (4, "s", "v"), (5, "s", "v"), (6, None, "w")], "k long, s string, t string")
+    mapping, odd = relate.encode_mapping(df, "s", "t")
+    assert relate.decode_mapping(df.drop("t"), "s", mapping, odd, ["k"], "t").select("k", "s", "t").exceptAll(df).count() == 0
+    numbers = spark.createDataFrame([(1, None, 5), (2, None, 9), (3, "s", None), (4, "s", 2)], "k long, s string, t long")
+    references, encoded = relate.encode_group_frame(numbers, "s", "t")
+    assert sorted(map(str, relate.decode_group_frame(encoded, references, "s", "t").select("k", "s", "t").collect())) == sorted(map(str, numbers.collect()))
+
+
+def test_large_dictionaries_have_whole_figures(spark):
+    r = forms.dictionary_stats(ordered(spark, [f"{i:06d}" for i in range(10_000)], "string"), ["x"]).first()
+    assert (r.entries, r.rows, r.accepted, r.plain_bytes) == (10_000, 10_000, False, 80_000)
+
+
+def test_products_beyond_64_bits(spark):
+    df = spark.createDataFrame([(2**33 + i, 2**32 - i, i) for i in range(8)], "a long, b long, c long")
+    assert {(r.a, r.b): r.r_e4 for r in relate.pair_stats(df, ["a", "b", "c"]).collect()}[("a", "b")] is not None
+    assert relate.linear_stats(spark.createDataFrame([(2**62, -(2**62)), (0, 2**62), (1, 5)], "a long, b long"), F.col("a"), F.col("b")).count() in (0, 1)
+
+
+def test_long_runs_unfold_in_pieces(spark):
+    found = spark.createDataFrame([(0, 9_000, 4), (9_000, 1, 5), (9_001, 4_096, None)], "start long, length long, value long")
+    back = forms.decode_runs(found, "x").orderBy("_rn").collect()
+    assert [r._rn for r in back] == list(range(13_097)) and [r.x for r in back] == [4] * 9_000 + [5] + [None] * 4_096
+
+
+def test_plans_widen_like_forms_only():
+    plan = lambda **p: planner.Plan({"x": planner.ColumnPlan("differenced", 5, p)}, 9)
+    wide = plan(order=1, bits=3, low=5).merged(plan(order=1, bits=7, low=-2)).columns["x"].parameters
+    assert wide == {"order": 1, "bits": 7, "low": -2}
+    assert plan(order=1, bits=3, low=5).merged(plan(order=2, bits=7, low=-2)).columns["x"].parameters == {"order": 1, "bits": 3, "low": 5}
+
+
 def test_empty_tables(spark):
     empty = ordered(spark, [])
     assert forms.runs(empty, "x").count() == 0
