@@ -48,19 +48,18 @@ _LETTER, _NUMBER, _SPACE, _OTHER = 1, 2, 3, 4
 
 
 class TextEncoder:
-    """Ids of texts as the library's byte-level tokenizer gives them.
+    """Ids of texts as the library's byte-level tokenizer gives them without adding special tokens.
 
-    ``special_as_text`` is the library's switch ``encode_special_tokens``: special tokens in texts are then plain text.
+    Added tokens that stand in a text get their own ids, as there. Malformed UTF-8 raises.
     """
 
-    def __init__(self, path: str, special_as_text: bool = True):
+    def __init__(self, path: str):
         # Tasks run side by side already.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = special_as_text
-        added = [t for t in self.tokenizer.get_added_tokens_decoder().values() if not (special_as_text and t.special)]
+        added = list(self.tokenizer.get_added_tokens_decoder().values())
         if any(t.single_word or t.lstrip or t.rstrip or (t.normalized and self.tokenizer.normalizer is not None) for t in added):
             raise ValueError("added tokens that depend on the text around them are not supported")
         # The leftmost and there the longest counts.
@@ -186,7 +185,7 @@ class TextEncoder:
             covered[np.repeat(tokens + 1, size) + V.ragged_arange(size)] = True
             starts = leads[cuts & ~covered[leads]]
             ends = np.append(starts[1:], len(data))
-            ids, counts = self.cache.ids_of(data, starts, ends, V.span_hash(V.rolling_sums(data), starts, ends))
+            ids, counts = self.cache.ids_of(data, starts, ends)
             before = np.searchsorted(starts, offsets)
             inner = np.diff(V.offsets_of(counts)[before])
         else:
@@ -197,15 +196,14 @@ class TextEncoder:
         return out, inner + 1
 
 
-_ENCODERS: dict[tuple[str, bool], TextEncoder] = {}
+_ENCODERS: dict[str, TextEncoder] = {}
 
 
-def encoder_of(path: str, special_as_text: bool = True) -> TextEncoder:
+def encoder_of(path: str) -> TextEncoder:
     """The encoder of this worker process: its known pieces serve all tasks that run there."""
-    key = (path, special_as_text)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = TextEncoder(path, special_as_text)
-    return _ENCODERS[key]
+    if path not in _ENCODERS:
+        _ENCODERS[path] = TextEncoder(path)
+    return _ENCODERS[path]
 
 
 # --- Codes ----------------------------------------------------------------------------------------------------
@@ -299,9 +297,9 @@ _IDS_ARROW = pa.schema([("kind", pa.int32()), *[(c, pa.int64()) for c in ("part"
 _NULL_ID = -(2**63)
 
 
-def _tokenise(path: str, special_as_text: bool):
+def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path, special_as_text)
+        encoder = encoder_of(path)
         narrow = np.uint16 if encoder.vocabulary <= 1 << 16 else np.uint32
         part, block, before = TaskContext.get().partitionId(), 0, 0
         counts = np.zeros(encoder.vocabulary, np.int64)
@@ -332,15 +330,15 @@ def _tokenise(path: str, special_as_text: bool):
     return run
 
 
-def write(docs: DataFrame, tokenizer_path: str, folder: str, work: Workspace, special_as_text: bool = True) -> None:
-    """Writes the ids of (doc_id, text) in ascending doc_id order into ``folder``; ``special_as_text`` as in ``TextEncoder``.
+def write(docs: DataFrame, tokenizer_path: str, folder: str, work: Workspace) -> None:
+    """Writes the ids of (doc_id, text) in ascending doc_id order into ``folder``.
 
     The texts are ordered once and encoded once; their ids wait in ``work`` for the global counts. Counts, lengths and the
     codebook are as large as the vocabulary; the starts of the parts are one number a part.
     """
     spark = docs.sparkSession
     ordered = docs.select("doc_id", "text").repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    ids = work.put(ordered.mapInArrow(_tokenise(tokenizer_path, special_as_text), _IDS), "ids")
+    ids = work.put(ordered.mapInArrow(_tokenise(tokenizer_path), _IDS), "ids")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -79,6 +79,11 @@ def eights(data: np.ndarray) -> np.ndarray:
     return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
+def beginnings(view: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each span as a number, or all of a shorter one."""
+    return view[starts] & _FIRST[np.minimum(ends - starts, 8)]
+
+
 def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = 0, view: np.ndarray | None = None) -> np.ndarray:
     """Keyed 64-bit hashes of the spans [start, end), of their length and all their bytes.
 
@@ -88,7 +93,7 @@ def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int =
     view = eights(data) if view is None else view
     size = ends - starts
     salt = mix(np.array([key], np.uint64) ^ _BASE)
-    out = mix((view[starts] & _FIRST[np.minimum(size, 8)]) ^ mix(size.astype(np.uint64) + salt))
+    out = mix(beginnings(view, starts, ends) ^ mix(size.astype(np.uint64) + salt))
     open_, at = np.flatnonzero((size > 8) & (size <= _LONG)), 8
     while len(open_):
         left = size[open_] - at
