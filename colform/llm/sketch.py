@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import Workspace
+
 BITS = 3
 WIDTH = 5
 
@@ -43,34 +45,27 @@ def containment(a: str, b: str) -> Column:
     return F.expr(f"if(size({a}) = 0, 1D, size(array_intersect({a}, {b})) / cast(size({a}) as double))")
 
 
-def with_next(docs: DataFrame, block_docs: int = 1000, max_blocks: int = 4096) -> DataFrame:
-    """(doc_id, text, next_text): next in descending doc_id, and the first after the last.
+def with_next(docs: DataFrame, block_bytes: int = 16 << 20, work: Workspace | None = None) -> DataFrame:
+    """(doc_id, text, block, own): rows in blocks by ascending doc_id, each after a copy (own = 0) of the row that precedes the block.
 
-    Ids are cut into ranges at approximate quantiles; a window runs in each range, after a copy of the row that
-    precedes the range. Only those rows, at most ``max_blocks``, pass through one task. Any cuts give the same result.
-    Rows without id come last in descending order; rows of equal id are ordered by text.
+    A window in a block then sees every row's next document, which is the one before in this order: next in descending doc_id, and the
+    first after the last. Rows are dealt out by ranges of doc_id and text and written, so that a block is a partition and one row a block
+    passes through one task. Rows without id come last in descending order; rows of equal id are ordered by text.
     """
+    work = work or Workspace(docs.sparkSession, "sketch")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    n = rows.count()
-    blocks = min(max_blocks, max(1, n // block_docs))
-    cuts = []
-    if blocks > 1:
-        shares = F.array(*[F.lit(i / blocks) for i in range(1, blocks)])
-        cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", shares, F.lit(max(10000, 20 * blocks))).alias("c")).first()["c"] or []))
-    block = F.lit(0)
-    if cuts:
-        # Binary search in the sorted cuts, as nested SQL would be as long as the list.
-        table = F.array(*[F.lit(c).cast("long") for c in cuts])
-        block = F.coalesce(F.size(F.filter(table, lambda c: c < F.col("doc_id"))), F.lit(0))
-    rows = rows.withColumn("block", block)
-
-    last = rows.groupBy("block").agg(F.max("doc_id").alias("doc_id"))
-    last = rows.join(F.broadcast(last.withColumnsRenamed({"block": "b", "doc_id": "d"})), (F.col("block") == F.col("b")) & F.col("doc_id").eqNullSafe(F.col("d"))).groupBy("block", "doc_id").agg(F.max("text").alias("text"))
+    blocks = max(1, (rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0) // block_bytes)
+    dealt = rows.repartitionByRange(blocks, F.col("doc_id").asc_nulls_first(), "text").withColumn("block", F.spark_partition_id())
+    rows = work.put(dealt, "dealt")
+    work.release()
+
+    last = rows.groupBy("block").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "text")).alias("m")).select("block", "m.doc_id", "m.text")
     order = Window.orderBy("block")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    ghosts = last.withColumn("to", F.coalesce(F.lead("block").over(order), F.first("block").over(everything)))
-    ghosts = ghosts.select("doc_id", "text", F.col("to").alias("block"), F.lit(0).alias("own"))
-    return rows.withColumn("own", F.lit(1)).unionByName(ghosts).repartition("block")
+    # Blocks in order know the next one by a window over their numbers alone.
+    follow = last.select("block").withColumn("to", F.coalesce(F.lead("block").over(order), F.first("block").over(everything)))
+    ghosts = last.join(follow, "block").select("doc_id", "text", F.col("to").alias("block"), F.lit(0).alias("own"))
+    return rows.withColumn("own", F.lit(1)).select("doc_id", "text", "block", "own").unionByName(ghosts).repartition("block")
 
 
 def neighbours() -> Window:
