@@ -10,7 +10,8 @@ Only DataFrame and SQL functions run here. The steps:
    A quota of q blocks takes the whole tape q div n times and the first q mod n blocks once more, so
    the selection is a running sum and no row is made for a block.
 
-A source that holds most rows is split into up to ``max_shards`` shards, so no window sees a whole source.
+A source that holds most rows is split into shards of about ``shard_docs`` rows, or into as many shards as a shard has rows where
+that is more than ``many_shards``, so no window sees a whole source at any size; the join that tells rows their source's plan is salted.
 
 Defined results: null text has size 0; null source is a source of its own, ordered last; documents of
 size 0 are kept with taken 0; repeated rows each count; an empty table gives no rows; extra columns
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 #: Weights of the sources in code point order, repeating.
 WEIGHTS = (5, 2, 1)
 WORD = r"[^\x20\x09-\x0D]+"
+#: Parts into which a source's rows are dealt to meet their source's plan.
+SALTS = 64
 
 
 def word_count(text: str = "text"):
@@ -82,7 +85,7 @@ def apportion(items: DataFrame, group: list[str], item: list[str], weight: str,
     return won
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, block_words: int = 64, shard_docs: int = 2000, max_shards: int = 4096, seed: int = 17) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3, block_words: int = 64, shard_docs: int = 2000, many_shards: int = 4096, seed: int = 17) -> DataFrame:
     """Adds source_size, target and taken to rows that have doc_id, source and size.
 
     taken is the number of words that the mix takes of a document, repeats counted, at most
@@ -90,21 +93,23 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeat: int = 3
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     draw = F.md5(F.concat_ws("/", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    rows = docs.withColumn("_mix_key", key).withColumn("_mix_draw", draw)
+    # Rows of one id and size, if their other columns differ, are told apart by a hash of these.
+    rows = docs.withColumns({"_mix_key": key, "_mix_draw": draw, "_mix_tie": F.xxhash64(*[F.col(f"`{c}`").cast("string") for c in sorted(docs.columns)])})
     number = F.conv(F.substring("_mix_draw", 1, 8), 16, 10).cast("long")
 
     totals = rows.groupBy("_mix_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_mix_docs"))
-    targets = source_targets(totals, weights, max_repeat).withColumn("_mix_shards", F.least(F.lit(max_shards), F.ceil(F.col("_mix_docs") / shard_docs)).cast("long"))
+    targets = source_targets(totals, weights, max_repeat).withColumn("_mix_shards", F.least(F.greatest(F.lit(many_shards), F.ceil(F.sqrt("_mix_docs"))), F.ceil(F.col("_mix_docs") / shard_docs)).cast("long"))
     targets = targets.withColumn("_mix_one", F.lit(1)).withColumn("_mix_seats", F.floor(F.sum("source_size").over(Window.partitionBy("_mix_one")) / block_words + 0.5).cast("long"))
     quota = apportion(targets, ["_mix_one"], ["_mix_key"], "target", "_mix_seats", "_mix_quota").drop("_mix_one")
     plan = targets.join(quota, "_mix_key", "left").select("_mix_key", "source_size", "target", "_mix_shards", F.coalesce("_mix_quota", F.lit(0)).alias("_mix_quota"))
 
-    placed = rows.join(plan, "_mix_key").withColumn("_mix_shard", F.pmod(number, F.col("_mix_shards")))
+    salted = plan.withColumn("_mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    placed = rows.withColumn("_mix_salt", F.pmod(number, F.lit(SALTS)).cast("int")).join(salted, ["_mix_key", "_mix_salt"]).withColumn("_mix_shard", F.pmod(number, F.col("_mix_shards")))
     shards = placed.groupBy("_mix_key", "_mix_shard", "_mix_quota").agg(F.sum("size").alias("_mix_words"))
     shard_quota = apportion(shards, ["_mix_key", "_mix_quota"], ["_mix_shard"], "_mix_words", "_mix_quota", "_mix_blocks")
     shard_plan = shards.join(shard_quota, ["_mix_key", "_mix_quota", "_mix_shard"], "left").select("_mix_key", "_mix_shard", "_mix_words", F.coalesce("_mix_blocks", F.lit(0)).alias("_mix_blocks"))
 
-    tape = Window.partitionBy("_mix_key", "_mix_shard").orderBy("_mix_draw", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    tape = Window.partitionBy("_mix_key", "_mix_shard").orderBy("_mix_draw", "doc_id", "size", "_mix_tie").rowsBetween(Window.unboundedPreceding, 0)
     start = F.col("_mix_end") - F.col("size")
     there = F.greatest(F.ceil(F.col("_mix_words") / block_words), F.lit(1))
     whole, once_more = F.floor(F.col("_mix_blocks") / there), F.pmod(F.col("_mix_blocks"), there) * block_words
