@@ -52,7 +52,7 @@ BLOCK_SHINGLES = 1 << 22
 FANOUT = 8
 #: Hubs of a bucket, and spanning forests that a bucket gives in the first round.
 HUBS = 3
-FORESTS = 4
+FORESTS = 12
 #: Node pairs that are tested at once, and bytes of bitmaps in such a test.
 PAIRS, PAIR_BYTES = 1 << 16, 4 << 20
 #: Ids that are sent to all executors to pick out texts; more go through a filter.
@@ -299,10 +299,11 @@ class _Units:
         self.bitmaps = table["bitmap"].combine_chunks()
         self.bytes = np.array(pc.binary_length(self.bitmaps).to_numpy(), np.int64)
         # A member's buckets before the unit's own, and how many of its shingles lie from its place in that on.
-        keys = table["keys"].combine_chunks()
-        counts, parts = np.diff(keys.offsets.to_numpy()), keys.flatten()
+        lists = [table[c].combine_chunks() for c in ("keys", "places")]
+        counts = np.diff(lists[0].offsets.to_numpy())
         row = V.row_of(counts)
-        kind, shingle, place = (parts.field(i).to_numpy() for i in range(3))
+        shingle, place = (x.flatten().to_numpy() for x in lists)
+        kind = (V.ragged_arange(counts) >= table["zeros"].to_numpy()[row]).astype(np.int32)
         own_kind, own_shingle = (c[self.unit][row] for c in self.names[:2])
         own = (kind == own_kind) & (shingle == own_shingle)
         self.left = self.n.copy()
@@ -396,18 +397,8 @@ def _search(percent: int, each: int):
     """Candidate pairs (unit, a, b, more) of rows (unit, side, set, other, n, label, bitmap, keys) that come unit by unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
-            last = np.logical_and.reduce([table[c].to_numpy() == table[c][-1].as_py() for c in UNIT])
-            cut = int(np.argmax(last))
-            if cut:
-                yield _Units(table.slice(0, cut)).candidates(percent, each)
-            waiting = table.slice(cut)
-        if waiting is not None and waiting.num_rows:
-            yield _Units(waiting).candidates(percent, each)
+        for table in _whole_groups(batches, UNIT):
+            yield _Units(table).candidates(percent, each)
         trim()
 
     return run
@@ -482,7 +473,7 @@ def _chosen(batch: pa.RecordBatch, frequent: NumberFilter, percent: int):
 
 
 def _keys(classes: DataFrame, percent: int, work: Workspace) -> DataFrame:
-    """(set, n, keys) of the classes that may meet another: keys are their buckets in order, with their place in the bucket's order.
+    """(set, n, zeros, keys, places) of the classes that may meet another: their buckets in order, those of kind 0 first, and their places there.
 
     Kind 1 are buckets of the sets of frequent shingles among themselves. Which shingles are put last, and which can be left out as
     nobody shares them, is asked of filters whose size follows their counts. A false answer puts a shingle last for all sets alike,
@@ -503,7 +494,6 @@ def _keys(classes: DataFrame, percent: int, work: Workspace) -> DataFrame:
     distant = work.put(classes.select("p", "head").mapInArrow(further, "shingle long").distinct(), "distant", small=True)
     beyond = NumberFilter.build(distant, distant.count())
     work.drop("distant")
-    item = pa.struct([("kind", pa.int32()), ("shingle", pa.int64()), ("place", pa.int32())])
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -514,15 +504,98 @@ def _keys(classes: DataFrame, percent: int, work: Workspace) -> DataFrame:
             kind = np.repeat(np.array([0, 1], np.int32), [len(x) for x in parts])
             where = np.concatenate([rank[parts[0]] - 1, place[parts[1]]]).astype(np.int32)
             order = np.lexsort((values[at], kind, row[at]))
-            items = pa.StructArray.from_arrays([pa.array(kind[order]), pa.array(values[at][order]), pa.array(where[order])], fields=list(item))
-            lists = pa.ListArray.from_arrays(pa.array(V.offsets_of(np.bincount(row[at], minlength=batch.num_rows)), pa.int32()), items)
-            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], ["set", "n", "keys"])
-            yield out.filter(pa.array(np.bincount(row[at], minlength=batch.num_rows) > 0))
+            counts = np.bincount(row[at], minlength=batch.num_rows)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(V.offsets_of(counts), pa.int32()), pa.array(x))
+            zeros = np.bincount(row[parts[0]], minlength=batch.num_rows).astype(np.int32)
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(zeros), listed(values[at][order]), listed(where[order])], ["set", "n", "zeros", "keys", "places"])
+            yield out.filter(pa.array(counts > 0))
+
+    return classes.select("set", "n", "p", "head").mapInArrow(choose, "set long, n long, zeros int, keys array<long>, places array<int>")
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows that come group by group."""
+    waiting = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
+        last = np.logical_and.reduce([table[c].to_numpy() == table[c][-1].as_py() for c in keys])
+        cut = int(np.argmax(last))
+        if cut:
+            yield table.slice(0, cut)
+        waiting = table.slice(cut)
+    if waiting is not None and waiting.num_rows:
+        yield waiting
+
+
+def _feasible(start: np.ndarray, n: np.ndarray, left: np.ndarray, label: np.ndarray | None, percent: int) -> np.ndarray:
+    """Rows that may link with another of their bucket, by sizes and places, and by labels if given. Buckets are runs of rows."""
+    size = np.diff(np.append(start, len(n)))
+    rest = np.repeat(start + size, size) - np.arange(len(n)) - 1
+    found = np.zeros(len(n), bool)
+    cuts = np.searchsorted(np.cumsum(rest), np.arange(0, int(rest.sum()) + 1, 1 << 18))
+    for a, b in zip(cuts, [*cuts[1:], len(n)]):
+        rows = np.arange(a, b)
+        x, y = np.repeat(rows, rest[rows]), V.ragged_take(rows + 1, rest[rows])
+        may = may_link(left[x], n[x], left[y], n[y], percent)
+        if label is not None:
+            may &= label[x] != label[y]
+        found[x[may]] = found[y[may]] = True
+    return found
+
+
+def _meetings(percent: int):
+    """Of the buckets of infrequent shingles the members that may link with another there, their number and their hubs."""
+
+    def whole(table: pa.Table) -> pa.RecordBatch:
+        shingle, sets, n, place = (table[c].to_numpy() for c in ("shingle", "set", "n", "place"))
+        starts = lambda x: np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+        at = np.flatnonzero(_feasible(starts(shingle), n, n - place, None, percent))
+        if not len(at):
+            return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _MEMBERS_ARROW], schema=_MEMBERS_ARROW)
+        shingle, sets, n, place = shingle[at], sets[at], n[at], place[at]
+        start = starts(shingle)
+        members = np.diff(np.append(start, len(at)))
+        bucket = np.repeat(np.arange(len(start)), members)
+        hubs = np.empty((len(start), HUBS), np.int64)
+        for r in range(HUBS):
+            order = np.lexsort((V.mix(sets.view(np.uint64) + np.uint64(r)), bucket))
+            hubs[:, r] = sets[order[start]]
+        hubs = np.sort(hubs, axis=1)
+        keep = np.ones(hubs.shape, bool)
+        keep[:, 1:] = hubs[:, 1:] != hubs[:, :-1]
+        lists = pa.ListArray.from_arrays(pa.array(V.offsets_of(keep.sum(axis=1)[bucket]), pa.int32()), pa.array(hubs[bucket][keep[bucket]]))
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(len(at), np.int32)), pa.array(shingle), pa.array(sets), pa.array(n), pa.array(place), pa.array(members[bucket]), lists], schema=_MEMBERS_ARROW)
 
-    return classes.select("set", "n", "p", "head").mapInArrow(choose, "set long, n long, keys array<struct<kind:int,shingle:long,place:int>>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_groups(batches, ["shingle"]):
+            yield whole(table)
+
+    return run
 
 
-def _partners(percent: int, block: int):
+_MEMBERS = "kind int, shingle long, set long, n long, place int, members long, hubs array<long>"
+_MEMBERS_ARROW = pa.schema([("kind", pa.int32()), ("shingle", pa.int64()), ("set", pa.int64()), ("n", pa.int64()), ("place", pa.int32()), ("members", pa.int64()), ("hubs", pa.list_(pa.int64()))])
+
+
+def _members(held: DataFrame, percent: int) -> DataFrame:
+    """(kind, shingle, set, n, place, members, hubs) of all buckets with members that may link.
+
+    Buckets of infrequent shingles are small and are seen whole by a task; those of frequent ones are only counted.
+    """
+    def listed(first, many) -> DataFrame:
+        pairs = F.arrays_zip(F.slice("keys", first, many).alias("shingle"), F.slice("places", first, many).alias("place"))
+        return held.select("set", "n", F.explode(pairs).alias("key")).select("set", "n", "key.shingle", "key.place")
+
+    zero, one = listed(F.lit(1), F.col("zeros")), listed(F.col("zeros") + 1, F.size("keys")).withColumn("kind", F.lit(1))
+    hubs = [F.min(F.struct(F.xxhash64(F.lit(r), "set").alias("h"), "set")).alias(f"h{r}") for r in range(HUBS)]
+    sizes = one.groupBy("kind", "shingle").agg(F.count(F.lit(1)).alias("members"), *hubs).where("members > 1")
+    sizes = sizes.select("kind", "shingle", "members", F.array_distinct(F.array(*[F.col(f"h{r}.set") for r in range(HUBS)])).alias("hubs"))
+    return side_by_side(zero, "shingle").mapInArrow(_meetings(percent), _MEMBERS).unionByName(one.join(sizes, ["kind", "shingle"]))
+
+
+def _partners(percent: int):
     """Members of small buckets that may link with another there: (kind, shingle, sets) of rows that come bucket by bucket."""
 
     def whole(table: pa.Table) -> pa.RecordBatch:
@@ -531,15 +604,7 @@ def _partners(percent: int, block: int):
         new[1:] = (kind[1:] != kind[:-1]) | (shingle[1:] != shingle[:-1])
         bucket = np.cumsum(new) - 1
         start = np.flatnonzero(new)
-        rest = np.repeat(np.append(start[1:], len(n)), np.diff(np.append(start, len(n)))) - np.arange(len(n)) - 1
-        found, left = np.zeros(len(n), bool), n - place
-        cuts = np.searchsorted(np.cumsum(rest), np.arange(0, int(rest.sum()) + 1, 1 << 18))
-        for a, b in zip(cuts, [*cuts[1:], len(n)]):
-            rows = np.arange(a, b)
-            x, y = np.repeat(rows, rest[rows]), V.ragged_take(rows + 1, rest[rows])
-            may = (label[x] != label[y]) & may_link(left[x], n[x], left[y], n[y], percent)
-            found[x[may]] = found[y[may]] = True
-        at = np.flatnonzero(found)
+        at = np.flatnonzero(_feasible(start, n, n - place, label, percent))
         at = at[np.lexsort((sets[at], bucket[at]))]
         sizes = np.bincount(bucket[at], minlength=len(start))
         some = np.flatnonzero(sizes)
@@ -547,18 +612,8 @@ def _partners(percent: int, block: int):
         return pa.RecordBatch.from_arrays([pa.array(kind[start[some]]), pa.array(shingle[start[some]]), lists], ["kind", "shingle", "sets"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            table = pa.Table.from_batches([batch]) if waiting is None else pa.concat_tables([waiting, pa.Table.from_batches([batch])])
-            last = np.logical_and.reduce([table[c].to_numpy() == table[c][-1].as_py() for c in UNIT[:2]])
-            cut = int(np.argmax(last))
-            if cut:
-                yield whole(table.slice(0, cut))
-            waiting = table.slice(cut)
-        if waiting is not None and waiting.num_rows:
-            yield whole(waiting)
+        for table in _whole_groups(batches, UNIT[:2]):
+            yield whole(table)
 
     return run
 
@@ -566,7 +621,7 @@ def _partners(percent: int, block: int):
 def _units(open_: DataFrame, percent: int, work: Workspace) -> DataFrame:
     """(kind, shingle, part, side, set) of the buckets to search; ``open_`` has (kind, shingle, members, set, n, place, label)."""
     small = open_.where(F.col("members") <= BLOCK).select("kind", "shingle", "set", "n", "place", "label")
-    lists = side_by_side(small, "kind", "shingle").mapInArrow(_partners(percent, BLOCK), "kind int, shingle long, sets array<long>")
+    lists = side_by_side(small, "kind", "shingle").mapInArrow(_partners(percent), "kind int, shingle long, sets array<long>")
     # Equal lists are searched once, under the first of their buckets.
     lists = lists.groupBy("sets").agg(F.min(F.struct("kind", "shingle")).alias("key"))
     small = lists.select("key.kind", "key.shingle", F.lit(0).cast("long").alias("part"), F.lit(MEMBER).alias("side"), F.explode("sets").alias("set"))
@@ -609,26 +664,24 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     # The sets themselves are made anew: shingles for those in pairs, bitmaps for the members of buckets to search.
     again = _Texts(texts, firsts, width, percent, key, work)
-    members = held.select("set", "n", F.explode("keys").alias("key")).select("set", "n", "key.*")
-    hubs = [F.min(F.struct(F.xxhash64(F.lit(r), "set").alias("h"), "set", "n")).alias(f"h{r}") for r in range(HUBS)]
-    sizes = members.groupBy("kind", "shingle").agg(F.count(F.lit(1)).alias("members"), *hubs).where("members > 1")
-    sizes = work.put(sizes.select("kind", "shingle", "members", F.array_distinct(F.array(*[F.struct(f"h{r}.set", f"h{r}.n") for r in range(HUBS)])).alias("hubs")), "sizes", small=True)
-    members = members.join(sizes, ["kind", "shingle"])
-    met = members.select("set", "n", F.explode("hubs").alias("hub")).select("set", "n", F.col("hub.set").alias("hub"), F.col("hub.n").alias("hub_n"))
-    met = met.where(f"set <> hub and 100 * least(n, hub_n) >= {percent} * greatest(n, hub_n)").groupBy("set", "n", "hub").count()
-    stars = met.where(F.col("count") * 4 >= F.expr(f"n - ceil({percent} * n / 100) + 1")).select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
+    members = work.put(_members(held, percent), "members")
+    met = members.select("set", "n", F.explode("hubs").alias("hub")).where("set <> hub").groupBy("set", "n", "hub").count()
+    # Sets of like size that link share about half of their first places in buckets in which places allow a link.
+    stars = met.where(F.col("count") * 8 >= F.expr(f"n - ceil({percent} * n / 100) + 1")).select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
     tested = again.verified(stars, "tested0")
     labels = components(tested.where("linked"), work, "c0")
 
+    work.release()
     labelled = members.drop("hubs").join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
+    labelled = work.put(labelled, "labelled", small=True)
     open_ = labelled.groupBy("kind", "shingle").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("kind", "shingle")
     units = work.put(_units(labelled.join(open_, ["kind", "shingle"], "left_semi"), percent, work), "units")
-    bitmaps = work.put(again.of(units.select("set").distinct(), "bitmaps", True).dropDuplicates(["set"]).join(held.select("set", "keys"), "set"), "bitmaps")
-    work.drop("keys", "sizes", "plan", "bitmaps-ids")
+    bitmaps = work.put(again.of(units.select("set").distinct(), "bitmaps", True).dropDuplicates(["set"]).join(held.drop("n"), "set"), "bitmaps")
+    work.drop("keys", "members", "labelled", "plan", "bitmaps-ids")
     round_, each, old = 0, FORESTS, None
     while True:
         info = bitmaps.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-        searched = units.join(info, "set").select(*UNIT, "side", "set", F.lit(None).cast("long").alias("other"), "n", "label", "bitmap", "keys")
+        searched = units.join(info, "set").select(*UNIT, "side", "set", F.lit(None).cast("long").alias("other"), "n", "label", "bitmap", "zeros", "keys", "places")
         if old is not None:
             searched = searched.unionByName(old, allowMissingColumns=True)
         emitted = work.put(side_by_side(searched, *UNIT).mapInArrow(_search(percent, each), "kind int, shingle long, part long, a long, b long, more boolean"), f"emitted{round_}")

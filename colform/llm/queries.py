@@ -61,7 +61,7 @@ def op8_mix_sources(spark, sf_dir):
 def op7_id_files(spark, sf_dir):
     docs = read_table(spark, sf_dir, "documents")
     work = Workspace(spark, "idfile")
-    idfile.write(docs, tokenizer_file("byte_bpe_50k.json"), work.path("file"), work, special_as_text=False)
+    idfile.write(docs, tokenizer_file("byte_bpe_50k.json"), work.path("file"), work)
     return idfile.digest(idfile.read(spark, work.path("file")))
 
 
@@ -87,12 +87,12 @@ QUERIES = {
 ORACLES = {
     "op5_exact_top_k": """
         WITH v AS (
-            SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+            SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
             WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
         ), s AS (
-            SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
-            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
-        ), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+            SELECT q.row, q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+            FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.row <> c.row
+        ), r AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY score DESC, vec_id) AS rank FROM s)
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
 }

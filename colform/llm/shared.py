@@ -65,8 +65,13 @@ class Workspace:
         return f"{self.root}/{name}"
 
     def put(self, df: DataFrame, name: str, small: bool = False) -> DataFrame:
-        """``small`` says that the step before shuffled little, so nothing is worth cleaning up."""
-        if not small:
+        """``small`` says that rows of a few numbers are written, a table much smaller than the texts.
+
+        They go into one file a core of the cluster, not one a shuffle partition, and nothing is worth cleaning up before.
+        """
+        if small:
+            df = df.coalesce(max(1, self.spark.sparkContext.defaultParallelism))
+        else:
             self.release()
         df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))

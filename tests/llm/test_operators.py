@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -294,11 +295,11 @@ def test_line_features_see_every_line():
 
 
 def vectors_brute(rows, k, every):
-    sound = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(np.float32(x)) for x in v)]
+    sound = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v], n) for n, (i, v) in enumerate(rows) if i is not None and v is not None and all(x is not None and np.isfinite(np.float32(x)) for x in v)]
     out = []
-    for q, v in sound:
+    for q, v, n in sound:
         if q % every == 0:
-            other = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in sound if i != q))[:k]
+            other = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w, m in sound if m != n))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(other)]
     return sorted(out)
 
@@ -308,6 +309,7 @@ def test_top_k_against_brute_force(spark, spread):
     rng = np.random.default_rng(4)
     rows = [(i, (rng.normal(size=8) * np.exp(spread * rng.normal())).tolist()) for i in range(300)]
     rows += [(400 + i, rows[0][1]) for i in range(40)]
+    rows += [(600, [1.0] + [0.0] * 7), (600, [0.0] * 7 + [1.0]), (600, [1.0] + [0.0] * 7)]  # queries of one id
     rows += [(500, None), (510, [None] * 8), (520, [float("nan")] + [1.0] * 7), (530, [float("inf")] * 8), (540, [0.0] * 8), (None, [1.0] * 8), (550, [9.0, 9.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
     found = topk.top_k(df, query_every=10, block_rows=32, query_rows=16, stripe=2)
@@ -326,6 +328,31 @@ def test_top_k_edges(spark):
 # --- 6 --------------------------------------------------------------------------------------------------------
 
 
+def sketch_of(spark, text):
+    """The kept hashes of a text, from Spark's own hash of each shingle alone."""
+    words = [w for w in re.split(r"[\x20\x09-\x0D]+", text.lower()) if w]
+    shingles = [words[i : i + sketch.WIDTH] for i in range(max(len(words) - sketch.WIDTH + 1, min(len(words), 1)))]
+    if not shingles:
+        return set()
+    hashes = {r.h for r in spark.createDataFrame([(s,) for s in shingles], "s array<string>").select(F.xxhash64("s").alias("h")).collect()}
+    return {h for h in hashes if (h % 2**64) >> (64 - sketch.BITS) == 0} or {min(hashes)}
+
+
+def test_fingerprints_against_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(rng.choice(["Ab", "cd", "ef", "gh", "é"]) + str(rng.randrange(9)) for _ in range(rng.randint(0, 60)))) for i in range(12)]
+    found = {r.doc_id: r for r in sketch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    share = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    shown = lambda hashes: "".join(f"{h % 2**64:016x}" for h in sorted(hashes))
+    for i, text in rows:
+        following = rows[i - 1][1]
+        edited = text[: len(text) - len(text) // 3] + following[: len(text) // 3]
+        own, other, near = (sketch_of(spark, t) for t in (text, edited, following))
+        r = found[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (shown(own), shown(other))
+        assert abs(r.near_edited - share(own, other)) < 1e-12 and abs(r.near_next - share(own, near)) < 1e-12
+
+
 def test_fingerprints(spark, edges, empty):
     rows = [(i, t) for i, t in enumerate(["one two three four five six", "", None, BASE, BASE, "é" * 10])]
     found = {r.doc_id: r for r in sketch.fingerprints(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
@@ -343,7 +370,7 @@ def test_fingerprints(spark, edges, empty):
 
 def test_next_document_crosses_blocks(spark):
     rows = spark.range(500).select((F.col("id") * 3).alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
-    small = sketch.with_next(rows, block_docs=7).withColumn("next_text", F.lag("text").over(sketch.neighbours())).where("own = 1")
+    small = sketch.with_next(rows, block_bytes=70).withColumn("next_text", F.lag("text").over(sketch.neighbours())).where("own = 1")
     got = {r.doc_id: r.next_text for r in small.collect()}
     assert got == {3 * i: f"t{i - 1 if i else 499}" for i in range(500)}
 
@@ -364,7 +391,6 @@ def test_id_files(spark, edges, empty):
 
     path = tokenizer_file("byte_bpe_50k.json")
     library = Tokenizer.from_file(path)
-    library.encode_special_tokens = True
     work = Workspace(spark, "test")
     idfile.write(edges, path, work.path("file"), work)
     found = sorted(idfile.read(spark, work.path("file")).collect(), key=lambda r: r.start)
@@ -385,7 +411,7 @@ def test_id_files_hold_the_ids_of_the_plain_library(spark, edges, tmp_path):
     path, end = tokenizer_file("byte_bpe_50k.json"), "<|endoftext|>"
     library = Tokenizer.from_file(path)
     assert library.encode(f"hello {end} world", add_special_tokens=False).ids == [31373, 220, 50256, 995]
-    texts = [f"hello {end} world", end, end + end, f"a  {end}  b", f"it's{end}'s we{end}'ll\n{end}\n", "cut <|endof", "text|> cut", f"é中{end}😀 '{end}s", None, ""]
+    texts = [f"hello {end} world", end, end + end, f"a  {end}  b", f"it's{end}'s we{end}'ll\n{end}\n", "cut <|endof", "text|> cut", f"é中{end}😀 '{end}s", None, "", *thue_morse(11), *thue_morse(12)]
     rows = edges.select("doc_id", "text").where("doc_id IS NOT NULL").union(spark.createDataFrame([(1000 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
     rows.write.parquet(str(tmp_path / "documents.parquet"))
     found = queries.op7_id_files(spark, str(tmp_path)).orderBy("start").collect()
@@ -503,8 +529,8 @@ def test_merge_rounds_on_random_text():
     library = sentencepiece.SentencePieceProcessor(model_file=path)
     encoder = piece_bpe.PieceEncoder(piece_bpe.PieceModel(path))
     rng = random.Random(3)
-    parts = ["a", "b", " ", "  ", "\n", "é", "▁", "the", " the", "ing", "中", "😀", "\t", " " * 80, "aaaa", "<s>", "\x00", "er"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(1500)] + ["a" * 700, " " * 1000]
+    parts = ["a", "b", " ", "  ", "\n", "é", "▁", "the", " the", "ing", "中", "😀", "\t", " " * 80, "aaaa", "<s>", "\x00", "er", *thue_morse(11)]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 50))) for _ in range(1500)] + ["a" * 700, " " * 1000, *thue_morse(11), *thue_morse(12)]
     ids, counts = encoder.encode(pa.array(texts))
     at = V.offsets_of(counts)
     want = library.encode(texts, add_bos=True, add_eos=True)
@@ -512,6 +538,22 @@ def test_merge_rounds_on_random_text():
     assert encoder.model.decode(ids, counts) == [library.decode(w).encode() for w in want]
 
 
+def test_word_cache_compares_bytes():
+    from colform.llm.wordcache import WordCache
+
+    words = [b"one", b"two", b"", b"a long word of many bytes 1", b"a long word of many bytes 2", b"one", b"a long word of many bytes 2"]
+    lengths = np.array([len(w) for w in words])
+    ends = np.cumsum(lengths)
+    data = np.frombuffer(b"".join(words), np.uint8)
+    number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    cache = WordCache(lambda d, s, e: (np.array([number[d[a:b].tobytes()] for a, b in zip(s, e)], np.int32), np.ones(len(s), np.int64)))
+    for keys in (None, np.zeros(len(words), np.uint64)):  # as if all hashes were equal
+        for _ in range(2):
+            ids, counts = cache.ids_of(data, ends - lengths, ends, keys)
+            assert ids.tolist() == [number[w] for w in words] and counts.tolist() == [1] * len(words)
+    assert len(set(V.word_hash(data, ends - lengths, ends).tolist())) == len(number)
+
+
 def test_word_cache_starts_anew():
     from colform.llm.wordcache import WordCache
 
