@@ -14,7 +14,7 @@ from colform.functions import rotations
 from colform.operators import diff as D
 from colform.operators import forms, relate, sequential, shape, tree, wire
 from colform.operators.profile import profile
-from colform.plans import planner
+from colform.plans import codec, planner
 from colform.session import shared_root
 from colform.sources.ordering import running_sum, with_lags, with_order
 from colform.sources.tables import table
@@ -566,12 +566,19 @@ def form_struct_split_customer(spark, sf_dir):
     return shape.split_struct(rows, "place")
 
 
-@query()
+@query(
+    "WITH c AS (SELECT unnest(range(len(embedding))) AS dim, unnest(embedding) AS x FROM embeddings), s AS (SELECT CAST(dim AS INTEGER) AS dim, x, CAST(CASE WHEN x::DOUBLE * 1000 >= 0 THEN floor(x::DOUBLE * 1000 + 0.5) ELSE -floor(-(x::DOUBLE) * 1000 + 0.5) END AS BIGINT) AS s FROM c), "
+    "b AS (SELECT dim, CAST(trunc(quantile_cont(s, 0.5)) AS BIGINT) AS base, bool_and(CAST(s / 1000.0::DOUBLE AS FLOAT) = x) AS exact FROM s GROUP BY dim), "
+    f"w AS (SELECT s.dim, base, exact, max({_zz('s - base')}) AS widest FROM s JOIN b ON s.dim = b.dim GROUP BY ALL) SELECT dim, base, exact, widest, {_big(_bits('widest'))} AS bits FROM w"
+)
 def delta_vector_embeddings(spark, sf_dir):
     return sequential.vector_deltas(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
-@query()
+@query(
+    "WITH r AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS _rn, event_type AS v FROM events), p AS (SELECT _rn, v, lag(_rn) OVER (PARTITION BY v ORDER BY _rn) AS before FROM r), "
+    "f AS (SELECT p._rn, p.before, count(DISTINCT r.v) AS between_them FROM p LEFT JOIN r ON r._rn > p.before AND r._rn < p._rn GROUP BY p._rn, p.before) SELECT _rn, CASE WHEN before IS NOT NULL AND between_them < 8 THEN between_them END AS fold FROM f"
+)
 def string_move_to_front_events(spark, sf_dir):
     return sequential.move_to_front(with_order(table(spark, sf_dir, "events").select("event_id", "event_type"), ["event_id"]), "event_type")
 
@@ -604,7 +611,10 @@ def scalar_f32_exact(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", (F.col("value").cast("float").cast("double") == F.col("value")).alias("exact"))
 
 
-@query()
+@query(
+    "WITH a AS (SELECT * FROM (VALUES (1, 1, 0, 0), (2, -1, 0, 0), (3, 0, 1, 0), (4, 0, -1, 0), (5, 0, 0, 1), (6, 0, 0, -1)) AS t(i, x, y, z)), n AS (SELECT CAST(row_number() OVER (ORDER BY p.i, q.i) AS INTEGER) AS number, p.x AS xx, p.y AS xy, p.z AS xz, q.x AS yx, q.y AS yy, q.z AS yz "
+    "FROM a p JOIN a q ON p.x * q.x = 0 AND p.y * q.y = 0 AND p.z * q.z = 0) SELECT *, number AS found FROM n"
+)
 def scalar_rotations(spark, sf_dir):
     lines = [(i, *a, *b, rotations.rotation_id(a, b)) for i, (a, b) in enumerate(rotations.axis_rotations(), 1)]
     return spark.createDataFrame(lines, "number int, xx int, xy int, xz int, yx int, yy int, yz int, found int")
@@ -676,7 +686,10 @@ def diff_fields_events_by_user(spark, sf_dir):
     return delta.batch_deltas(table(spark, sf_dir, "events")).fillna({"delta_cents": 0})
 
 
-@query()
+@query(
+    "WITH l AS (SELECT user_id, event_id, event_type, value, lag(event_id) OVER w AS pi, lag(event_type) OVER w AS pt, lag(value) OVER w AS pv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, "
+    "CAST(CASE WHEN pi IS NULL THEN 3 ELSE (CASE WHEN event_type IS DISTINCT FROM pt THEN 1 ELSE 0 END) + (CASE WHEN value IS DISTINCT FROM pv THEN 2 ELSE 0 END) END AS BIGINT) AS mask, value - pv AS value_delta, CAST(0 AS BIGINT) AS late FROM l"
+)
 def stream_delta_events(spark, sf_dir):
     table(spark, sf_dir, "events")
     folder = shared_folder(spark)
@@ -725,6 +738,40 @@ def wire_roundtrip_events(spark, sf_dir):
 _GEOGRAPHY = "n AS (SELECT CAST(r_regionkey + 1 AS BIGINT) AS id, CAST(NULL AS BIGINT) AS parent FROM region UNION ALL SELECT n_nationkey + 101, n_regionkey + 1 FROM nation UNION ALL SELECT s_suppkey + 1001, s_nationkey + 101 FROM supplier)"
 
 
+@query(f"SELECT {', '.join(LINE_KEY)}, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem")
+def roundtrip_plan_lineitem(spark, sf_dir):
+    """Derives a plan, encodes the whole table by it and decodes it."""
+    return _by_plan(table(spark, sf_dir, "lineitem").select(*LINE_KEY, "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus"), LINE_KEY)
+
+
+@query("SELECT event_id, ts, user_id, event_type, value, props FROM events")
+def roundtrip_plan_events(spark, sf_dir):
+    return _by_plan(table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "value", "props"), ["event_id"])
+
+
+@query("SELECT d.doc_id, lang, source, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id")
+def roundtrip_plan_documents_labels(spark, sf_dir):
+    """With optional columns, whose present values have a plan of their own."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return _by_plan(docs.join(labels, "doc_id", "left").select("doc_id", "lang", "source", "n_chars", "quality", "toxic"), ["doc_id"])
+
+
+def _by_plan(df: DataFrame, keys: list[str]) -> DataFrame:
+    return codec.decode(codec.encode(df, planner.derive(df, keys), keys))
+
+
+@query(
+    "SELECT 'l_discount' AS \"column\", 'decimal' AS planned, sum(CASE WHEN floor(l_discount * 10 * 100 + 0.5) > 15 THEN 1 ELSE 0 END) > 0.1 * count(*) AS miss FROM lineitem "
+    "UNION ALL SELECT 'l_orderkey', 'differenced', min(l_orderkey) < 0 OR max(l_orderkey) > 7 FROM lineitem UNION ALL SELECT 'l_returnflag', 'dictionary', count(DISTINCT l_returnflag) > 4095 FROM lineitem"
+)
+def schema_replay_misses(spark, sf_dir):
+    """A recorded plan on a later table: order keys that have grown out of their width and discounts ten times as large fall back to plain."""
+    later = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_discount") * 10).alias("l_discount"), "l_returnflag", *[c for c in LINE_KEY if c != "l_orderkey"])
+    recorded = {"l_orderkey": planner.ColumnPlan("differenced", 0, {"order": 0, "low": 0, "bits": 3}), "l_discount": planner.ColumnPlan("decimal", 0, {"exponent": 2, "factor": 0, "low": 0, "bits": 4}), "l_returnflag": planner.ColumnPlan("dictionary", 0, {"entries": 3})}
+    done = codec.encode(later, planner.Plan(recorded), LINE_KEY)
+    return spark.createDataFrame([(c, p.form, c in done.misses) for c, p in sorted(recorded.items())], "column string, planned string, miss boolean")
+
+
 def _geography(spark, sf_dir) -> DataFrame:
     node = lambda t, i, p: table(spark, sf_dir, t).select(F.expr(i).cast("long").alias("id"), F.expr(p).cast("long").alias("parent"))
     return node("region", "r_regionkey + 1", "null").unionByName(node("nation", "n_nationkey + 101", "n_regionkey + 1")).unionByName(node("supplier", "s_suppkey + 1001", "s_nationkey + 101"))

@@ -308,23 +308,29 @@ def prefix_stats(df: DataFrame, column: str) -> DataFrame:
 # --- Cycles ---------------------------------------------------------------------------------------------------
 
 
-def cycle_candidates(ordered: DataFrame, column: str, n: int) -> list[int]:
-    """Periods at which the first rows foretell at least three quarters of a sample of rows from all over the column."""
+def cycle_candidates(ordered: DataFrame, columns: list[str], n: int) -> dict[str, list[int]]:
+    """Periods of each column at which its first rows foretell at least three quarters of a sample of rows from all over the table.
+
+    One pass for all columns; at most a cycle and about ``CYCLE_SAMPLE`` rows come to the driver.
+    """
     longest = min(LONGEST_CYCLE, n // LEAST_TURNS)
-    if n < LEAST_CYCLE_ROWS or longest < 2:
-        return []
-    x = F.col(column)
-    head = ordered.where(F.col("_rn") < longest).agg(F.sort_array(F.collect_list(F.struct("_rn", x.alias("x")))).alias("head"))
-    sample = ordered.where(F.pmod(F.xxhash64("_rn"), F.lit(n)) < CYCLE_SAMPLE).select("_rn", x.alias("x"))
-    tried = sample.crossJoin(F.broadcast(head)).withColumn("period", F.explode(F.sequence(F.lit(2), F.lit(longest))))
-    met = tried.groupBy("period").agg(F.avg(F.expr("if(x <=> head[cast(_rn % period as int)].x, 1.0D, 0.0D)")).alias("share")).where("share >= 0.75")
-    return sorted(r["period"] for r in met.collect())
+    if n < LEAST_CYCLE_ROWS or longest < 2 or not columns:
+        return {c: [] for c in columns}
+    met = ordered.where((F.col("_rn") < longest) | (F.pmod(F.xxhash64("_rn"), F.lit(n)) < CYCLE_SAMPLE)).select("_rn", *[F.col(c) for c in columns]).toPandas()
+    met = met.sort_values("_rn")
+    at, out = met["_rn"].to_numpy(), {}
+    for c in columns:
+        values = met[c].astype(object).where(met[c].notna(), None).to_numpy()
+        periods = [p for p in range(2, longest + 1) if (values[at % p] == values).mean() >= 0.75]
+        out[c] = periods
+    return out
 
 
-def cycle_stats(ordered: DataFrame, column: str) -> DataFrame:
-    """period, misfits and cost of the cheapest admissible cycle; no row if there is none."""
-    n = ordered.count()
-    periods = cycle_candidates(ordered, column, n) or [-1]
+def cycle_stats(ordered: DataFrame, column: str, periods: list[int] | None = None) -> DataFrame:
+    """period, misfits and cost of the cheapest admissible cycle among ``periods``; no row if there is none."""
+    if periods is None:
+        periods = cycle_candidates(ordered, [column], ordered.count())[column]
+    periods = periods or [-1]
     tried = ordered.select("_rn", F.col(column).cast("long").alias("x")).withColumn("period", F.explode(F.array(*[F.lit(p).cast("long") for p in periods])))
     cycle = ordered.where(F.col("_rn") < LONGEST_CYCLE).select(F.col("_rn").alias("place"), F.col(column).cast("long").alias("expected"))
     met = tried.where("period > 0").withColumn("place", F.expr("_rn % if(period > 0, period, 1)")).join(F.broadcast(cycle), "place")

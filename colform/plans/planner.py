@@ -107,25 +107,33 @@ def column_figures(df: DataFrame, order_by: list[str]) -> tuple[int, dict[str, d
         x, a, b = F.col(c), F.col(f"{c}_lag1"), F.col(f"{c}_lag2")
         aggs += [F.count(x).alias(f"present{i}"), F.sum((~x.eqNullSafe(a) | (F.col("_rn") == 0)).cast("long")).alias(f"runs{i}")]
         if kinds[c] in ("integer", "time"):
-            aggs += [F.min(x).cast("long").alias(f"low{i}"), F.max(x).cast("long").alias(f"high{i}"), F.sum(C.integer_cost(x)).alias(f"plain{i}"), F.max(C.zigzag(x.cast("long") - a)).alias(f"wide1_{i}"), F.max(C.zigzag(x.cast("long") - 2 * a + b)).alias(f"wide2_{i}")]
+            aggs += [F.min(x).cast("long").alias(f"low{i}"), F.max(x).cast("long").alias(f"high{i}"), F.sum(C.integer_cost(x)).alias(f"plain{i}"), F.max(C.zigzag(x.cast("long") - a)).alias(f"wide1_{i}"), F.max(C.zigzag(x.cast("long") - 2 * a + b)).alias(f"wide2_{i}"), F.percentile_approx(x, 0.5, 10000).alias(f"middle{i}")]
         elif kinds[c] == "double":
             aggs += [F.sum((F.isnan(x) | (F.abs(x) == float("inf"))).cast("long")).alias(f"nan{i}")]
         elif kinds[c] == "string":
-            aggs += [F.sum(F.octet_length(x) + 2).alias(f"bytes{i}"), F.max(F.octet_length(x)).alias(f"longest{i}"), F.sum(forms.date_days(x)[1].cast("long")).alias(f"dates{i}")]
+            aggs += [F.sum(F.octet_length(x) + 2).alias(f"bytes{i}"), F.max(F.octet_length(x)).alias(f"longest{i}"), F.sum(forms.date_days(x)[1].cast("long")).alias(f"dates{i}"), F.approx_count_distinct(x).alias(f"about{i}")]
+            aggs += [f(y).alias(f"{n}{i}") for n, f, y in (("first", F.min, x), ("last", F.max, x), ("rfirst", F.min, F.reverse(x)), ("rlast", F.max, F.reverse(x)))]
     raw = lagged.agg(*aggs).first().asDict()
     rows, figures = raw["rows"], {}
     for i, c in enumerate(columns):
-        names = ("present", "runs", "low", "high", "plain", "wide1_", "wide2_", "nan", "bytes", "longest", "dates")
+        names = ("present", "runs", "low", "high", "plain", "wide1_", "wide2_", "nan", "bytes", "longest", "dates", "middle", "about", "first", "last", "rfirst", "rlast")
         figures[c] = {"kind": kinds[c], "whole": c in whole, **{n.strip("_"): raw[f"{n}{i}"] for n in names if f"{n}{i}" in raw}}
     full = [c for c in columns if figures[c]["present"] == rows >= 4]
+    # The costlier figures are taken only of columns that may pass: a value of half the rows is the median, a cycle foretells a sample.
+    numbers = [c for c in full if figures[c]["kind"] in ("integer", "time")]
+    cycles = forms.cycle_candidates(ordered, numbers, rows)
+    often = ordered.agg(F.lit(0), *[F.sum((F.col(c) == F.lit(figures[c]["middle"])).cast("long")).alias(f"n{i}") for i, c in enumerate(numbers)]).first() if numbers else {}
+    for i, c in enumerate(numbers):
+        f = figures[c]
+        f["cycle"] = _first(forms.cycle_stats(ordered, c, cycles[c])) if cycles[c] else None
+        # The median is approximate to a ten-thousandth of the rows.
+        f["frequency"] = _first(forms.frequency_stats(ordered, c).where("accepted")) if often[f"n{i}"] * 2.001 >= rows else None
     for c in full:
         f = figures[c]
-        if f["kind"] in ("integer", "time"):
-            f["cycle"] = _first(forms.cycle_stats(ordered, c))
-            f["frequency"] = _first(forms.frequency_stats(ordered, c).where("accepted"))
-        elif f["kind"] == "string":
+        if f["kind"] == "string" and (_common(f["first"], f["last"]) >= 2 or _common(f["rfirst"], f["rlast"]) >= 2):
             f["prefix"] = _first(forms.prefix_stats(ordered, c).where("accepted"))
-    texts = [c for c in full if kinds[c] == "string"]
+    # The estimate is off by a few hundredths; columns with far more values than a dictionary holds are not counted exactly.
+    texts = [c for c in full if kinds[c] == "string" and figures[c]["about"] <= 2 * forms.DICTIONARY_LIMIT]
     if texts:
         for r in forms.dictionary_stats(ordered, texts).where("accepted").collect():
             figures[r["column"]]["dictionary"] = r.asDict()
@@ -141,6 +149,12 @@ def column_figures(df: DataFrame, order_by: list[str]) -> tuple[int, dict[str, d
     return rows, figures
 
 
+def _common(a: str, b: str) -> int:
+    """Characters that two texts have in common at their start, without the digits that end them."""
+    n = next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return len(a[:n].rstrip("0123456789"))
+
+
 def _first(stats: DataFrame) -> dict | None:
     row = stats.first()
     return row.asDict() if row else None

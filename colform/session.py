@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -28,11 +29,13 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The same rows, written once into the shared folder, so that what is computed of them never sees other ones."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(shared_root(df.sparkSession))
-    return df.checkpoint(eager=True)
+    """The same rows, written once into the shared folder as Parquet, so that what is computed of them never sees other ones.
+
+    Later steps read only the columns they need, and a lost executor costs a reread.
+    """
+    path = f"{shared_root(df.sparkSession)}/colform-rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ship_package(spark: SparkSession) -> None:

@@ -1,7 +1,8 @@
 """Per-key field deltas of an event stream, and a sink that applies them.
 
 For each key the last row is kept in state; a new row gives a mask of changed fields and numeric differences. Rows must come
-with a rising ``seq`` a key; a row at or below the last one is late, is not applied, and is counted.
+with a rising ``event_id`` a key; a row at or below the last one is late, is not applied, and is counted. A missing value, or NaN, is
+equal to another one.
 """
 
 from __future__ import annotations
@@ -19,19 +20,31 @@ STATE = "event_id long, event_type string, value double, late long"
 
 def _delta(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     last_id, last_type, last_value, late = state.get if state.exists else (None, None, None, 0)
-    rows = pd.concat(list(frames), ignore_index=True).sort_values("event_id")
-    out = []
-    for r in rows.itertuples(index=False):
-        if last_id is not None and r.event_id <= last_id:
-            late += 1
-            continue
-        first = last_id is None
-        mask = 3 if first else (1 if r.event_type != last_type else 0) + (2 if r.value != last_value else 0)
-        out.append((key[0], r.event_id, mask, None if first else r.value - last_value, late))
-        last_id, last_type, last_value = r.event_id, r.event_type, r.value
+    rows = pd.concat(list(frames), ignore_index=True).sort_values("event_id", kind="stable", ignore_index=True)
+    # A row is late if it is not behind the last one, be that kept in state or earlier in this batch.
+    fresh = rows["event_id"] > rows["event_id"].shift()
+    fresh.iloc[:1] = True
     if last_id is not None:
-        state.update((int(last_id), last_type, float(last_value), int(late)))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "mask", "value_delta", "late"])
+        fresh &= rows["event_id"] > last_id
+    late_before = late + (~fresh).cumsum()
+    rows, late_before = rows[fresh], late_before[fresh]
+    old_type, old_value = rows["event_type"].shift(), rows["value"].shift()
+    first = pd.Series(False, rows.index)
+    if len(rows) and last_id is not None:
+        old_type.iloc[0], old_value.iloc[0] = last_type, last_value
+    elif len(rows):
+        first.iloc[0] = True
+    differ = lambda a, b: ((a != b) & ~(a.isna() & b.isna())).astype("int64")
+    mask = (differ(rows["event_type"], old_type) + 2 * differ(rows["value"], old_value)).mask(first, 3)
+    delta = (rows["value"] - old_value).mask(first)
+    if len(rows):
+        end = rows.iloc[-1]
+        last_id, last_type, last_value = end["event_id"], end["event_type"], end["value"]
+    if last_id is not None:
+        kept = lambda x: None if pd.isna(x) else x
+        value = kept(last_value)
+        state.update((int(last_id), kept(last_type), None if value is None else float(value), int(late + (~fresh).sum())))
+    yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"], "mask": mask, "value_delta": delta, "late": late_before})
 
 
 def stream_deltas(events: DataFrame) -> DataFrame:

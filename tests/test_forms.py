@@ -90,6 +90,7 @@ def test_prefixes(spark):
 def test_cycles(spark):
     values = [i % 7 for i in range(70)]
     values[33] = 99
+    assert forms.cycle_candidates(ordered(spark, values), ["x"], 70) == {"x": [7, 14]}
     r = forms.cycle_stats(ordered(spark, values), "x").first()
     assert (r.period, r.misfits) == (7, 1)
     assert forms.cycle_stats(ordered(spark, [5] * 70), "x").count() == 0
@@ -216,6 +217,13 @@ def test_trees_and_kernels(spark):
     assert back.exceptAll(nodes).count() == 0 and problems.count() == 0
     folds = sequential.move_to_front(ordered(spark, list("abacbb"), "string"), "x").orderBy("_rn").collect()
     assert [r.fold for r in folds] == [None, None, 1, None, 2, 0]
+    long_ = [random.Random(7).choice("abcdefghijklm") if i % 40 else "z" for i in range(90)] + ["c"] * 30 + ["z", None, "a", None]
+    recent, want = [], []
+    for v in long_:
+        want.append(recent.index(v) if v in recent else None)
+        recent = [v, *[x for x in recent if x != v]][: sequential.FRONT]
+    folds = sequential.move_to_front(ordered(spark, long_, "string", chunk=8), "x").orderBy("_rn").collect()
+    assert [r.fold for r in folds] == want
     assert sequential.greedy_runs([1, 1, 1, 1, 3, 3]) == [(0, 4, 1), (4, 2, 3)]
 
 
