@@ -681,6 +681,50 @@ def diff_guard(spark, sf_dir):
     return out
 
 
+def _guarded(percent: int) -> str:
+    hit = f"o_orderkey % 100 < {percent}"
+    now = f"(CASE WHEN {hit} THEN o_custkey + 1 ELSE o_custkey END)"
+    patch = f"coalesce(sum(CASE WHEN {hit} THEN 2 + {_ic('o_orderkey')} + {_ic('o_custkey + 1')} ELSE 0 END), 0)"
+    full = f"coalesce(sum({_ic('o_orderkey')} + {_ic(now)}), 0)"
+    return f"SELECT CAST({percent} AS INTEGER) AS percent, {_big(patch)} AS patch_bytes, {_big(full)} AS full_bytes, {patch} < {full} AS is_patch, count(*) AS rows_after FROM orders"
+
+
+@query(" UNION ALL ".join(_guarded(p) for p in (0, 5, 25, 100)))
+def diff_guarded_bytes(spark, sf_dir):
+    """A change set or the whole, whichever has fewer bytes, at four shares of changed rows."""
+    base, keys, lines = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), ["o_orderkey"], []
+    for p in (0, 5, 25, 100):
+        current = base.withColumn("o_custkey", F.when(F.col("o_orderkey") % 100 < p, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+        update = D.guarded_diff(base, current, keys)
+        lines.append((p, update.patch_bytes, update.full_bytes, D.is_patch(update), D.apply_update(base, update, keys).count()))
+    return spark.createDataFrame(lines, "percent int, patch_bytes long, full_bytes long, is_patch boolean, rows_after long")
+
+
+def _inspect_sql() -> str:
+    key, fields = _ic("o_orderkey"), (("o_custkey", 1, _ic("n_custkey")), ("o_orderstatus", 2, "strlen(n_status) + 2"), ("cents", 4, _ic("n_cents")))
+    rows = "WITH " + _CURRENT + ", j AS (SELECT coalesce(b.o_orderkey, c.o_orderkey) AS o_orderkey, CASE WHEN b.o_orderkey IS NULL THEN 'set' WHEN c.o_orderkey IS NULL THEN 'remove' ELSE 'row' END AS op, (CASE WHEN b.o_custkey IS DISTINCT FROM c.o_custkey THEN 1 ELSE 0 END) + (CASE WHEN b.o_orderstatus IS DISTINCT FROM c.o_orderstatus THEN 2 ELSE 0 END) + (CASE WHEN b.cents IS DISTINCT FROM c.cents THEN 4 ELSE 0 END) AS m, c.o_custkey AS n_custkey, c.o_orderstatus AS n_status, c.cents AS n_cents FROM b FULL JOIN c ON b.o_orderkey = c.o_orderkey), d AS (SELECT * FROM j WHERE op <> 'row' OR m <> 0) "
+    line = lambda op, field, holds, cost: f"SELECT '{op}' AS op, '{field}' AS field, count(CASE WHEN {holds} THEN 1 END) AS changed, {_big(f'coalesce(sum(CASE WHEN {holds} THEN {cost} ELSE 0 END), 0)')} AS bytes FROM d"
+    lines = [line("set", "", "op = 'set'", f"1 + {key}"), line("remove", "", "op = 'remove'", f"1 + {key}"), line("row", "", "op = 'row'", f"1 + {key} + {_vw('m')}")]
+    lines += [line("set", f, "op = 'set'", cost) for f, _, cost in fields] + [line("row", f, f"op = 'row' AND m & {bit} <> 0", cost) for f, bit, cost in fields]
+    return rows + " UNION ALL ".join(lines)
+
+
+@query(_inspect_sql())
+def inspect_diff_orders(spark, sf_dir):
+    return D.inspect_diff(D.diff(*_orders(spark, sf_dir), ["o_orderkey"]), ["o_orderkey"])
+
+
+@query("WITH " + _CURRENT + " SELECT o_orderkey, CASE WHEN o_orderkey % 10 = 1 THEN NULL ELSE cents END AS cents, CASE WHEN o_orderkey % 10 = 1 THEN NULL ELSE o_orderstatus END AS status, o_orderkey % 10 = 1 AS missing FROM c")
+def diff_descend_orders(spark, sf_dir):
+    """Changes of fields inside a struct of a struct, applied; some rows lose the whole inner struct."""
+    inner = F.when(~F.col("lost"), F.struct("cents", F.col("o_orderstatus").alias("status")))
+    base, current = ((df.withColumn("lost", lost).select("o_orderkey", F.struct("o_custkey", inner.alias("state")).alias("doc"))) for df, lost in zip(_orders(spark, sf_dir), (F.lit(False), F.col("o_orderkey") % 10 == 1)))
+    keys = ["o_orderkey"]
+    flat = D.opened(base, keys)
+    done = D.closed(D.patch(flat, D.diff(flat, D.opened(current, keys), keys), keys), base.schema, keys)
+    return done.select("o_orderkey", "doc.state.cents", "doc.state.status", F.col("doc.state").isNull().alias("missing"))
+
+
 @query("WITH l AS (SELECT user_id, event_id, event_type, value, lag(event_id) OVER w AS pi, lag(event_type) OVER w AS pt, lag(value) OVER w AS pv FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) SELECT user_id, event_id, CAST(CASE WHEN pi IS NULL THEN 3 ELSE (CASE WHEN event_type IS DISTINCT FROM pt THEN 1 ELSE 0 END) + (CASE WHEN value IS DISTINCT FROM pv THEN 2 ELSE 0 END) END AS BIGINT) AS mask, coalesce(CAST(floor(value * 100 + 0.5) AS BIGINT) - CAST(floor(pv * 100 + 0.5) AS BIGINT), 0) AS delta_cents FROM l")
 def diff_fields_events_by_user(spark, sf_dir):
     return delta.batch_deltas(table(spark, sf_dir, "events")).fillna({"delta_cents": 0})

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from colform.functions import costs as C
 
@@ -90,3 +92,119 @@ def value_form_stats(changes: DataFrame, fields: list[str]) -> DataFrame:
 
 def fields_with_bits(fields: list[str | tuple[int, str]]) -> list[tuple[int, str]]:
     return [f if isinstance(f, tuple) else (i, f) for i, f in enumerate(fields)]
+
+
+# --- Bytes, reports and the choice between a change set and the whole --------------------------------------------
+
+
+def value_bytes(x: Column, kind: str) -> Column:
+    """Modelled bytes of a tagged value: whole numbers by width, texts by length, other numbers and times nine, null and flags one."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        cost = C.integer_cost(x.cast("long"))
+    elif kind in ("string", "binary"):
+        cost = (F.octet_length(x) + 2).cast("long")
+    elif kind == "boolean":
+        cost = F.lit(1).cast("long")
+    elif kind.startswith(("array", "map", "struct")):
+        cost = (F.octet_length(F.to_json(F.struct(x.alias("v")))) + 2).cast("long")
+    else:
+        cost = F.lit(9).cast("long")
+    return F.when(x.isNull(), F.lit(1)).otherwise(cost).cast("long")
+
+
+def inspect_diff(changes: DataFrame, keys: list[str]) -> DataFrame:
+    """(op, field, changed, bytes) of a change set: new rows by field, changed fields of kept rows, and the keys of each kind of change.
+
+    Bytes of the keys hold the op, and the mask of a changed row. One aggregate over the change set.
+    """
+    kinds = dict(changes.dtypes)
+    fields = [c[2:] for c in changes.columns if c.startswith("n_")]
+    bit = lambda i: F.col("mask").bitwiseAND(F.lit(1 << i)) != 0
+    key_cost = sum((value_bytes(F.col(k), kinds[k]) for k in keys), F.lit(1))
+    names = {"set": SET, "remove": REMOVE, "row": ROW}
+    lines = []
+    for name, op in names.items():
+        own = F.col("op") == op
+        lines.append((name, "", own, key_cost + C.varint_width(F.col("mask")) if op == ROW else key_cost))
+        lines += [(name, f, own if op == SET else own & bit(i), value_bytes(F.col(f"n_{f}"), kinds[f"n_{f}"])) for i, f in enumerate(fields) if op != REMOVE]
+    aggs = []
+    for i, (_, _, holds, cost) in enumerate(lines):
+        aggs += [F.count(F.when(holds, 1)).alias(f"c{i}"), F.coalesce(F.sum(F.when(holds, cost)), F.lit(0)).cast("long").alias(f"b{i}")]
+    table = F.array(*[F.struct(F.lit(op).alias("op"), F.lit(f).alias("field"), F.col(f"c{i}").alias("changed"), F.col(f"b{i}").alias("bytes")) for i, (op, f, _, _) in enumerate(lines)])
+    return changes.agg(*aggs).select(F.inline(table))
+
+
+def snapshot_bytes(df: DataFrame) -> DataFrame:
+    """(rows, bytes) of all rows as tagged values."""
+    cost = sum((value_bytes(F.col(f"`{c}`"), k) for c, k in df.dtypes), F.lit(0))
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(cost), F.lit(0)).cast("long").alias("bytes"))
+
+
+@dataclass
+class Update:
+    """What is sent to a holder of the baseline: a change set with the baseline's fingerprint, or the whole new snapshot."""
+
+    rows: DataFrame
+    patch_bytes: int
+    full_bytes: int
+    baseline: int | None
+
+
+def is_patch(update: Update) -> bool:
+    return update.baseline is not None
+
+
+def guarded_diff(base: DataFrame, current: DataFrame, keys: list[str]) -> Update:
+    """The change set if its modelled bytes are fewer than those of the whole snapshot, else the snapshot."""
+    changes = diff(base, current, keys)
+    patch_bytes = inspect_diff(changes, keys).agg(F.sum("bytes")).first()[0]
+    full_bytes = snapshot_bytes(current).first()["bytes"]
+    if patch_bytes < full_bytes:
+        return Update(changes, patch_bytes, full_bytes, fingerprint(base, keys))
+    return Update(current, patch_bytes, full_bytes, None)
+
+
+def apply_update(base: DataFrame, update: Update, keys: list[str]) -> DataFrame:
+    return patch(base, update.rows, keys, update.baseline) if is_patch(update) else update.rows
+
+
+# --- Structs: changes of single fields at any depth ----------------------------------------------------------------
+
+
+def _leaves(fields: list[T.StructField], path: tuple[str, ...] = ()) -> tuple[list[tuple[str, ...]], list[tuple[str, ...]]]:
+    """Paths of all fields that are no structs, and of all structs."""
+    leaves, structs = [], []
+    for f in fields:
+        if isinstance(f.dataType, T.StructType):
+            below = _leaves(f.dataType.fields, (*path, f.name))
+            leaves, structs = leaves + below[0], [*structs, (*path, f.name), *below[1]]
+        else:
+            leaves.append((*path, f.name))
+    return leaves, structs
+
+
+def _at(path: tuple[str, ...]) -> Column:
+    c = F.col(f"`{path[0]}`")
+    for name in path[1:]:
+        c = c.getField(name)
+    return c
+
+
+def opened(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Every field inside structs as a column of its own (c0, c1, ..), and whether each struct is there (s0, s1, ..), so that ``diff``
+    gives changes of single inner fields."""
+    leaves, structs = _leaves([f for f in df.schema.fields if f.name not in keys])
+    return df.select(*keys, *[_at(p).alias(f"c{i}") for i, p in enumerate(leaves)], *[_at(p).isNotNull().alias(f"s{i}") for i, p in enumerate(structs)])
+
+
+def closed(flat: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
+    """The inverse of ``opened`` for a table of that schema."""
+    leaves, structs = _leaves([f for f in schema.fields if f.name not in keys])
+    leaf, struct = ({p: f"{n}{i}" for i, p in enumerate(paths)} for n, paths in (("c", leaves), ("s", structs)))
+
+    def build(f: T.StructField, path: tuple[str, ...]) -> Column:
+        if not isinstance(f.dataType, T.StructType):
+            return F.col(leaf[path])
+        return F.when(F.col(struct[path]), F.struct(*[build(x, (*path, x.name)).alias(x.name) for x in f.dataType.fields]))
+
+    return flat.select(*[F.col(f.name) if f.name in keys else build(f, (f.name,)).alias(f.name) for f in schema.fields])
