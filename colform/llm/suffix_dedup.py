@@ -83,7 +83,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Suffixes:
-    """Occurrences of anchors with their surroundings, ordered by the anchor's bytes."""
+    """Occurrences of anchors with their surroundings: once sorted, a sparse suffix array, in the order of the text from the anchor on.
+
+    Suffixes are compared over the ``LENGTH`` bytes that a match can use.
+    """
 
     FIELDS = (("doc", np.int64), ("tie", np.int32), ("place", np.int32), ("left", np.uint8), ("right", np.uint8))
 
@@ -97,11 +100,24 @@ class Suffixes:
     def take(self, order: np.ndarray) -> Suffixes:
         return Suffixes(self.text[order], **{k: v[order] for k, v in self.fields.items()})
 
-    def keys(self) -> np.ndarray:
+    def anchors(self) -> np.ndarray:
         return np.ascontiguousarray(self.text[:, REACH : REACH + GRAM]).view(f"S{GRAM}").ravel()
 
+    def suffixes(self) -> np.ndarray:
+        return np.ascontiguousarray(self.text[:, REACH:]).view(f"S{LENGTH}").ravel()
+
     def sorted(self) -> Suffixes:
-        return self.take(np.argsort(self.keys(), kind="stable"))
+        return self.take(np.argsort(self.suffixes(), kind="stable"))
+
+    def merged(self, other: Suffixes) -> Suffixes:
+        """One sorted array from two: the other's suffixes go in behind those of this one that are not larger."""
+        at = np.searchsorted(self.suffixes(), other.suffixes(), "right") + np.arange(len(other))
+        order = np.empty(len(self) + len(other), np.int64)
+        order[at] = len(self) + np.arange(len(other))
+        rest = np.ones(len(order), bool)
+        rest[at] = False
+        order[rest] = np.arange(len(self))
+        return Suffixes.joined([self, other]).take(order)
 
     @staticmethod
     def joined(parts: list[Suffixes]) -> Suffixes:
@@ -122,7 +138,7 @@ class Family:
 
     def add(self, batch: Suffixes) -> None:
         batch = batch.sorted()
-        keys = batch.keys()
+        keys = batch.anchors()
         group = _groups(keys)
         # Pairs inside the batch: each occurrence with those behind it in its group.
         sizes = np.diff(group)
@@ -130,14 +146,14 @@ class Family:
         self._match(batch, np.repeat(np.arange(len(keys)), rest), batch, V.ragged_take(np.arange(len(keys)) + 1, rest))
         for level in self.levels:
             # Merge scan: where the level's suffixes with each of the batch's anchors lie.
-            own = level.keys()
+            own = level.anchors()
             low, high = np.searchsorted(own, keys[group[:-1]], "left"), np.searchsorted(own, keys[group[:-1]], "right")
             each = np.repeat(high - low, sizes)
             self._match(batch, np.repeat(np.arange(len(keys)), each), level, V.ragged_take(np.repeat(low, sizes), each))
         self.levels.append(batch)
         while len(self.levels) > 1 and len(self.levels[-1]) * 2 >= len(self.levels[-2]):
             last = self.levels.pop()
-            self.levels[-1] = Suffixes.joined([self.levels[-1], last]).sorted()
+            self.levels[-1] = self.levels[-1].merged(last)
 
     def _match(self, a: Suffixes, i: np.ndarray, b: Suffixes, j: np.ndarray, step: int = 1 << 15) -> None:
         """Extends the pairs (i of a, j of b) to both sides and notes what the later one loses."""
