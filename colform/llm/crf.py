@@ -100,7 +100,7 @@ def labelled_sample(docs, labels, label: str, keep, per_class: int, seed: int, m
     rates = F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, sample_rate(per_class, n))])
     drawn = usable.where(hash_share("doc_id", seed) < F.element_at(rates, F.col("y"))).distinct()
     # The sample's ids, bounded by per_class, go to the texts; the texts stay where they are.
-    drawn = F.broadcast(drawn.limit(4 * per_class))
+    drawn = F.broadcast(drawn.orderBy(hash_share("doc_id", seed), "doc_id", "y").limit(4 * per_class))
     rows = docs.where(keep).select("doc_id", F.substring("text", 1, max_chars).alias("text")).join(drawn, "doc_id").orderBy("doc_id", "y", "text").toArrow()
     y = np.array(rows["y"].to_pylist(), float)
     # A row stands for as many as its class was thinned by, so that scores are probabilities among all rows.

@@ -2,8 +2,8 @@
 
 Lines end at byte 0x0A. A line's features are the shares of kinds of bytes, word lengths, repetition within the text and
 its length; the same features of the line before and after belong to it too. Training labels each line with its
-document's label. Forward-backward gives each line's probability of being good; their mean by line length, and the
-worst line's, feed a logistic function that yields the document's score.
+document's label. Forward-backward gives each line's probability of being good; their mean by line length feeds a
+logistic function that yields the document's score.
 
 Training is bounded: about ``PER_CLASS`` labelled documents of each class, and ``TRAIN_CHARS`` characters of each.
 Chains are runs of at most ``STEPS`` lines.
