@@ -45,6 +45,26 @@ def test_language_edges(spark, edges, empty):
     assert {r.lang_pred for r in langid.predict(edges, [], None).collect()} == {"und"}
 
 
+def test_byte_network_against_plain_convolution():
+    rng = np.random.default_rng(6)
+    net = langid.ByteNet(3)
+    net.bias[:] = rng.normal(size=net.bias.shape)
+    net.out[:], net.out_bias[:] = rng.normal(size=net.out.shape), rng.normal(size=3)
+    texts = [b"abc", bytes(rng.integers(1, 256, 700)), b"", bytes(rng.integers(1, 256, langid.WINDOW)), b"x"]
+    flat, counts = langid._windows(np.frombuffer(b"".join(texts), np.uint8), V.offsets_of(np.array([len(t) for t in texts])))
+    got = net.log_probabilities(net.tables(), flat, int(counts.sum()))
+    assert got.shape == (int(counts.sum()), 3)
+    for i in range(len(got)):
+        pooled = []
+        for filters in net.filters:
+            at = [j for j in range(i * langid.WINDOW, (i + 1) * langid.WINDOW) if flat[j]]
+            values = [sum(net.embedding[flat[j + k]] @ filters[k] for k in range(len(filters))) for j in at]
+            pooled.append(np.max(values, axis=0) if values else np.full(langid.FILTERS, -1e9))
+        logits = np.maximum(np.concatenate(pooled) + net.bias, 0) @ net.out + net.out_bias
+        want = logits - logits.max() - np.log(np.exp(logits - logits.max()).sum())
+        assert np.allclose(got[i], want, atol=1e-3)
+
+
 def test_language_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = langid.identify(docs.select("doc_id", "text", "lang")).where("held_out").agg(F.avg((F.col("lang") == F.col("lang_pred")).cast("double")).alias("a")).first()
@@ -178,6 +198,9 @@ def test_index_family_finds_matches_across_levels():
         family.add(suffix_dedup.Suffixes(windows[at : at + 16], doc=np.zeros(len(p), np.int64), tie=np.zeros(len(p), np.int32), place=p.astype(np.int32), left=side(p), right=side(len(text) - p - suffix_dedup.GRAM)))
     sizes = [len(x) for x in family.levels]
     assert sum(sizes) == len(place) and all(a > 2 * b for a, b in zip(sizes, sizes[1:]))
+    for level in family.levels:
+        suffixes = [bytes(x) for x in level.text[:, suffix_dedup.REACH :]]
+        assert suffixes == sorted(suffixes)
     _, _, start, end = suffix_dedup._merged_spans(family.found)
     assert [(int(a), int(b)) for a, b in zip(start, end)] == [(4000, 4300)]
 
