@@ -540,6 +540,11 @@ def shape_transpose_nation(spark, sf_dir):
     return shape.transpose_map(as_map, ["one"], "nations").select("entry_key", "value.nationkey", "value.regionkey")
 
 
+@query("SELECT 'embedding' AS \"column\", CASE WHEN min(len(embedding)) = max(len(embedding)) AND min(len(embedding)) BETWEEN 1 AND 256 THEN min(len(embedding)) END AS width FROM embeddings")
+def shape_tuple_width_embeddings(spark, sf_dir):
+    return spark.createDataFrame([("embedding", shape.tuple_width(table(spark, sf_dir, "embeddings"), "embedding"))], "column string, width long")
+
+
 @query("SELECT vec_id, embedding[2] AS second, embedding[10] AS tenth, embedding[64] AS last, len(embedding) AS width FROM embeddings")
 def shape_tuple_embeddings(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -740,6 +745,46 @@ def stream_delta_events(spark, sf_dir):
     return delta.run_once(spark, f"{sf_dir}/events.parquet", f"{folder}/out", f"{folder}/state")
 
 
+@query("WITH " + _CURRENT + " SELECT 'both' AS side, count(*) AS keys FROM b JOIN c USING (o_orderkey) UNION ALL SELECT 'gone', count(*) FROM b WHERE o_orderkey NOT IN (SELECT o_orderkey FROM c) UNION ALL SELECT 'new', count(*) FROM c WHERE o_orderkey NOT IN (SELECT o_orderkey FROM b)")
+def diff_key_sets(spark, sf_dir):
+    return D.key_sets(*_orders(spark, sf_dir), ["o_orderkey"])
+
+
+@query(
+    "WITH h AS (SELECT count(*) AS k FROM orders WHERE o_orderkey % 4 = 0) SELECT 'o_custkey' AS field, 0 AS changed, CAST(NULL AS INTEGER) AS exponent UNION ALL SELECT 'price', (SELECT count(*) FROM orders WHERE o_orderkey % 4 = 0), "
+    "(SELECT CASE WHEN max(k) > 0 THEN CASE WHEN bool_and(t = floor(t)) THEN 0 WHEN bool_and(floor(t * 10 + 0.5) / 10 = t AND t * 10 <= 1056959) THEN 1 WHEN bool_and(floor(t * 100 + 0.5) / 100 = t AND floor(t * 100 + 0.5) <= 1056959) THEN 2 END END FROM h, (SELECT floor(o_totalprice / 100 * 100 + 0.5) % 100000 / 100 AS t FROM orders WHERE o_orderkey % 4 = 0))"
+)
+def diff_decimal_factors_orders(spark, sf_dir):
+    base = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.lit(-1.5).alias("price"))
+    total = table(spark, sf_dir, "orders").select("o_orderkey", (F.floor(F.col("o_totalprice") / 100 * 100 + 0.5) % 100000 / 100).alias("t"))
+    current = base.join(total, "o_orderkey").withColumn("price", F.when(F.col("o_orderkey") % 4 == 0, F.col("t")).otherwise(F.col("price"))).drop("t")
+    return D.decimal_factors(D.diff(base, current, ["o_orderkey"]), [(0, "o_custkey"), (1, "price")])
+
+
+@query("SELECT vec_id, list_transform(range(8), lambda j: list_sum(list_transform(range(8), lambda k: CASE WHEN embedding[j * 8 + k + 1] > 0 THEN CAST(pow(2, k) AS BIGINT) ELSE 0 END)))::VARCHAR AS packed, true AS same FROM embeddings")
+def shape_flags_embeddings(spark, sf_dir):
+    """Signs of the components as flags, eight a byte, and back."""
+    flags = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x > 0).alias("flags"))
+    packed = flags.withColumn("packed", shape.pack_flags(F.col("flags")))
+    same = shape.unpack_flags(F.col("packed"), F.size("flags")) == F.col("flags")
+    return packed.withColumn("same", same).select("vec_id", "same", F.concat(F.lit("["), F.array_join(F.col("packed").cast("array<string>"), ", "), F.lit("]")).alias("packed"))
+
+
+@query("SELECT o_orderpriority AS value, row_number() OVER (ORDER BY o_orderpriority) AS \"index\" FROM orders GROUP BY 1")
+def shape_enum_index_orders(spark, sf_dir):
+    return shape.enum_index(table(spark, sf_dir, "orders"), "o_orderpriority")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice / 0.01 < 528480 AND l_discount / 0.01 < 528480 AS worthwhile, l_quantity = floor(l_quantity) AND l_tax = floor(l_tax) AS integral, l_tax = 0 OR CAST(floor(l_tax * 255 + 0.5) / 255 AS FLOAT) = CAST(l_tax AS FLOAT) AS color FROM lineitem")
+def scalar_vectors_lineitem(spark, sf_dir):
+    """Vectors of a row's numbers: whether quantizing pays, whether all are whole, whether they are exact bytes."""
+    x = F.col
+    return table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", C.vector_worthwhile([x("l_extendedprice"), x("l_discount")], 0.01).alias("worthwhile"),
+        C.integral_components([x("l_quantity"), x("l_tax")]).alias("integral"), C.color_bytes([x("l_tax"), x("l_tax")]).isNotNull().alias("color"),
+    )
+
+
 # --- Plans, reports, packets, trees -------------------------------------------------------------------------------
 
 

@@ -98,6 +98,39 @@ def field_changed(a: Column, b: Column, fractional: bool = True) -> Column:
     return ~a.eqNullSafe(b) | F.coalesce(sign, F.lit(False))
 
 
+def worthwhile(x: Column, step: float) -> Column:
+    """A quantized number pays if it is finite and its zigzag varint is shorter than four bytes."""
+    scaled = x / F.lit(step)
+    sound = ~F.isnan(x) & (F.abs(scaled) < float(SAFE_INTEGER))
+    return F.coalesce(sound & (zigzag_width(F.when(sound, F.floor(F.abs(scaled) + 0.5)).cast("long")) < 4), F.lit(False))
+
+
+def vector_worthwhile(parts: list[Column], step: float) -> Column:
+    """A vector is quantized only if each of its components pays."""
+    out = F.lit(True)
+    for x in parts:
+        out = out & worthwhile(x, step)
+    return out
+
+
+def integral_components(parts: list[Column]) -> Column:
+    """All components are whole and take at most three bytes."""
+    out = F.lit(True)
+    for x in parts:
+        out = out & F.coalesce((F.floor(x) == x) & (F.abs(x) <= VARINT_LIMITS[2][0]), F.lit(False))
+    return out
+
+
+def color_bytes(parts: list[Column]) -> Column:
+    """Components in 0..1 as bytes, or null if one does not come back exactly at 32-bit precision."""
+    exact, out = F.lit(True), []
+    for x in parts:
+        byte = round_half_away(x.cast("double") * 255)
+        exact = exact & F.coalesce((byte >= 0) & (byte <= 255) & ((byte / 255.0).cast("float") == x.cast("float")), F.lit(False))
+        out.append(byte.cast("int"))
+    return F.when(exact, F.array(*out))
+
+
 # --- Python twins ---------------------------------------------------------------------------------------------
 
 
@@ -142,6 +175,6 @@ def precision_from_code(code: int) -> float:
 
 
 def quantize_worthwhile(x: float, step: float) -> bool:
-    """A quantized number pays if it is finite and its zigzag varint is shorter than four bytes."""
+    """Python twin of ``worthwhile``."""
     scaled = x / step
     return x == x and abs(scaled) < SAFE_INTEGER and py_zigzag_width(int(abs(scaled) + 0.5)) < 4

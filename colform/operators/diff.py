@@ -208,3 +208,41 @@ def closed(flat: DataFrame, schema: T.StructType, keys: list[str]) -> DataFrame:
         return F.when(F.col(struct[path]), F.struct(*[build(x, (*path, x.name)).alias(x.name) for x in f.dataType.fields]))
 
     return flat.select(*[F.col(f.name) if f.name in keys else build(f, (f.name,)).alias(f.name) for f in schema.fields])
+
+
+# --- Whole tables ------------------------------------------------------------------------------------------------
+
+
+def tables_differ(a: DataFrame, b: DataFrame, keys: list[str]) -> bool:
+    """Whether two snapshots differ in any row: by columns and fingerprints."""
+    return sorted(a.dtypes) != sorted(b.dtypes) or fingerprint(a, keys) != fingerprint(b, keys)
+
+
+def key_sets(base: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
+    """(side, keys): how many keys both snapshots have, only the base, only the current one."""
+    b, c = base.select(*keys).distinct(), current.select(*keys).distinct()
+    count = lambda df, side: df.agg(F.lit(side).alias("side"), F.count(F.lit(1)).alias("keys"))
+    return count(b.intersect(c), "both").unionByName(count(b.exceptAll(c), "gone")).unionByName(count(c.exceptAll(b), "new"))
+
+
+#: Fixed values of the format: largest power of ten tried for changed numbers, and largest scaled number that pays.
+LARGEST_FACTOR, LARGEST_SCALED = 6, 1056959
+
+
+def decimal_factors(changes: DataFrame, fields: list[tuple[int, str]]) -> DataFrame:
+    """(field, changed, exponent): the smallest power of ten that makes all changed numbers of a field whole, null for none.
+
+    ``fields`` are (bit of the mask, name). -0, values that are not finite and scaled numbers beyond ``LARGEST_SCALED`` refuse a fraction.
+    """
+    aggs, lines = [], []
+    for i, f in fields:
+        x = F.col(f"n_{f}").cast("double")
+        held = (F.col("op") == ROW) & (F.col("mask").bitwiseAND(F.lit(1 << i)) != 0)
+        aggs.append(F.count(F.when(held, 1)).alias(f"c{i}"))
+        for k in range(LARGEST_FACTOR + 1):
+            scaled = C.round_half_away(x * 10.0**k)
+            fits = (scaled / 10.0**k == x) & (F.abs(scaled) <= float(LARGEST_SCALED if k else C.SAFE_INTEGER)) & (x.cast("string") != "-0.0")
+            aggs.append(F.count(F.when(held & ~F.coalesce(fits, F.lit(False)), 1)).alias(f"m{i}_{k}"))
+        first = F.coalesce(*[F.when(F.col(f"m{i}_{k}") == 0, k) for k in range(LARGEST_FACTOR + 1)])
+        lines.append(F.struct(F.lit(f).alias("field"), F.col(f"c{i}").alias("changed"), F.when(F.col(f"c{i}") > 0, first).alias("exponent")))
+    return changes.agg(*aggs).select(F.inline(F.array(*lines)))

@@ -70,6 +70,36 @@ def untranspose_map(rows: DataFrame, key: list[str], name: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("entry_key", "value")))).alias(name))
 
 
+def tuple_width(df: DataFrame, column: str) -> int | None:
+    """The one length of all arrays of a column if it is 1 to ``MAX_KEYS`` and none is missing, else None."""
+    x = F.size(column)
+    met = df.agg(F.min(x).alias("low"), F.max(x).alias("high"), F.count(F.col(column)).alias("there"), F.count(F.lit(1)).alias("rows")).first()
+    same = met["rows"] and met["there"] == met["rows"] and met["low"] == met["high"] and 1 <= met["low"] <= MAX_KEYS
+    return met["low"] if same else None
+
+
+def pack_flags(flags) -> object:
+    """An array of booleans as an array of bytes, eight flags a byte, the first in the lowest bit; null if one is missing.
+
+    Pays from eight flags on; the length stays with the column, as a byte may be filled up.
+    """
+    byte = lambda j: F.aggregate(F.sequence(F.lit(0), F.lit(7)), F.lit(0), lambda s, k: s + F.when(F.coalesce(F.get(flags, (j * 8 + k).cast("int")), F.lit(False)), F.expr("1")).otherwise(0) * F.pow(F.lit(2), k).cast("int"))
+    packed = F.when(F.size(flags) == 0, F.array().cast("array<int>")).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.size(flags) - 1) / 8).cast("int")), byte))
+    return F.when(F.forall(flags, lambda x: x.isNotNull()), packed)
+
+
+def unpack_flags(packed, length) -> object:
+    bit = lambda i: F.floor(F.get(packed, F.floor(i / 8).cast("int")) / F.pow(F.lit(2), F.pmod(i, F.lit(8)))) % 2 == 1
+    return F.when(length == 0, F.array().cast("array<boolean>")).otherwise(F.transform(F.sequence(F.lit(0), length - 1), bit))
+
+
+def enum_index(df: DataFrame, column: str) -> DataFrame:
+    """(value, index): the distinct values in sorted order, from 1. One row a value: a type list, not data."""
+    from pyspark.sql import Window
+
+    return df.where(F.col(column).isNotNull()).select(F.col(column).alias("value")).distinct().withColumn("index", F.row_number().over(Window.orderBy("value")).cast("long"))
+
+
 def tuple_columns(df: DataFrame, column: str, width: int) -> DataFrame:
     """Positional columns "1".."width" in place of an array column, in number order, not text order."""
     return df.select(*[c for c in df.columns if c != column], *[F.col(column)[i].alias(str(i + 1)) for i in range(width)])
