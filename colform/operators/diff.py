@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colform.functions import costs as C
+from colform.options import EncodeOptions
 
 #: Fixed values of the format.
 SET, REMOVE, ROW = 1, 2, 4
@@ -154,12 +155,13 @@ def is_patch(update: Update) -> bool:
     return update.baseline is not None
 
 
-def guarded_diff(base: DataFrame, current: DataFrame, keys: list[str]) -> Update:
-    """The change set if its modelled bytes are fewer than those of the whole snapshot, else the snapshot."""
+def guarded_diff(base: DataFrame, current: DataFrame, keys: list[str], options: EncodeOptions = EncodeOptions()) -> Update:
+    """The change set if its modelled bytes are fewer than those of the whole snapshot, else the snapshot; always the change set
+    without ``options.guard_diff``."""
     changes = diff(base, current, keys)
     patch_bytes = inspect_diff(changes, keys).agg(F.sum("bytes")).first()[0]
     full_bytes = snapshot_bytes(current).first()["bytes"]
-    if patch_bytes < full_bytes:
+    if patch_bytes < full_bytes or not options.guard_diff:
         return Update(changes, patch_bytes, full_bytes, fingerprint(base, keys))
     return Update(current, patch_bytes, full_bytes, None)
 

@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import BinaryType, StructField, StructType
 
+from colform.options import EncodeOptions
+
 VERSION = 1
 #: Fixed values of the format.
 NIL, TRUE, FALSE, NAN, INF, NEG_INF, NEG_ZERO = range(0x00, 0x07)
@@ -225,13 +227,13 @@ def from_text(text: str, max_depth: int = 512):
     return deserialize(packet, max_depth)
 
 
-def pack_rows(df: DataFrame, columns: list[str], name: str = "packet") -> DataFrame:
-    """Adds a packet of the row's fields as a map. Fields come through Arrow, so that missing values, NaN and 64-bit numbers stay what they are."""
+def pack_rows(df: DataFrame, columns: list[str], name: str = "packet", options: EncodeOptions = EncodeOptions()) -> DataFrame:
+    """Adds a packet of the row's fields as a map, nested at most ``options.max_depth`` deep. Fields come through Arrow, so that missing values, NaN and 64-bit numbers stay what they are."""
     schema = StructType([*df.schema.fields, StructField(name, BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packets = pa.array(map(serialize, batch.select(columns).to_pylist()), pa.binary())
+            packets = pa.array([serialize(r, options.max_depth) for r in batch.select(columns).to_pylist()], pa.binary())
             yield pa.RecordBatch.from_arrays([*batch.columns, packets], names=[*batch.schema.names, name])
 
     return df.mapInArrow(run, schema)

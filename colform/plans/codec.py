@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from colform.functions import costs as C
 from colform.operators import forms
+from colform.options import EncodeOptions
 from colform.plans.planner import MICROS, ColumnPlan, Plan
 from colform.sources.ordering import running_sum, with_lags, with_order
 
@@ -95,9 +96,14 @@ def _prefixed(value: Column, q: dict) -> Column:
     return F.concat(F.lit(q["prefix"]), shown, F.lit(q["suffix"]))
 
 
-def encode(df: DataFrame, plan: Plan, order_by: list[str]) -> Encoded:
-    """Columns without a plan are plain."""
+#: Forms that pack numbers into bits.
+PACKED = ("differenced", "decimal", "date", "prefixed", "dictionary", "booleans")
+
+
+def encode(df: DataFrame, plan: Plan, order_by: list[str], options: EncodeOptions = EncodeOptions()) -> Encoded:
+    """Columns without a plan are plain, and so are all without ``options.columnar``, or those of packed forms without ``bit_pack``."""
     plans = {f.name: plan.columns.get(f.name, ColumnPlan("plain", 0)) for f in df.schema.fields}
+    plans = {c: p if options.columnar and (options.bit_pack or p.form not in PACKED) else ColumnPlan("plain", 0) for c, p in plans.items()}
     kinds, names = dict(df.dtypes), df.columns
     numbered = df.select(*[F.col(f"`{c}`").alias(f"r{i}") for i, c in enumerate(names)], *[F.col(f"`{c}`").alias(f"_key{i}") for i, c in enumerate(order_by)])
     # x<i> is the number that a form works on, where that is not the value itself.

@@ -3,6 +3,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from colform.operators import diff as D
+from colform.operators import wire
+from colform.options import EncodeOptions
 from colform.plans import codec, planner
 from colform.streaming import delta
 
@@ -31,6 +34,19 @@ def test_misses_fall_back(spark):
     assert sorted(map(repr, codec.decode(done).collect())) == sorted(map(repr, df.collect()))
 
 
+def test_options_are_heeded(spark):
+    df = spark.range(40).select("id", (F.col("id") % 2).alias("x"))
+    plan = plans(id=("differenced", {"order": 1, "low": 0, "bits": 2}), x=("cyclic", {"period": 2}))
+    used = lambda **o: {c: p.form for c, p in codec.encode(df, plan, ["id"], EncodeOptions(**o)).plan.items()}
+    assert used() == {"id": "differenced", "x": "cyclic"}
+    assert used(bit_pack=False) == {"id": "plain", "x": "cyclic"} and used(columnar=False) == {"id": "plain", "x": "plain"}
+    changed = df.withColumn("x", F.col("x") + 10)
+    assert not D.is_patch(D.guarded_diff(df, changed, ["id"])) and D.is_patch(D.guarded_diff(df, changed, ["id"], EncodeOptions(guard_diff=False)))
+    assert D.tables_differ(df, changed, ["id"]) and not D.tables_differ(df, df.repartition(3), ["id"])
+    with pytest.raises(Exception, match="nested too deeply"):
+        wire.pack_rows(df, ["id"], options=EncodeOptions(max_depth=0)).collect()
+
+
 @pytest.mark.parametrize("n", [0, 1, 3])
 def test_tiny_tables(spark, n):
     df = spark.range(n).select("id", (F.col("id") * 2).alias("x"))
