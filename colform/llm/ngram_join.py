@@ -44,7 +44,7 @@ from .shared import Workspace, side_by_side, slices, text_buffers, trim
 WIDTH = 5
 PERCENT = 80
 #: Classes that may hold a shingle in their first places before it is put last.
-FREQUENT = 64
+FREQUENT = 32
 #: Members of a bucket that is searched as a whole; larger ones are searched in blocks of about BLOCK_SHINGLES shingles a side.
 BLOCK = 512
 BLOCK_SHINGLES = 1 << 22
@@ -298,22 +298,16 @@ class _Units:
         self.sets, self.n, self.label = (table[c].to_numpy() for c in ("set", "n", "label"))
         self.bitmaps = table["bitmap"].combine_chunks()
         self.bytes = np.array(pc.binary_length(self.bitmaps).to_numpy(), np.int64)
-        # A member's buckets before the unit's own, and how many of its shingles lie from its place in that on.
-        lists = [table[c].combine_chunks() for c in ("keys", "places")]
-        counts = np.diff(lists[0].offsets.to_numpy())
-        row = V.row_of(counts)
-        shingle, place = (x.flatten().to_numpy() for x in lists)
-        kind = (V.ragged_arange(counts) >= table["zeros"].to_numpy()[row]).astype(np.int32)
-        own_kind, own_shingle = (c[self.unit][row] for c in self.names[:2])
-        own = (kind == own_kind) & (shingle == own_shingle)
-        self.left = self.n.copy()
-        self.left[row[own]] -= place[own]
-        early = (kind < own_kind) | ((kind == own_kind) & (shingle < own_shingle))
-        self.early = V.numbered(kind[early], shingle[early])
-        self.early_counts = np.bincount(row[early], minlength=len(self.n))
+        # How many of a member's shingles lie from its place in the unit's bucket on, and its buckets before that one.
+        self.left = self.n - table["place"].to_numpy()
+        keys = table["keys"].combine_chunks()
+        self.early_counts = np.diff(keys.offsets.to_numpy())
+        row = V.row_of(self.early_counts)
+        kind = (V.ragged_arange(self.early_counts) >= table["zeros"].to_numpy()[row]).astype(np.int32)
+        self.early = V.numbered(kind, keys.flatten().to_numpy())
         self.early_at = V.offsets_of(self.early_counts)
         self.early_span = int(self.early.max(initial=0)) + 1
-        self.early_held = np.sort(row[early] * self.early_span + self.early)
+        self.early_held = np.sort(row * self.early_span + self.early)
 
     def folded(self, rows: np.ndarray, size: int) -> np.ndarray:
         """Bitmaps of 2^k bytes OR-folded to ``size`` bytes, as 64-bit words."""
@@ -394,7 +388,7 @@ class _Units:
 
 
 def _search(percent: int, each: int):
-    """Candidate pairs (unit, a, b, more) of rows (unit, side, set, other, n, label, bitmap, keys) that come unit by unit."""
+    """Candidate pairs (unit, a, b, more) of rows (unit, side, set, other, n, label, bitmap, zeros, keys, place) that come unit by unit."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches, UNIT):
@@ -666,8 +660,8 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     again = _Texts(texts, firsts, width, percent, key, work)
     members = work.put(_members(held, percent), "members")
     met = members.select("set", "n", F.explode("hubs").alias("hub")).where("set <> hub").groupBy("set", "n", "hub").count()
-    # Sets of like size that link share about half of their first places in buckets in which places allow a link.
-    stars = met.where(F.col("count") * 8 >= F.expr(f"n - ceil({percent} * n / 100) + 1")).select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
+    # Sets of like size that link share about half of their first places in buckets in which places allow a link; half of that is asked for.
+    stars = met.where(F.col("count") * 4 >= F.expr(f"n - ceil({percent} * n / 100) + 1")).select(F.least("set", "hub").alias("a"), F.greatest("set", "hub").alias("b")).distinct()
     tested = again.verified(stars, "tested0")
     labels = components(tested.where("linked"), work, "c0")
 
@@ -681,7 +675,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     round_, each, old = 0, FORESTS, None
     while True:
         info = bitmaps.join(labels.withColumnRenamed("node", "set"), "set", "left").withColumn("label", F.coalesce("label", "set"))
-        searched = units.join(info, "set").select(*UNIT, "side", "set", F.lit(None).cast("long").alias("other"), "n", "label", "bitmap", "zeros", "keys", "places")
+        # Of a member's buckets those before the unit's own go along, and its place there.
+        first, many = F.when(F.col("kind") == 0, 1).otherwise(F.col("zeros") + 1), F.when(F.col("kind") == 0, F.col("zeros")).otherwise(F.size("keys"))
+        at = (first - 1 + F.array_position(F.slice("keys", first, many), F.col("shingle"))).cast("int")
+        searched = units.join(info, "set").withColumn("at", at).select(
+            *UNIT, "side", "set", F.lit(None).cast("long").alias("other"), "n", "label", "bitmap", "zeros", F.slice("keys", F.lit(1), F.col("at") - 1).alias("keys"), F.element_at("places", F.col("at")).alias("place")
+        )
         if old is not None:
             searched = searched.unionByName(old, allowMissingColumns=True)
         emitted = work.put(side_by_side(searched, *UNIT).mapInArrow(_search(percent, each), "kind int, shingle long, part long, a long, b long, more boolean"), f"emitted{round_}")
