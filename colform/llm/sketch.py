@@ -46,30 +46,30 @@ def containment(a: str, b: str) -> Column:
 
 
 def with_next(docs: DataFrame, block_bytes: int = 16 << 20, work: Workspace | None = None) -> DataFrame:
-    """(doc_id, text, block, own): rows in blocks by ascending doc_id, each after a copy (own = 0) of the row that precedes the block.
+    """(doc_id, text, tie, block, own): rows in blocks by ascending doc_id, each after a copy (own = 0) of the row that precedes the block.
 
     A window in a block then sees every row's next document, which is the one before in this order: next in descending doc_id, and the
-    first after the last. Rows are dealt out by ranges of doc_id and text and written, so that a block is a partition and one row a block
-    passes through one task. Rows without id come last in descending order; rows of equal id are ordered by text.
+    first after the last. Rows are dealt out by ranges of doc_id and a hash of the text and written, so that a block is a partition and one
+    row a block passes through one task. Rows without id come last in descending order; rows of equal id are ordered by that hash, ``tie``.
     """
     work = work or Workspace(docs.sparkSession, "sketch")
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     blocks = max(1, (rows.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0) // block_bytes)
-    dealt = rows.repartitionByRange(blocks, F.col("doc_id").asc_nulls_first(), "text").withColumn("block", F.spark_partition_id())
+    dealt = rows.repartitionByRange(blocks, F.col("doc_id").asc_nulls_first(), "tie").withColumn("block", F.spark_partition_id())
     rows = work.put(dealt, "dealt")
     work.release()
 
-    last = rows.groupBy("block").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "text")).alias("m")).select("block", "m.doc_id", "m.text")
+    last = rows.groupBy("block").agg(F.max(F.struct(F.col("doc_id").isNotNull().alias("there"), "doc_id", "tie", "text")).alias("m")).select("block", "m.doc_id", "m.tie", "m.text")
     order = Window.orderBy("block")
     everything = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     # Blocks in order know the next one by a window over their numbers alone.
     follow = last.select("block").withColumn("to", F.coalesce(F.lead("block").over(order), F.first("block").over(everything)))
-    ghosts = last.join(follow, "block").select("doc_id", "text", F.col("to").alias("block"), F.lit(0).alias("own"))
-    return rows.withColumn("own", F.lit(1)).select("doc_id", "text", "block", "own").unionByName(ghosts).repartition("block")
+    ghosts = last.join(follow, "block").select("doc_id", "text", "tie", F.col("to").alias("block"), F.lit(0).alias("own"))
+    return rows.withColumn("own", F.lit(1)).select("doc_id", "text", "tie", "block", "own").unionByName(ghosts).repartition("block")
 
 
 def neighbours() -> Window:
-    return Window.partitionBy("block").orderBy("own", F.col("doc_id").asc_nulls_first(), "text")
+    return Window.partitionBy("block").orderBy("own", F.col("doc_id").asc_nulls_first(), "tie", "text")
 
 
 def fingerprints(docs: DataFrame, bits: int = BITS, width: int = WIDTH) -> DataFrame:
