@@ -49,6 +49,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, and executors give back the heap that these needed.
+
+    It deletes them behind the driver's garbage collection, on a thread of its own that needs a moment. An executor's heap grows
+    to what the largest step so far took and stays so, beside the Python workers of the next one, until a whole collection there.
+    In a local session neither is worth the wait.
+    """
+    gc.collect()
+    context = spark.sparkContext
+    if context.master.startswith("local[") or context.master == "local":
+        return
+    for _ in range(2):
+        context._jvm.System.gc()
+        time.sleep(0.5)
+    # Tasks are dealt in turn, so that of as many as there are executors each gets one.
+    executors = max(1, context._jsc.sc().getExecutorMemoryStatus().size() - 1)
+    spark.range(0, executors, 1, executors).selectExpr("java_method('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 class Workspace:
     """Tables that one operator call writes into the shared folder to cut lineage.
 
@@ -77,16 +96,7 @@ class Workspace:
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def release(self) -> None:
-        """Lets Spark delete the shuffle files of finished steps.
-
-        It does so behind the driver's garbage collection, on a thread of its own that needs a moment. In a local session
-        the files are not worth the wait.
-        """
-        gc.collect()
-        if not self.spark.sparkContext.master.startswith("local["):
-            for _ in range(2):
-                self.spark.sparkContext._jvm.System.gc()
-                time.sleep(0.5)
+        release(self.spark)
 
     def drop(self, *names: str) -> None:
         jvm = self.spark.sparkContext._jvm

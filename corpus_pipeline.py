@@ -1,7 +1,7 @@
 """Corpus pipeline: language identification, near duplicates, substring deduplication, mixing, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and reread as the next stage's docs. All but
-the last return the columns of ``documents``. A stage's decisions take effect: rejected documents go, of near
+the last return the columns of ``documents``. Each begins by letting go of what the one before still holds on the executors. A stage's decisions take effect: rejected documents go, of near
 duplicates the one of the smallest doc_id stays, repeated bytes are cut out, the mix repeats or shortens documents.
 """
 
@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colform.llm import langid, mixing, ngram_join, piece_bpe, suffix_dedup
-from colform.llm.shared import Workspace, read_table
+from colform.llm.shared import Workspace, read_table, release
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Language scores below this are too unsure to keep a document.
@@ -23,6 +23,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, and those of no clear language, go."""
+    release(spark)
     found = langid.identify(docs.select(*COLUMNS))
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= UNSURE)).select(*COLUMNS)
 
@@ -32,6 +33,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Rows that repeat both doc_id and text count once; rows of one doc_id and different texts stay or go together.
     """
+    release(spark)
     docs = docs.select(*COLUMNS)
     work = Workspace(spark, "stage2")
     found = work.put(ngram_join.near_duplicates(docs, work=work), "found")
@@ -43,6 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Bytes of 100-byte strings that occur earlier are cut out, split characters with them; a document of which nothing is left goes."""
+    release(spark)
     found = suffix_dedup.dedup(docs.select(*COLUMNS), as_text=True)
     left = found.where((F.col("n_removed") == 0) | (F.char_length("kept_text") > 0))
     text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text"))
@@ -52,6 +55,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each time that the mix takes a document; the last may be its first words only, joined by spaces."""
+    release(spark)
     mixed = mixing.mix(docs.select(*COLUMNS, mixing.word_count().alias("size"))).where("taken > 0")
     times = mixed.withColumn("time", F.explode(F.expr("sequence(1, cast(ceil(taken / size) as int))"))).withColumn("words", F.expr("least(size, taken - (time - 1) * size)"))
     first_words = F.expr(r"array_join(slice(filter(split(text, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), 1, cast(words as int)), ' ')")
@@ -63,6 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Digests of the ids of every row that the mix made."""
+    release(spark)
     import public_tokenizers
 
     return piece_bpe.encode_documents(docs.select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model")).drop("text")
