@@ -687,7 +687,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
         found = again.verified(emitted.select("a", "b").distinct(), f"found{round_}")
         round_ += 1
         tested = work.put(tested.unionByName(found), f"tested{round_}", small=True)
-        labels = components(tested.where("linked"), work, f"c{round_}")
+        labels = components(found.where("linked"), work, f"c{round_}", labels)
         again_units = emitted.where("more").select(*UNIT).distinct()
         if not again_units.limit(1).count():
             break
